@@ -7,15 +7,14 @@ whose meaning differs between regex dialects, and end of input is ``\\z``.
 
 from __future__ import annotations
 
-# Fixed value: the characters that count as white space (inside a [...] class).
-WS = (
-    "\\t\\n\\x0B\\f\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f"
-    "\\u3000\\ufeff"
-)
-SPACE = f"[{WS}]"
-# The same without the newline.
-BLANKS = "[" + WS.replace("\\n", "") + "]"
-NON_SPACE = f"[^{WS}]"
+# White space is the Unicode property, plus the byte order mark,
+# minus U+0085.  A property is one test per character; spelling the same set
+# out as ranges is ten times slower.
+_WS = "\\p{IsWhite_Space}\\ufeff"
+SPACE = f"[{_WS}&&[^\\u0085]]"
+NON_SPACE = "[\\P{IsWhite_Space}\\u0085&&[^\\ufeff]]"
+# White space without the newline.
+BLANKS = f"[{_WS}&&[^\\u0085\\n]]"
 # Fixed value: a word character is a letter, a digit or an underscore.
 WORD = "[\\p{L}\\p{N}_]"
 # ASCII word boundaries, before and after a word.
@@ -82,9 +81,10 @@ OUTER_PIPES = "\\A\\|+|\\|+\\z"
 TABLE_DELIMITER = f"\\A{SPACE}*:?-{{3,}}:?{SPACE}*(?:\\|{SPACE}*:?-{{3,}}:?{SPACE}*)+\\z"
 PARAGRAPH_BREAK = f"\\n{SPACE}*\\n"
 # Non-word characters at the edges of a white-space-delimited token.
-TOKEN_EDGES = (
-    f"(?<={SPACE}|\\A)[^\\p{{L}}\\p{{N}}_{WS}]++|[^\\p{{L}}\\p{{N}}_{WS}]++(?={SPACE}|\\z)"
-)
+_EDGE = f"[[^\\p{{L}}\\p{{N}}_{_WS}]\\u0085]"
+TOKEN_EDGES = f"(?<={SPACE}|\\A){_EDGE}++|{_EDGE}++(?={SPACE}|\\z)"
+# Something in a table cell.
+CELL_TEXT = f"[[^|{_WS}]\\u0085]"
 
 # --- detectors ---------------------------------------------------------------
 NOT_JUST = f"(?i)not (?:just|only) {ANY}{{1,40}}, but (?:also )?"
@@ -103,8 +103,9 @@ STAGED = (
     "[^.!?\\n,;:]{1,80}?(?=[,.;:!?\\n]|\\z)"
 )
 BOLD_SPAN = "\\*\\*[^*\\n]+?\\*\\*"
-NUMERIC_BOLD = "\\A[" + WS + "$%\\u20ac\\u00a3\\u00a5+\\-.,]*[0-9][" + WS + (
-    "0-9.,$%\\u20ac\\u00a3\\u00a5+\\-]*[%a-zA-Z]{0,4}\\z"
+_SIGNS = "$%\\u20ac\\u00a3\\u00a5+\\-.,"
+NUMERIC_BOLD = (
+    f"\\A[{_SIGNS}{SPACE}]*[0-9][0-9{_SIGNS}{SPACE}]*[%a-zA-Z]{{0,4}}\\z"
 )
 EXCLUDED_LINE = f"\\A{SPACE}*(?:#|>|[-*]{SPACE}|[0-9]+[.)]{SPACE})"
 # What precedes a span that opens a paragraph or a sentence.

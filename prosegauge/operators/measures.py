@@ -112,35 +112,42 @@ def repeated_ngrams(min_n: int, max_n: int, min_count: int) -> Column:
 
     def repeated_positions(t):
         # Hash and position share one long, so that plain sorting groups them.
-        packed = F.array_sort(
+        packed = F.sort_array(
             F.transform(
                 F.sequence(F.lit(0), F.size(t) - min_n),
-                lambda i: F.shiftleft(F.xxhash64(*[t[i + k] for k in range(min_n)]), 22).bitwiseOR(
-                    i.cast("bigint")
-                ),
+                lambda i: F.shiftleft(
+                    F.xxhash64(*[t[i + k] for k in range(min_n)]), 22
+                ).bitwiseOR(i.cast("bigint")),
             )
         )
+        group = lambda x: F.shiftright(x, 22)
+
+        def opens_run(p):
+            return lambda x, i: group(x) == group(F.get(p, i + (min_count - 1)))
 
         def in_run(p):
             def test(x, i):
-                same = lambda a, b: F.coalesce(
-                    F.shiftright(F.get(p, a), 22) == F.shiftright(F.get(p, b), 22), F.lit(False)
-                )
                 cond = F.lit(False)
                 for back in range(min_count):
-                    cond = cond | same(i - back, i - back + (min_count - 1))
+                    same = group(F.get(p, i - back)) == group(F.get(p, i - back + (min_count - 1)))
+                    cond = cond | F.coalesce(same, F.lit(False))
                 return cond
 
-            return F.array_sort(
-                F.transform(
-                    F.filter(p, test), lambda x: x.bitwiseAND(F.lit((1 << 22) - 1)).cast("int")
-                )
+            return test
+
+        def positions(p):
+            members = F.transform(
+                F.filter(p, in_run(p)), lambda x: x.bitwiseAND(F.lit((1 << 22) - 1)).cast("int")
             )
+            # Most documents repeat nothing and stop after one comparison each.
+            return F.when(
+                F.size(F.filter(p, opens_run(p))) > 0, F.sort_array(members)
+            ).otherwise(empty("array<int>"))
 
-        return let(packed, in_run)
+        return let(packed, positions)
 
     def grams_of(t, positions, n):
-        entries = F.array_sort(
+        entries = F.sort_array(
             F.transform(
                 F.filter(positions, lambda p: p + n <= F.size(t)),
                 lambda p: F.struct(
@@ -198,7 +205,7 @@ def repeated_ngrams(min_n: int, max_n: int, min_count: int) -> Column:
             )
             return (x["kind"] == 1) & ~F.coalesce(covered, F.lit(False))
 
-        ordered = F.array_sort(
+        ordered = F.sort_array(
             F.transform(
                 F.filter(merged, test),
                 lambda x: F.struct(
@@ -221,7 +228,7 @@ def repeated_ngrams(min_n: int, max_n: int, min_count: int) -> Column:
                 parts.append(level)
                 if n > min_n:
                     parts.append(halves(level, n))
-            return let(F.array_sort(F.concat(*parts)), survivors)
+            return let(F.sort_array(F.concat(*parts)), survivors)
 
         return let(
             F.struct(

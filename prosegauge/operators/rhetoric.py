@@ -37,7 +37,7 @@ def contrasts() -> Column:
             label(s["match"]).alias("match"),
         )
 
-    return F.array_sort(
+    return F.sort_array(
         F.concat(
             F.transform(plain, shape("x_not_y", lambda m: m)),
             F.transform(staged, shape("staged_contrast", trim_ws)),

@@ -90,7 +90,7 @@ def _table_code(line: Column) -> Column:
         return (
             F.when(~F.contains(cells, F.lit("|")), "x")
             .when(cells.rlike(P.TABLE_DELIMITER), "d")
-            .when(cells.rlike(f"[^|{P.WS}]"), "r")
+            .when(cells.rlike(P.CELL_TEXT), "r")
             .otherwise("x")
         )
 

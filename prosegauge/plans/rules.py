@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property, lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from prosegauge.functions import patterns as P
 from prosegauge.operators import lexical as L
 from prosegauge.operators import measures as M
 from prosegauge.operators import rhetoric as R
-from prosegauge.operators.views import with_views
+from prosegauge.operators.views import has_code, with_views
 
 Facts = dict[str, Column]
 
@@ -30,8 +31,9 @@ Facts = dict[str, Column]
 class Rule:
     """One rule: `name` is the emitted rule name, `count_key` its counter.
 
-    `facts` are columns over the views, `hits` an array over the facts.  The
-    count is the number of hits unless `count` says otherwise.
+    `facts` are columns over the views, `hits` an array over the facts, `advice`
+    lines over the hits.  The count is the number of hits unless `count` says
+    otherwise.  The columns are built once per rule and reused.
     """
 
     name: str
@@ -41,6 +43,23 @@ class Rule:
     facts: Callable[[], Facts] = field(default=dict)
     count: Callable[[], Column] | None = None
 
+    @cached_property
+    def fact_columns(self) -> Facts:
+        return self.facts()
+
+    @cached_property
+    def hit_column(self) -> Column:
+        return self.hits()
+
+    @cached_property
+    def count_column(self) -> Column:
+        n = F.size(f"hits_{self.count_key}") if self.count is None else self.count()
+        return n.cast("int")
+
+    @cached_property
+    def advice_column(self) -> Column:
+        return self.advice(F.col(f"hits_{self.count_key}"))
+
 
 def _one(condition: Column, hit: Column) -> Column:
     return F.when(condition, F.array(hit)).otherwise(L.no_hits())
@@ -65,16 +84,22 @@ def _ratio(count: Column, words: Column, basis: float) -> Column:
 def default_rules(
     t: config.Thresholds = config.DEFAULT, lexicons: lex.Lexicons = lex.DEFAULT
 ) -> list[Rule]:
-    """The 24 rules in order."""
+    """The 24 rules in order, as a list the caller may change."""
+    return list(_rules(t, lexicons))
+
+
+@lru_cache(maxsize=16)
+def _rules(t: config.Thresholds, lexicons: lex.Lexicons) -> tuple[Rule, ...]:
     c = F.col
     phrase_lists = lexicons.phrases
 
     def phrases(detector: str, penalty: int) -> Column:
-        found = L.phrase_spans(c("lower"), c("phrases_found"), phrase_lists[detector])
-        return L.span_hits(found, detector, penalty)
+        return L.span_hits(c(f"found_{detector}"), detector, penalty)
 
-    def phrase_facts() -> Facts:
-        return {"phrases_found": L.phrases_found(c("lower"), phrase_lists.values())}
+    def phrase_facts(*detectors: str) -> Facts:
+        return {
+            f"found_{d}": L.phrase_spans(c("lower"), phrase_lists[d]) for d in detectors
+        }
 
     def of(hits: Column, *detectors: str) -> Column:
         return F.filter(hits, lambda h: h["detector"].isin(*detectors))
@@ -105,7 +130,7 @@ def default_rules(
     slop_phrase = Rule(
         "slop_phrase",
         "slop_phrases",
-        facts=lambda: {**phrase_facts(), "not_just": L.not_just_spans()},
+        facts=lambda: {**phrase_facts("stock_phrase"), "not_just": L.not_just_spans()},
         hits=slop_phrase_hits,
         advice=lambda h: F.transform(
             h,
@@ -196,7 +221,7 @@ def default_rules(
         "tone",
         "tone",
         facts=lambda: {
-            **phrase_facts(),
+            **phrase_facts("assistant_phrase", "false_narrativity"),
             **{f"opener_{word}": L.opener_spans(word) for word in P.OPENERS},
         },
         hits=tone_hits,
@@ -215,7 +240,7 @@ def default_rules(
     weasel = Rule(
         "weasel",
         "weasel",
-        facts=phrase_facts,
+        facts=lambda: phrase_facts("weasel_phrase"),
         hits=lambda: phrases("weasel_phrase", t.weasel__penalty),
         advice=lambda h: _matches(h, "Cut '%s'. Either cite a source or own the claim."),
     )
@@ -225,7 +250,7 @@ def default_rules(
         "ai_disclosure",
         "ai_disclosure",
         facts=lambda: {
-            **phrase_facts(), "cutoffs": L.cutoff_spans(), "just_ai": L.just_ai_spans(),
+            **phrase_facts("disclosure"), "cutoffs": L.cutoff_spans(), "just_ai": L.just_ai_spans(),
         },
         hits=lambda: F.concat(
             phrases("disclosure", t.ai_disclosure__penalty),
@@ -414,7 +439,11 @@ def default_rules(
         "colon_density",
         "colon_density",
         facts=lambda: {
-            "colons": R.elaboration_colons(), "unfenced_words": n_words(c("unfenced")),
+            "colons": R.elaboration_colons(),
+            # Without code both texts are the same.
+            "unfenced_words": F.when(has_code(c("text")), n_words(c("unfenced"))).otherwise(
+                c("word_count")
+            ),
         },
         hits=lambda: _one(
             F.coalesce(colon_ratio > t.colon_density__ratio_above, F.lit(False)),
@@ -740,11 +769,11 @@ def default_rules(
         ),
     )
 
-    return [
+    return (
         slop_word, slop_phrase, structural, tone, weasel, ai_disclosure, placeholder, rhythm,
         em_dash, contrast_pair, bold, setup, colon, pithy, bullet_density, blockquote, bold_list,
         dividers, reuse, copula, extreme, closing, balance, cv,
-    ]
+    )
 
 
 def _joined(counts: Column) -> Column:
@@ -772,15 +801,8 @@ def with_hits(df: DataFrame, rules: list[Rule], text: str = "text", key: str = "
     """
     facts: Facts = {}
     for rule in rules:
-        facts.update(rule.facts())
+        facts.update(rule.fact_columns)
     out = with_views(df, text, key)
     out = out.withColumns(facts) if facts else out
-    out = out.withColumns({f"hits_{r.count_key}": r.hits() for r in rules})
-    return out.withColumns(
-        {
-            f"n_{r.count_key}": (
-                F.size(f"hits_{r.count_key}") if r.count is None else r.count()
-            ).cast("int")
-            for r in rules
-        }
-    )
+    out = out.withColumns({f"hits_{r.count_key}": r.hit_column for r in rules})
+    return out.withColumns({f"n_{r.count_key}": r.count_column for r in rules})

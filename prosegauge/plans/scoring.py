@@ -149,7 +149,7 @@ def rule_counts(df: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
 
 def advice_array(rules: list[Rule]) -> Column:
     """All advice lines in rule order, the first of equal lines kept."""
-    lines = F.array_distinct(F.concat(*[r.advice(F.col(f"hits_{r.count_key}")) for r in rules]))
+    lines = F.array_distinct(F.concat(*[r.advice_column for r in rules]))
     return F.when(F.col("word_count") >= config.MIN_WORDS, lines).otherwise(no_lines())
 
 

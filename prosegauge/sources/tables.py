@@ -15,9 +15,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core work when the input has fewer splits than cores.
+
+    A large input has more splits than cores and is left where it is, so this
+    moves rows only when they are few.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def load_documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Documents as (doc_id, text) and the named extra columns."""
-    return table(spark, sf_dir, "documents").select("doc_id", "text", *columns)
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", *columns))
 
 
 def load_named_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -53,7 +63,7 @@ def load_text_files(spark: SparkSession, path: str, types: dict[str, str] | None
 
 def load_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web pages reached over http or https."""
-    return table(spark, sf_dir, "pages").filter(F.col("url").rlike("^https?:"))
+    return spread(table(spark, sf_dir, "pages").filter(F.col("url").rlike("^https?:")))
 
 
 def choose_scope(df: DataFrame, mode: str, passage: str = "passage", text: str = "text") -> DataFrame:
