@@ -596,9 +596,17 @@ class Sql:
     def repeated(self) -> str:
         self.ngram_tokens()
         lo, hi = T.phrase_reuse__min_n, T.phrase_reuse__max_n
+        self.add(
+            "tokrows", "SELECT doc_id, unnest(t) AS w0, generate_subscripts(t, 1) - 1 AS pos FROM toks"
+        )
+        leads = ", ".join(f"lead(w0, {k}) OVER w AS w{k}" for k in range(1, hi))
+        self.add(
+            "tokleads",
+            f"SELECT *, {leads} FROM tokrows WINDOW w AS (PARTITION BY doc_id ORDER BY pos)",
+        )
         sizes = " UNION ALL ".join(
-            f"""SELECT doc_id, {n} AS n, unnest(list_transform(range(1, len(t) - {n} + 2), lambda i: array_to_string(t[i:i + {n} - 1], ' '))) AS gram,
-            generate_subscripts(range(1, len(t) - {n} + 2), 1) - 1 AS pos FROM toks WHERE len(t) >= {n}"""
+            f"SELECT doc_id, {n} AS n, {' || chr(32) || '.join(f'w{k}' for k in range(n))} AS gram, pos "
+            f"FROM tokleads WHERE w{n - 1} IS NOT NULL"
             for n in range(lo, hi + 1)
         )
         self.add(

@@ -373,7 +373,9 @@ def _register_rule(key: str) -> None:
 
 
 for _, _key in RULES:
-    _register_rule(_key)
+    # Appended snippets never even out the paragraphs; see below.
+    if _key != "paragraph_cv":
+        _register_rule(_key)
 
 
 def _register_raw(key: str) -> None:
@@ -386,6 +388,21 @@ for _key in ("rhythm", "copula_chain", "structural", "phrase_reuse", "intrasente
     _register_raw(_key)
 
 
+AS_PARAGRAPHS = "SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text, lang, source FROM documents"
+
+
+def _register_paragraphs(key: str) -> None:
+    @query(f"{key}_hits_of_lines", _rule_sql(key, AS_PARAGRAPHS))
+    def over_lines(spark, sf_dir):
+        """The rule with every line of a document as a paragraph of its own."""
+        d = load_documents(spark, sf_dir)
+        return _rule_hits(d.withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n"))), key)
+
+
+for _key in ("paragraph_balance", "paragraph_cv"):
+    _register_paragraphs(_key)
+
+
 def _word_advice_sql() -> str:
     sql = Sql()
     sql.slop_words()
