@@ -169,11 +169,16 @@ def html_tokens(pages: DataFrame) -> DataFrame:
     )
 
 
+# Further tags at which an open paragraph, item or inline mark ends.
+OTHER_BOUNDARIES = (
+    "ul", "ol", "li", "blockquote", "pre", "hr", "body", "html", "tr", "td", "th", "nav", "footer",
+    "aside",
+)
+
+
 def _boundary() -> Column:
-    """Tags at which an open paragraph, item or inline mark ends."""
-    tag = F.col("tag")
-    return tag.isin(*BLOCK_TAGS, *HEADINGS, "ul", "ol", "li", "blockquote", "pre", "hr", "body", "html", "tr", "td", "th", "nav", "footer", "aside") & (
-        F.col("kind").isin("open", "close", "void")
+    return F.col("tag").isin(*BLOCK_TAGS, *HEADINGS, *OTHER_BOUNDARIES) & F.col("kind").isin(
+        "open", "close", "void"
     )
 
 
