@@ -33,7 +33,7 @@ def layout_to_text(items: DataFrame) -> DataFrame:
                 F.last(F.when(F.col("height") > 0, F.col("height")), ignorenulls=True).over(before),
                 F.lit(DEFAULT_HEIGHT),
             ),
-            "gap": F.abs(F.lag("y").over(page) - F.col("y")),
+            "gap": F.abs(F.last("y", ignorenulls=True).over(before) - F.col("y")),
             "new_eols": F.col("eols") - F.coalesce(F.lag("eols").over(page), F.lit(0)),
         }
     )

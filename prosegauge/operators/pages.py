@@ -627,7 +627,10 @@ def article_tokens(tokens: DataFrame) -> DataFrame:
 
 
 def _draft(tokens: DataFrame) -> DataFrame:
-    """One string per page, with marks for breaks, quotes and text runs."""
+    """One string per page, with marks for breaks, quotes and text runs.
+
+    `texts` are the texts that have runs, in order.
+    """
     text = F.col("text")
     raw = F.translate(text, " \n\t", RAW_SPACE + RAW_NEWLINE + RAW_TAB)
     lined = F.regexp_replace(
@@ -646,7 +649,10 @@ def _draft(tokens: DataFrame) -> DataFrame:
                 lambda x: x["p"],
             ),
             "",
-        ).alias("draft")
+        ).alias("draft"),
+        F.sort_array(
+            F.collect_list(F.when(F.col("kept") & ~F.col("in_pre"), F.struct("seq", "text")))
+        ).alias("texts"),
     )
 
 
@@ -688,7 +694,7 @@ def _settled(draft: Column) -> Column:
 
 def marked_markdown(article: DataFrame) -> DataFrame:
     """(page_id, marked): the Markdown with a RUN mark before every text run."""
-    return _draft(article).select("page_id", _settled(F.col("draft")).alias("marked"))
+    return _draft(article).select("page_id", "texts", _settled(F.col("draft")).alias("marked"))
 
 
 def to_markdown(tokens: DataFrame) -> DataFrame:
@@ -711,11 +717,10 @@ def offset_map(tokens: DataFrame) -> DataFrame:
     (page_id, run_no, md_start, md_end, node, node_start): the run number
     `run_no` of the page is the text of token `node` from `node_start` on.
     """
-    article = article_tokens(tokens)
     pieces = F.split("marked", RUN, -1)
 
-    def place(p):
-        starts = F.aggregate(
+    def starts(p):
+        return F.aggregate(
             p,
             F.struct(F.lit(0).alias("pos"), F.expr("cast(array() as array<int>)").alias("out")),
             lambda acc, x: F.struct(
@@ -723,25 +728,35 @@ def offset_map(tokens: DataFrame) -> DataFrame:
             ),
             lambda acc: acc["out"],
         )
-        return F.slice(starts, F.lit(2), F.size(p))
 
-    placed = marked_markdown(article).select(
-        "page_id", F.posexplode(let(pieces, place)).alias("run_no", "md_start")
+    runs = F.flatten(
+        F.transform(
+            "texts",
+            lambda t: F.transform(
+                spans(t["text"], P.NON_SPACE + "+"),
+                lambda r: F.struct(
+                    t["seq"].alias("node"), r["start"].alias("node_start"), F.length(r["match"]).alias("n")
+                ),
+            ),
+        )
     )
-    runs = article.filter(F.col("kept") & ~F.col("in_pre")).select(
-        "page_id", F.col("seq").alias("node"), F.explode(spans(F.col("text"), P.NON_SPACE + "+")).alias("r")
+    placed = marked_markdown(article_tokens(tokens)).select(
+        "page_id", let(pieces, starts).alias("starts"), runs.alias("runs")
     )
-    numbered = runs.select(
+    # The k-th mark stands before the k-th run; the first piece has no mark.
+    rows = placed.select(
         "page_id",
-        (
-            F.row_number().over(Window.partitionBy("page_id").orderBy("node", F.col("r.start"))) - 1
-        ).alias("run_no"),
-        "node",
-        F.col("r.start").alias("node_start"),
-        F.length("r.match").alias("n"),
+        F.posexplode(
+            F.arrays_zip(F.slice("starts", F.lit(2), F.size("starts")).alias("md_start"), F.col("runs").alias("r"))
+        ).alias("run_no", "z"),
     )
-    return placed.join(numbered, ["page_id", "run_no"]).select(
-        "page_id", "run_no", "md_start", (F.col("md_start") + F.col("n")).alias("md_end"), "node", "node_start"
+    return rows.select(
+        "page_id",
+        "run_no",
+        F.col("z.md_start").alias("md_start"),
+        (F.col("z.md_start") + F.col("z.r.n")).alias("md_end"),
+        F.col("z.r.node").alias("node"),
+        F.col("z.r.node_start").alias("node_start"),
     )
 
 
@@ -749,42 +764,53 @@ def locate_hits(hits: DataFrame, offsets: DataFrame) -> DataFrame:
     """Hits of a page's Markdown placed in its text tokens.
 
     The first run that ends after a hit's start, and the last that begins
-    before its end, both clipped to the hit.  Runs and hits are merged in one
-    order per page and looked up with windows, instead of a join on ranges
-    that would compare every hit with every run.
+    before its end, both clipped to the hit.  Runs and the two edges of every
+    hit are merged in one order per page and looked up with windows, instead of
+    a join on ranges that would compare every hit with every run.
     """
-    end = F.greatest(F.col("end"), F.col("start") + 1)
-    nothing = F.lit(None)
     run = F.struct("md_start", "md_end", "node", "node_start")
-    run_type = "struct<md_start:int,md_end:int,node:int,node_start:int>"
-    ends = offsets.select("page_id", F.col("md_end").alias("at"), F.lit(1).alias("order"), run.alias("run"), nothing.cast("int").alias("seq"))
-    probes = hits.select("page_id", F.col("start").alias("at"), F.lit(2).alias("order"), nothing.cast(run_type).alias("run"), "seq")
-    following = (
+    hit = F.struct(*[c for c in hits.columns if c != "page_id"])
+    no_run = F.lit(None).cast("struct<md_start:int,md_end:int,node:int,node_start:int>")
+    no_hit = F.lit(None).cast(hits.select(hit.alias("h")).schema["h"].dataType)
+    row = lambda at, order, r, h: [
+        "page_id", at.alias("at"), F.lit(order).alias("order"), r.alias("run"), h.alias("hit")
+    ]
+    # At one position: the end of a hit, then the run, then the start of a hit.
+    merged = (
+        offsets.select(*row(F.col("md_start"), 2, run, no_hit))
+        .unionByName(hits.select(*row(F.col("start"), 3, no_run, hit)))
+        .unionByName(hits.select(*row(F.greatest(F.col("end"), F.col("start") + 1), 1, no_run, hit)))
+    )
+    forward = Window.partitionBy("page_id").orderBy("at", "order").rowsBetween(Window.unboundedPreceding, 0)
+    reverse = (
         Window.partitionBy("page_id")
         .orderBy(F.desc("at"), F.desc("order"))
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    first = (
-        ends.unionByName(probes)
-        .withColumn("first", F.last("run", ignorenulls=True).over(following))
-        .filter(F.col("seq").isNotNull())
-        .select("page_id", "seq", "first")
-    )
-    starts = offsets.select("page_id", F.col("md_start").alias("at"), F.lit(2).alias("order"), run.alias("run"), nothing.cast("int").alias("seq"))
-    probes = hits.select("page_id", end.alias("at"), F.lit(1).alias("order"), nothing.cast(run_type).alias("run"), "seq")
-    preceding = Window.partitionBy("page_id").orderBy("at", "order").rowsBetween(Window.unboundedPreceding, 0)
-    last = (
-        starts.unionByName(probes)
-        .withColumn("last", F.last("run", ignorenulls=True).over(preceding))
-        .filter(F.col("seq").isNotNull())
-        .select("page_id", "seq", "last")
-    )
-    found = hits.join(first, ["page_id", "seq"]).join(last, ["page_id", "seq"])
-    found = found.filter(F.col("first").isNotNull() & (F.col("first.md_start") < F.col("end")))
+    looked = merged.withColumns(
+        {
+            "behind": F.last("run", ignorenulls=True).over(forward),
+            "ahead": F.last("run", ignorenulls=True).over(reverse),
+        }
+    ).filter(F.col("hit").isNotNull())
+    # Runs do not overlap: the run at the start, if it reaches it, else the next.
+    reaches = F.coalesce(F.col("behind.md_end") > F.col("at"), F.lit(False))
+    pairs = looked.groupBy("page_id", F.col("hit.seq").alias("hit_seq")).agg(
+        F.any_value("hit").alias("hit"),
+        F.max(
+            F.when(F.col("order") == 3, F.when(reaches, F.col("behind")).otherwise(F.col("ahead")))
+        ).alias("first"),
+        F.max(F.when(F.col("order") == 1, F.col("behind"))).alias("last"),
+    )
+    found = pairs.select("page_id", "hit.*", "first", "last").filter(
+        F.col("first").isNotNull() & (F.col("first.md_start") < F.col("end"))
+    )
     return found.select(
         *hits.columns,
         F.col("first.node").alias("from_node"),
-        (F.col("first.node_start") + F.greatest(F.lit(0), F.col("start") - F.col("first.md_start"))).alias("from_offset"),
+        (
+            F.col("first.node_start") + F.greatest(F.lit(0), F.col("start") - F.col("first.md_start"))
+        ).alias("from_offset"),
         F.col("last.node").alias("to_node"),
         (
             F.col("last.node_start")

@@ -1,0 +1,36 @@
+"""Custom state for streams: remember one value per key."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming.state import GroupStateTimeout
+
+
+def keep_changes(events: DataFrame) -> DataFrame:
+    """Rows whose phase differs from the one before in their key.
+
+    The state of a key is its last phase.  The rows of a key arrive in no
+    order, so those of one micro-batch are sorted together; the rate limit of
+    the source bounds how many they are.
+    """
+
+    # A local function travels to the workers by value.
+    def changes(key, batches, state):
+        import pandas as pd
+
+        rows = pd.concat(list(batches))
+        if not len(rows):
+            return
+        rows = rows.sort_values(["ts", "event_id"])
+        before = rows["phase"].shift(1)
+        before.iloc[0] = state.get[0] if state.exists else None
+        state.update((rows["phase"].iloc[-1],))
+        yield rows[(rows["phase"] != before) & (rows["phase"] != "")]
+
+    return events.groupBy("key").applyInPandasWithState(
+        changes,
+        outputStructType=events.schema,
+        stateStructType="phase string",
+        outputMode="append",
+        timeoutConf=GroupStateTimeout.NoTimeout,
+    )
