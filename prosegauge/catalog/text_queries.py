@@ -391,16 +391,16 @@ for _key in ("rhythm", "copula_chain", "structural", "phrase_reuse", "intrasente
 AS_PARAGRAPHS = "SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text, lang, source FROM documents"
 
 
-def _register_paragraphs(key: str) -> None:
-    @query(f"{key}_hits_of_lines", _rule_sql(key, AS_PARAGRAPHS))
+def _register_paragraphs(name: str, key: str) -> None:
+    @query(name, _rule_sql(key, AS_PARAGRAPHS))
     def over_lines(spark, sf_dir):
         """The rule with every line of a document as a paragraph of its own."""
         d = load_documents(spark, sf_dir)
         return _rule_hits(d.withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n"))), key)
 
 
-for _key in ("paragraph_balance", "paragraph_cv"):
-    _register_paragraphs(_key)
+_register_paragraphs("paragraph_balance_hits_of_lines", "paragraph_balance")
+_register_paragraphs("paragraph_cv_hits", "paragraph_cv")
 
 
 def _word_advice_sql() -> str:
