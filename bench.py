@@ -21,7 +21,7 @@ HEADLINES = (
     "bands_by_source",
     "scores_of_documents",
     "rhythm_hits_of_documents",
-    "copula_chain_hits_of_documents",
+    "sentence_measures",
     "repeated_ngrams",
     "signals",
     "sentences_of_documents",

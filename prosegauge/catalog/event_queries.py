@@ -150,7 +150,7 @@ def settings_everywhere(spark, sf_dir):
     events = scan_events(spark, sf_dir)
     keys = events.select("key").distinct()
     readings = E.latest_readings(events).select("key", "band", "slop")
-    settings = report.settings_row(spark, tint_icon=False)
+    settings = report.Settings(tint_icon=False)
     return report.apply_everywhere(keys, readings, settings).select("key", "icon_band", "badge_text")
 
 

@@ -155,7 +155,7 @@ def report_heads(spark, sf_dir):
 )
 def indicator(spark, sf_dir):
     readings = scoring.scan(seeded(spark, sf_dir)).select(F.col("doc_id").alias("key"), "band", "slop")
-    return report.indicator(readings, report.settings_row(spark)).select(
+    return report.indicator(readings).select(
         "key", "icon_band", "badge_text", "badge_colour"
     )
 

@@ -384,7 +384,7 @@ def _register_raw(key: str) -> None:
         return _rule_hits(load_documents(spark, sf_dir), key)
 
 
-for _key in ("rhythm", "copula_chain", "structural", "phrase_reuse", "intrasentence_keyword_bold"):
+for _key in ("rhythm", "structural", "phrase_reuse", "intrasentence_keyword_bold"):
     _register_raw(_key)
 
 
@@ -403,6 +403,30 @@ _register_paragraphs("paragraph_balance_hits_of_lines", "paragraph_balance")
 _register_paragraphs("paragraph_cv_hits", "paragraph_cv")
 
 
+def _measures_sql() -> str:
+    sql = Sql(RAW)
+    sql.rhythm()
+    sql.copula_chain()
+    return sql.text(
+        """SELECT r.doc_id, CAST(r.n AS INTEGER) AS sentences, round(mean, 6) AS mean, round(cv, 6) AS cv,
+          CAST(shortest AS INTEGER) AS shortest, CAST(longest AS INTEGER) AS longest, CAST(k AS INTEGER) AS copulas
+        FROM rh r JOIN cc USING (doc_id)
+        JOIN (SELECT doc_id, min(n_words) AS shortest, max(n_words) AS longest FROM sents GROUP BY doc_id) USING (doc_id)"""
+    )
+
+
+@query("sentence_measures", _measures_sql)
+def sentence_measures(spark, sf_dir):
+    """What the rhythm and copula rules measure, for every document."""
+    d = V.with_views(load_documents(spark, sf_dir)).filter("n_sents > 0").withColumns(
+        {"shape": M.sentence_shape(1), "copulas": M.copula_sentences(1)}
+    )
+    return d.select(
+        "doc_id", F.col("n_sents").alias("sentences"), F.round("shape.mean", 6).alias("mean"),
+        F.round("shape.cv", 6).alias("cv"), "shape.shortest", "shape.longest", "copulas",
+    )
+
+
 def _word_advice_sql() -> str:
     sql = Sql()
     sql.slop_words()

@@ -6,6 +6,8 @@ within one document, whose hits are bounded by the text limit.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -61,7 +63,6 @@ BAND_COLOURS = {
     "saturated": "#F85149",
 }
 BADGE_TEXT_COLOUR = "#0D1117"
-DEFAULT_SETTINGS = {"badge": True, "tint_icon": True, "auto_scan": False}
 
 
 def rule_labels(spark: SparkSession) -> DataFrame:
@@ -155,31 +156,32 @@ def paintable(hits: DataFrame, text_len: str = "text_len") -> DataFrame:
     return ranked.filter(~((F.col("start") == 0) & (F.col("end") == F.col(text_len)))).drop("rank")
 
 
-def settings_row(spark: SparkSession, **changes: bool) -> DataFrame:
-    values = {**DEFAULT_SETTINGS, **changes}
-    return spark.createDataFrame(
-        [tuple(values.values())], "badge boolean, tint_icon boolean, auto_scan boolean"
-    )
+@dataclass(frozen=True)
+class Settings:
+    """What the indicator shows.  Defaults are fixed values."""
+
+    badge: bool = True
+    tint_icon: bool = True
+    auto_scan: bool = False
 
 
-def indicator(readings: DataFrame, settings: DataFrame) -> DataFrame:
-    """What the toolbar shows for each reading, under the one row of settings.
+def indicator(readings: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """What the toolbar shows for each reading under the given settings.
 
     Without a reading (null band), or with a part switched off, it is blank.
     """
-    joined = readings.join(F.broadcast(settings.limit(1)), how="cross")
     colours = F.create_map(*[F.lit(x) for pair in BAND_COLOURS.items() for x in pair])
     has = F.col("band").isNotNull()
-    badge = F.col("badge") & has
-    return joined.select(
+    badge = F.lit(settings.badge) & has
+    return readings.select(
         *readings.columns,
-        F.when(F.col("tint_icon") & has, F.col("band")).alias("icon_band"),
+        F.when(F.lit(settings.tint_icon) & has, F.col("band")).alias("icon_band"),
         F.when(badge, F.col("slop").cast("string")).otherwise("").alias("badge_text"),
         F.when(badge, F.try_element_at(colours, F.col("band"))).alias("badge_colour"),
         F.when(badge, BADGE_TEXT_COLOUR).alias("badge_text_colour"),
     )
 
 
-def apply_everywhere(keys: DataFrame, readings: DataFrame, settings: DataFrame) -> DataFrame:
+def apply_everywhere(keys: DataFrame, readings: DataFrame, settings: Settings) -> DataFrame:
     """Every open key with its reading under new settings; others are cleared."""
     return indicator(keys.join(readings, "key", "left"), settings)

@@ -57,9 +57,9 @@ def test_report(spark):
 
 def test_indicator(spark):
     readings = spark.createDataFrame([(1, "heavy", 70), (2, None, None)], "key int, band string, slop int")
-    on = report.indicator(readings, report.settings_row(spark)).orderBy("key").collect()
+    on = report.indicator(readings).orderBy("key").collect()
     assert [(r.icon_band, r.badge_text, r.badge_colour) for r in on] == [("heavy", "70", "#DB6D28"), (None, "", None)]
-    off = report.indicator(readings, report.settings_row(spark, badge=False, tint_icon=False)).first()
+    off = report.indicator(readings, report.Settings(badge=False, tint_icon=False)).first()
     assert (off.icon_band, off.badge_text) == (None, "")
 
 
