@@ -14,12 +14,13 @@ from prosegauge.functions.text import context_around, n_words, spans
 from prosegauge.operators import measures as M
 from prosegauge.operators import views as V
 from prosegauge.operators.lexical import phrase_spans
-from prosegauge.lexicons import STOCK_PHRASES, WEASEL_PHRASES, lexicon, lexicon_rows
+from prosegauge.lexicons import STOCK_PHRASES, WEASEL_PHRASES, Lexicons, lexicon, lexicon_rows
 from prosegauge.plans import scoring
 from prosegauge.plans.rules import default_rules
 from prosegauge.sources.tables import (
-    choose_scope, load_documents, load_pages, results_json, spread, table,
+    choose_scope, load_documents, load_pages, results_json, spread, table, write_results,
 )
+from prosegauge.streaming.run import shared_folder
 
 RAW = "SELECT doc_id, text, lang, source FROM documents"
 
@@ -568,6 +569,45 @@ def phrase_penalty_by_source(spark, sf_dir):
     )
 
 
+def _written_sql() -> str:
+    sql = Sql()
+    sql.scores()
+    return sql.text(
+        """SELECT band, CAST(count(*) AS BIGINT) AS documents, CAST(coalesce(sum(n), 0) AS BIGINT) AS hits
+        FROM scores LEFT JOIN (SELECT doc_id, count(*) AS n FROM all_hits GROUP BY doc_id) USING (doc_id) GROUP BY band"""
+    )
+
+
+@query("results_written", _written_sql)
+def results_written(spark, sf_dir):
+    """Analysis records written by band in the shared folder, then read back."""
+    folder = shared_folder(spark, "results")
+    write_results(scoring.analyze(seeded(spark, sf_dir)), folder)
+    return spark.read.parquet(folder).groupBy("band").agg(
+        F.count("*").alias("documents"), F.sum(F.size("hits")).alias("hits")
+    )
+
+
+def _retuned_sql() -> str:
+    sql = Sql(RAW)
+    sql.phrases("p", OWN_PHRASES)
+    sql.code()
+    return sql.text(
+        f"""SELECT doc_id, n, -n AS total_penalty, CAST(greatest(0, least(100, {S.half_even('100 * exp(-0.04::DOUBLE * d)')})) AS INTEGER) AS score
+        FROM (SELECT v.doc_id, CAST(CASE WHEN word_count >= {config.MIN_WORDS} THEN count(p.doc_id) ELSE 0 END AS INTEGER) AS n,
+          CASE WHEN word_count >= {config.MIN_WORDS} THEN count(p.doc_id) / (word_count / 1000.0::DOUBLE) ELSE 0::DOUBLE END AS d
+        FROM views v LEFT JOIN p USING (doc_id) GROUP BY v.doc_id, word_count)"""
+    )
+
+
+@query("retuned_rule", _retuned_sql)
+def retuned_rule(spark, sf_dir):
+    """One rule only, with a caller's phrases and penalty."""
+    rules = default_rules(config.Thresholds(weasel__penalty=-1), Lexicons(weasel_phrases=OWN_PHRASES))
+    rows = scoring.scored(load_documents(spark, sf_dir), [r for r in rules if r.name == "weasel"])
+    return rows.select("doc_id", F.col("n_weasel").alias("n"), "total_penalty", "score")
+
+
 def _json_sql() -> str:
     sql = Sql()
     sql.scores()

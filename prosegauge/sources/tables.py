@@ -41,24 +41,27 @@ def load_text_files(spark: SparkSession, path: str, types: dict[str, str] | None
 
     A file counts as text by its extension or, where the caller knows it, by
     its MIME type (`types` maps an extension to one).  Other files and files
-    over the size limit are listed with a status and no text; their content is
-    not decoded.
+    over the size limit are listed with a status and no text.  Only the content
+    of files that are returned is read: names and sizes filter the listing.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     extensions = list(config.TEXT_EXTENSIONS) + [
         e for e, mime in (types or {}).items() if mime.startswith("text/")
     ]
-    readable = F.col("path").rlike(f"(?i)\\.(?:{'|'.join(extensions)})\\z")
-    status = (
-        F.when(F.col("length") > config.MAX_FILE_BYTES, "too_large")
-        .when(~readable, "unsupported")
-        .otherwise("ok")
-    )
-    return files.select(
-        "path",
-        F.when(status == "ok", F.decode("content", "UTF-8")).alias("text"),
-        status.alias("status"),
+    any_case = lambda name: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in name)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    small = F.col("length") <= config.MAX_FILE_BYTES
+    texts = (
+        reader.option("pathGlobFilter", "*.{" + ",".join(map(any_case, extensions)) + "}")
+        .load(path)
+        .filter(small)
+        .select("path", F.decode("content", "UTF-8").alias("text"), F.lit("ok").alias("status"))
     )
+    # A reader keeps its options, so the listing of everything starts anew.
+    everything = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    readable = F.col("path").rlike(f"(?i)\\.(?:{'|'.join(extensions)})\\z")
+    status = F.when(~small, "too_large").when(~readable, "unsupported")
+    others = everything.select("path", F.lit(None).cast("string").alias("text"), status.alias("status"))
+    return texts.unionByName(others.filter(F.col("status").isNotNull()))
 
 
 def load_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
