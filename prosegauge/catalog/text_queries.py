@@ -10,7 +10,7 @@ from prosegauge.catalog import sql as S
 from prosegauge.catalog.fixtures import seeded
 from prosegauge.catalog.registry import query
 from prosegauge.catalog.sql import RULES, Sql
-from prosegauge.functions.text import context_around, n_words, spans
+from prosegauge.functions.text import clean, context_around, n_words, spans
 from prosegauge.operators import measures as M
 from prosegauge.operators import views as V
 from prosegauge.operators.lexical import phrase_spans
@@ -300,7 +300,7 @@ def _phrase_sql(docs, phrases) -> str:
 
 
 def _phrase_hits(df: DataFrame, phrases) -> DataFrame:
-    found = df.withColumn("lower", F.lower("text")).select(
+    found = df.withColumn("lower", F.lower(clean(F.col("text")))).select(
         "doc_id", F.explode(phrase_spans(F.col("lower"), phrases)).alias("m")
     )
     return found.select(

@@ -92,6 +92,8 @@ def closing_forms(min_sentences: int) -> Column:
 
 
 # --- repeated phrases ------------------------------------------------------------
+# Room for positions of tokens next to a hash in one long.
+POSITION_BITS = 26
 REUSE = "array<struct<gram:string,n:int,count:int,first:int>>"
 
 
@@ -116,11 +118,11 @@ def repeated_ngrams(min_n: int, max_n: int, min_count: int) -> Column:
             F.transform(
                 F.sequence(F.lit(0), F.size(t) - min_n),
                 lambda i: F.shiftleft(
-                    F.xxhash64(*[t[i + k] for k in range(min_n)]), 22
+                    F.xxhash64(*[t[i + k] for k in range(min_n)]), POSITION_BITS
                 ).bitwiseOR(i.cast("bigint")),
             )
         )
-        group = lambda x: F.shiftright(x, 22)
+        group = lambda x: F.shiftright(x, POSITION_BITS)
 
         def opens_run(p):
             return lambda x, i: group(x) == group(F.get(p, i + (min_count - 1)))
@@ -137,7 +139,7 @@ def repeated_ngrams(min_n: int, max_n: int, min_count: int) -> Column:
 
         def positions(p):
             members = F.transform(
-                F.filter(p, in_run(p)), lambda x: x.bitwiseAND(F.lit((1 << 22) - 1)).cast("int")
+                F.filter(p, in_run(p)), lambda x: x.bitwiseAND(F.lit((1 << POSITION_BITS) - 1)).cast("int")
             )
             # Most documents repeat nothing and stop after one comparison each.
             return F.when(

@@ -56,9 +56,12 @@ VOID_TAGS = (
 )
 RAW_TAGS = ("script", "style", "textarea", "title", "noscript", "iframe")
 
-TOKEN = (
-    "(?i)<!--(?s:.*?)(?:-->|\\z)|<[!?][^>]*+>?"
+_OPAQUE = (
+    "<!--(?s:.*?)(?:-->|\\z)|<[!?][^>]*+>?"
     f"|<({'|'.join(RAW_TAGS)})\\b[^>]*+>(?s:.*?)(?:</\\1[^>]*+>|\\z)"
+)
+TOKEN = (
+    f"(?i){_OPAQUE}"
     "|</?[a-z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^<]++|<"
 )
 
@@ -118,12 +121,18 @@ def has_attribute(attrs: Column, name: str) -> Column:
 
 
 def within_guard(pages: DataFrame) -> DataFrame:
-    """Pages whose token and text sizes pass the guard, counted in the row."""
-    nodes = F.regexp_count("html", F.lit("<[a-zA-Z!]|>[^<]"))
-    chars = F.length(F.regexp_replace("html", "<[^>]*+>", ""))
+    """Leave out pages that are certainly over the guard, before they explode.
+
+    The elements of the body, outside scripts and comments, are not more than
+    its nodes, and one character takes at most ten characters of source.  What
+    passes is counted exactly later.
+    """
+    body = F.regexp_replace(F.regexp_replace("html", "(?is)\\A.*?<body[^>]*+>", ""), f"(?i){_OPAQUE}", "")
+    elements_ = F.regexp_count(body, F.lit("<[a-zA-Z]"))
+    chars = F.length(F.regexp_replace(body, "<[^>]*+>", ""))
     return pages.filter(
         F.when(F.length("html") <= config.MAX_PAGE_NODES, True).otherwise(
-            (nodes <= config.MAX_PAGE_NODES) & (chars <= config.MAX_TEXT_CHARS)
+            (elements_ <= config.MAX_PAGE_NODES) & (chars <= 10 * config.MAX_TEXT_CHARS)
         )
     )
 
@@ -411,7 +420,23 @@ def with_token_array(tokens: DataFrame) -> DataFrame:
         }
     )
     names = ["seq"] + [c for c in extra.columns if c not in ("page_id", "seq")]
-    return extra.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("toks"))
+    per_page = extra.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("toks"))
+    return per_page.filter(_within_limits(F.col("toks")))
+
+
+def _within_limits(toks: Column) -> Column:
+    """The exact guard on a page's token array: nodes and characters of the body."""
+    opened = F.get(F.filter(toks, lambda t: (t["tag"] == "body") & (t["kind"] == "open")), F.lit(0))["seq"]
+
+    def measure(start):
+        inside = F.filter(toks, lambda t: (t["seq"] > start) & (t["kind"] != "close"))
+        return let(
+            inside,
+            lambda i: (F.size(i) <= config.MAX_PAGE_NODES)
+            & (F.aggregate(i, F.lit(0), lambda a, t: a + F.length(t["text"])) <= config.MAX_TEXT_CHARS),
+        )
+
+    return let(F.coalesce(opened, F.lit(-1)), measure)
 
 
 def score_roots(tokens: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ def has_code(text: Column) -> Column:
 
 def masked_text(text: Column) -> Column:
     """Code replaced by blanks; newlines and length are kept."""
-    marked = F.regexp_replace(text, P.CODE, f"$1{OPEN}$2$4{CLOSE}")
+    marked = F.regexp_replace(clean(text), P.CODE, f"$1{OPEN}$2$4{CLOSE}")
     pieces = F.split(marked, f"[{OPEN}{CLOSE}]", -1)
     blanked = F.transform(
         pieces,
@@ -32,7 +32,7 @@ def masked_text(text: Column) -> Column:
 def code_spans(text: Column) -> Column:
     """Code spans as (start, end, fenced)."""
     # The indent before a fence is outside its span.
-    marked = F.regexp_replace(text, P.CODE, f"$1{OPEN}$2$4{CLOSE}")
+    marked = F.regexp_replace(clean(text), P.CODE, f"$1{OPEN}$2$4{CLOSE}")
     pieces = F.split(marked, f"[{OPEN}{CLOSE}]", -1)
     out_type = "array<struct<start:int,end:int,fenced:boolean>>"
 
@@ -271,7 +271,7 @@ def ngram_token_table(df: DataFrame) -> DataFrame:
 
 def match_spans(df: DataFrame, pattern: str, column: str = "text") -> DataFrame:
     """Matches of any pattern with their offsets, one row each."""
-    found = F.when(F.col(column).rlike(pattern), spans(F.col(column), pattern))
+    found = F.when(F.col(column).rlike(pattern), spans(clean(F.col(column)), pattern))
     return df.select("doc_id", F.explode(found).alias("m")).select(
         "doc_id", F.col("m.start"), F.col("m.end"), F.col("m.match")
     )

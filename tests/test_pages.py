@@ -114,7 +114,8 @@ def test_guard(spark):
     df = spark.createDataFrame([(1, big), (2, "<body>" + "x" * 500_001), (3, "<body>x")], "page_id long, html string")
     got = {r.page_id: r.status for r in P.page_guard(P.html_tokens(df)).collect()}
     assert got == {1: "too_large", 2: "too_large", 3: "ok"}
-    assert [r.page_id for r in P.within_guard(df).collect()] == [3]
+    assert [r.page_id for r in P.extract(df).collect()] == [3]
+    assert sorted(r.page_id for r in P.within_guard(df).collect()) == [2, 3]
 
 
 def test_entities(spark):
