@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosegauge.llm import decontaminate, mixing, neighbours, quality, shards, token_counts, token_ids, toxicity
+from prosegauge.llm import decontaminate, mixing, neighbours, quality, shards, substrings, token_counts, token_ids, toxicity
 from prosegauge.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicated(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.written_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
