@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosegauge.llm import decontaminate, mixing, neighbours, quality, shards, substrings, token_counts, token_ids, toxicity
+from prosegauge.llm import decontaminate, jaccard, mixing, neighbours, quality, shards, substrings, token_counts, token_ids, toxicity
 from prosegauge.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of similar documents."""
+    return jaccard.joined(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 @query
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark item, with the item."""
