@@ -15,7 +15,9 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -24,7 +26,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegauge.llm.pieces import Splitter, splitter
+from prosegauge.llm.pieces import splitter
 from prosegauge.llm.shared import shared_folder
 from prosegauge.llm.textscan import text_blocks
 
@@ -33,7 +35,7 @@ HEAD = struct.Struct("<8sIIQQ")
 #: Ids per block (a multiple of 8), and UTF-8 bytes of text per file.
 BLOCK_IDS = 1 << 14
 FILE_BYTES = 16 << 20
-CACHED = 300_000
+CACHED = 500_000
 #: Stands for a null document key.
 NO_KEY = -(2**63)
 MANIFEST = "doc_count long, id_count long, path string, part int"
@@ -102,20 +104,28 @@ class IdFile:
 class _Encoder:
     """Ids of texts, encoding each distinct pre-token once per worker."""
 
-    def __init__(self, split: Splitter) -> None:
-        self.split, self.known = split, {}
+    def __init__(self, path: str) -> None:
+        self.split, self.known = splitter(path), {}
 
     def ids(self, texts: list[str], end: int) -> list[np.ndarray]:
         pieces = [self.split.pieces(t) for t in texts]
         if len(self.known) > CACHED:
             self.known = {}
         new = list(set().union(*filter(None, pieces)).difference(self.known))
-        self.known.update(zip(new, map(tuple, self.split.encoded(new)), strict=True))
-        of = self.known.__getitem__
-        return [
-            np.fromiter(chain(self.split.whole(t) if p is None else chain.from_iterable(map(of, p)), (end,)), np.uint32)
-            for t, p in zip(texts, pieces, strict=True)
-        ]
+        self.known.update(zip(new, map(_packed, self.split.encoded(new)), strict=True))
+        of, last = self.known.__getitem__, _packed([end])
+        raw = [(_packed(self.split.whole(t)) if p is None else b"".join(map(of, p))) + last for t, p in zip(texts, pieces, strict=True)]
+        return [np.frombuffer(r, np.uint32) for r in raw]
+
+
+def _packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> _Encoder:
+    """One per worker process, so that what a task has encoded is known to the next."""
+    return _Encoder(path)
 
 
 def write_file(path: str, documents: Iterator[tuple[int, np.ndarray]], bits: int) -> tuple[int, int]:
@@ -181,7 +191,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, parts: in
     numbered = dealt.withColumn("part", F.spark_partition_id())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = _Encoder(splitter(tokenizer)), []
+        encoder, part = _encoder(tokenizer), []
 
         def documents() -> Iterator[tuple[int, np.ndarray]]:
             for batch in batches:
