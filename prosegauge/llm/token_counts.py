@@ -64,23 +64,24 @@ class PackedLengths:
         return {self.text[a:b].decode(): n for (a, b), n in zip(spans, lengths, strict=True)}
 
 
-class Lookup:
-    """Both tiers in one worker."""
+class Lookup(dict):
+    """Both tiers in one worker: lengths by pre-token, the frequent ones and a cache that is filled on the way."""
 
     def __init__(self, path: str, packed: PackedLengths, cached: int = CACHED) -> None:
         self.split, self.frequent, self.cached = splitter(path), packed.table(), cached
-        self.known = dict(self.frequent)
+        self.update(self.frequent)
+
+    def __missing__(self, piece: str) -> int:
+        if len(self) > self.cached:
+            self.clear()
+            self.update(self.frequent)
+        found = self[piece] = len(self.split.encoded([piece])[0])
+        return found
 
     def counts(self, texts: list[str]) -> list[int]:
-        split = [self.split.pieces(t) for t in texts]
-        new = set().union(*filter(None, split)).difference(self.known)
-        if len(self.known) + len(new) > self.cached:
-            self.known = dict(self.frequent)
-            new = set().union(*filter(None, split)).difference(self.known)
-        new = list(new)
-        self.known.update(zip(new, map(len, self.split.encoded(new)), strict=True))
-        length = self.known.__getitem__
-        return [len(self.split.whole(t)) if p is None else sum(map(length, p)) for t, p in zip(texts, split, strict=True)]
+        length, split = self.__getitem__, self.split
+        each = ((t, split.pieces(t)) for t in texts)
+        return [len(split.whole(t)) if p is None else sum(map(length, p)) for t, p in each]
 
 
 def with_token_counts(docs: DataFrame, path: str, text: str = "text", into: str = "n_tokens") -> DataFrame:

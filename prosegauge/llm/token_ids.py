@@ -101,21 +101,25 @@ class IdFile:
         return self.ids(int(self.ends[k - 1]) if k else 0, int(self.ends[k]))
 
 
-class _Encoder:
-    """Ids of texts, encoding each distinct pre-token once per worker."""
+class _Encoder(dict):
+    """Packed ids of pre-tokens; what is not in it is encoded and kept."""
 
     def __init__(self, path: str) -> None:
-        self.split, self.known = splitter(path), {}
+        self.split = splitter(path)
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) > CACHED:
+            self.clear()
+        found = self[piece] = _packed(self.split.encoded([piece])[0])
+        return found
 
     def ids(self, texts: list[str], end: int) -> list[np.ndarray]:
-        pieces = [self.split.pieces(t) for t in texts]
-        if len(self.known) > CACHED:
-            self.known = {}
-        new = list(set().union(*filter(None, pieces)).difference(self.known))
-        self.known.update(zip(new, map(_packed, self.split.encoded(new)), strict=True))
-        of, last = self.known.__getitem__, _packed([end])
-        raw = [(_packed(self.split.whole(t)) if p is None else b"".join(map(of, p))) + last for t, p in zip(texts, pieces, strict=True)]
-        return [np.frombuffer(r, np.uint32) for r in raw]
+        of, last, found = self.__getitem__, _packed([end]), []
+        for text in texts:
+            pieces = self.split.pieces(text)
+            raw = _packed(self.split.whole(text)) if pieces is None else b"".join(map(of, pieces))
+            found.append(np.frombuffer(raw + last, np.uint32))
+        return found
 
 
 def _packed(ids: list[int]) -> bytes:
