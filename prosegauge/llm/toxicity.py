@@ -24,7 +24,7 @@ BUCKETS = 1 << 18
 BEGINNINGS = (4, 5, 6)
 #: At most so many labelled rows are fitted on, half of them of each label; a word or beginning
 #: needs so many of their texts to get a weight.
-MOST_LABELLED, LEAST_TEXTS = 7_000, 6
+MOST_LABELLED, LEAST_TEXTS = 5_000, 6
 STEPS, RATE, DECAY, START = 150, 0.15, 2e-6, -5.0
 
 _LETTER = np.zeros(256, bool)
@@ -91,18 +91,14 @@ def fit_model(row: np.ndarray, of: np.ndarray, bucket: np.ndarray, y: np.ndarray
     """Adam on the likelihood of document labels.
 
     `row` is the document of each sentence; `of` and `bucket` are the sentence and
-    bucket of each word.  `share` is the share of label 1 among all labelled rows:
+    bucket of each word, for words that may have a weight.  `share` is the share of label 1 among all labelled rows:
     weights undo the sample's equal halves.  Without rows of both labels only the
     leak is fitted.
     """
     if len(np.unique(y)) < 2:
         return ToxicityModel(np.zeros(BUCKETS), -60.0, float(-np.log(1 - share)))
-    texts = np.bincount(np.unique(row[of] * BUCKETS + bucket) % BUCKETS, minlength=BUCKETS)
-    known = np.flatnonzero(texts >= LEAST_TEXTS)
-    place = np.full(BUCKETS, -1)
-    place[known] = np.arange(len(known))
-    kept = place[bucket] >= 0
-    of, word = of[kept], place[bucket[kept]]
+    known, word = np.unique(bucket, return_inverse=True)
+    word = word.astype(np.int32)
     w = np.concatenate([np.zeros(len(known)), [START, -4.0]])  # weights, bias, logarithm of the leak
     m, v = np.zeros_like(w), np.zeros_like(w)
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean())) / len(y)
@@ -138,12 +134,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, most: i
 
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     rows = rows.mapInArrow(make, "doc_id long, y int, n long, of binary, bucket binary").orderBy("doc_id", "bucket").collect()
+    # One document at a time: only what can get a weight is kept, in 32 bits.
+    texts = np.zeros(BUCKETS, np.int32)
+    for r in rows:
+        texts[np.unique(np.frombuffer(r["bucket"], np.int32))] += 1
     n = np.array([r["n"] for r in rows], np.int64)
-    base = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
-    joined = lambda name, kind: [np.frombuffer(r[name], kind).astype(np.int64) for r in rows]
-    of = np.concatenate([o + b for o, b in zip(joined("of", np.int32), base[:-1], strict=True)] or [np.zeros(0, np.int64)])
-    bucket = np.concatenate(joined("bucket", np.int32) or [np.zeros(0, np.int64)])
-    return fit_model(np.repeat(np.arange(len(n)), n), of, bucket, np.array([r["y"] for r in rows]), share)
+    base = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+    y, of, bucket = np.array([r["y"] for r in rows]), [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for i in range(len(rows)):
+        each = np.frombuffer(rows[i]["bucket"], np.int32)
+        kept = texts[each] >= LEAST_TEXTS
+        bucket.append(each[kept])
+        of.append(np.frombuffer(rows[i]["of"], np.int32)[kept] + base[i])
+        rows[i] = None
+    return fit_model(np.repeat(np.arange(len(n)), n), np.concatenate(of), np.concatenate(bucket), y, share)
 
 
 def score(docs: DataFrame, model: ToxicityModel, into: str = "score") -> DataFrame:
