@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosegauge.llm.components import components
@@ -105,40 +105,45 @@ def _counts(texts: DataFrame) -> np.ndarray:
     return summed_arrays(texts.select("text"), count, CELLS)
 
 
-def _nodes(texts: DataFrame) -> DataFrame:
+def _is_hot(tokens: np.ndarray, counts: np.ndarray, limit: float) -> np.ndarray:
+    return counts[(tokens % _U(CELLS)).astype(np.int64)] > limit
+
+
+def _nodes(texts: DataFrame, counts: Broadcast, limit: float) -> DataFrame:
+    """id, th, node, n and the hot tokens of the prefix under the first order."""
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, sets in _sets(batches):
             node, n = pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([block.column("id"), block.column("th"), node, n], ["id", "th", "node", "n"])
+            first = [prefix(s, 0, counts.value) if len(s) else s for s in sets]
+            hot = pa.array([p[_is_hot(p, counts.value, limit)].view(np.int64) for p in first], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([block.column("id"), block.column("th"), node, n, hot], ["id", "th", "node", "n", "hot"])
 
-    return texts.select("id", "th", "text").mapInArrow(make, "id long, th long, node long, n long")
+    return texts.select("id", "th", "text").mapInArrow(make, "id long, th long, node long, n long, hot array<long>")
 
 
-def _prefixes(texts: DataFrame, counts: Broadcast, hot: float) -> DataFrame:
-    """token, node, hot for the prefix under the first order; a node that a task has met is not repeated."""
+def _prefixes(texts: DataFrame, counts: Broadcast, limit: float) -> DataFrame:
+    """token, node for the other tokens of the prefix; a node that a task has met is not repeated."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for _, sets in _sets(batches):
-            tokens, nodes = [], []
+            tokens, nodes = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
             for s in sets:
                 node = _node(s) if len(s) else None
                 if node is None or node in seen:
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(node)
-                tokens.append(prefix(s, 0, counts.value))
+                first = prefix(s, 0, counts.value)
+                tokens.append(first[~_is_hot(first, counts.value, limit)])
                 nodes.append(np.full(len(tokens[-1]), node, np.int64))
-            if tokens:
-                token = np.concatenate(tokens)
-                often = counts.value[(token % _U(CELLS)).astype(np.int64)] > hot
-                rows = [pa.array(token.view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(often)]
-                yield pa.RecordBatch.from_arrays(rows, ["token", "node", "hot"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(nodes))], ["token", "node"])
 
-    return texts.select("text").mapInArrow(make, "token long, node long, hot boolean")
+    return texts.select("text").mapInArrow(make, "token long, node long")
 
 
-def _centred(rows: DataFrame) -> DataFrame:
+def _centred(cold: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, centre) for nodes that share a token with a smaller one, the smallest being the centre."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,29 +161,36 @@ def _centred(rows: DataFrame) -> DataFrame:
             pairs = np.unique(np.stack([nodes[other], centres[other]], 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["node", "centre"])
 
-    cold = rows.filter(~F.col("hot")).select("token", "node").repartition("token").sortWithinPartitions("token", "node")
-    cold = cold.mapInArrow(make, "node long, centre long")
+    cold = cold.repartition("token").sortWithinPartitions("token", "node").mapInArrow(make, "node long, centre long")
     # A hot token's centre is found by partial minima, so its nodes never meet in one task.
-    often = rows.filter("hot").select("token", "node")
+    often = nodes.select("node", F.explode("hot").alias("token"))
     centres = often.groupBy("token").agg(F.min("node").alias("centre"))
     warm = often.join(centres, "token").select("node", "centre").filter("node <> centre")
     return cold.unionByName(warm).dropDuplicates()
 
 
-def _with_texts(rows: DataFrame, places: DataFrame, texts: DataFrame) -> DataFrame:
+def _with_texts(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """`rows` with the text of their `node`; rows of one node are gathered, so its text is moved once."""
     names = [c for c in rows.columns if c != "node"]
-    lists = rows.groupBy("node").agg(F.collect_list(F.struct(*names)).alias("asked")).join(places, "node")
-    # Rows that repeat id and text give their set twice; readers take the first.
-    found = texts.join(lists, ["id", "th"]).select("node", "text", F.explode("asked").alias("a"))
+    lists = rows.groupBy("node").agg(F.collect_list(F.struct(*names)).alias("asked"))
+    found = texts.join(lists, "node").select("node", "text", F.explode("asked").alias("a"))
     return found.select("node", "a.*", "text")
 
 
-def _star(pairs: DataFrame, places: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, centre, ok): whether each node is similar to its centre."""
-    own = pairs.select(F.col("centre").alias("node"), "centre").dropDuplicates()
-    rows = pairs.select("node", "centre", F.lit(True).alias("member")).unionByName(own.withColumn("member", F.lit(False)))
-    rows = _with_texts(rows, places, texts).repartition("centre").sortWithinPartitions("centre", "member")
+def _fits(a: str, b: str) -> Column:
+    """Whether two set sizes allow the similarity."""
+    return 100 * F.least(a, b) >= 75 * F.greatest(a, b)
+
+
+def _star(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, centre, ok) for pairs (node, n, centre, centre_n): whether each node is similar to its centre.
+
+    Where the sizes of the sets rule that out, no text is moved.
+    """
+    close = pairs.filter(_fits("n", "centre_n"))
+    own = close.select(F.col("centre").alias("node"), "centre").dropDuplicates()
+    rows = close.select("node", "centre", F.lit(True).alias("member")).unionByName(own.withColumn("member", F.lit(False)))
+    rows = _with_texts(rows, texts).repartition("centre").sortWithinPartitions("centre", "member")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, held = None, np.zeros(0, _U)
@@ -195,31 +207,42 @@ def _star(pairs: DataFrame, places: DataFrame, texts: DataFrame) -> DataFrame:
             columns = list(zip(*found, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], names[:2] + ("ok",))
 
-    return rows.mapInArrow(make, "node long, centre long, ok boolean").dropDuplicates()
+    found = rows.mapInArrow(make, "node long, centre long, ok boolean").dropDuplicates()
+    return found.unionByName(pairs.filter(~_fits("n", "centre_n")).select("node", "centre", F.lit(False).alias("ok")))
 
 
-def _remaining(verified: DataFrame, labels: DataFrame, places: DataFrame, texts: DataFrame, counts: Broadcast) -> DataFrame:
-    """Links (a, b) between members of one centre in different components, at least one not similar to the centre."""
+def _remaining(verified: DataFrame, sizes: DataFrame, labels: DataFrame, texts: DataFrame, counts: Broadcast) -> DataFrame:
+    """Links (a, b) between members of one centre in different components, at least one not similar to the centre.
+
+    Sizes are cut into classes a third apart: sets that may be similar are in the
+    same class or in neighbouring ones, so members meet by centre and class.
+    """
     label = lambda of, name: labels.select(F.col("node").alias(of), F.col("label").alias(name))
     named = verified.join(label("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = named.join(label("centre", "own"), "centre", "left").withColumn("own", F.coalesce("own", "centre"))
-    named = named.withColumn("apart", ~F.col("ok") & (F.col("label") != F.col("own"))).select("node", "centre", "label", "apart")
-    sizes = named.groupBy("centre").agg(F.sum(F.col("apart").cast("long")).alias("apart_n"), F.count(F.lit(1)).alias("n"))
-    sizes = sizes.filter("apart_n > 0 AND n > 1").withColumn("blocks", F.ceil(F.col("apart_n") / BLOCK).cast("int")).select("centre", "blocks")
-    members = named.join(sizes, "centre")
-    held = members.filter("apart").select("node", "centre", "label", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), F.lit(False).alias("asks"))
-    asking = members.select("node", "centre", "label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"))
-    rows = _with_texts(held.unionByName(asking), places, texts)
-    rows = rows.repartition("centre", "block").sortWithinPartitions("centre", "block", "asks")
+    named = named.withColumn("apart", ~F.col("ok") & (F.col("label") != F.col("own"))).join(sizes, "node")
+    named = named.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / float(np.log(4 / 3))).cast("int"))
+    named = named.select("node", "centre", "label", "apart", "class")
+    near = F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class")
+    asking = named.select("node", "centre", "label", near)
+    held = named.filter("apart")
+    meet = held.groupBy("centre", "class").agg(F.count(F.lit(1)).alias("held_n"))
+    others = asking.groupBy("centre", "class").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    meet = meet.join(others, ["centre", "class"]).select("centre", "class", F.ceil(F.col("held_n") / BLOCK).cast("int").alias("blocks"))
+    held = held.join(meet, ["centre", "class"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("asks", F.lit(False))
+    asking = asking.join(meet, ["centre", "class"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
+    names = ["node", "centre", "class", "label", "block", "asks"]
+    rows = _with_texts(held.select(*names).unionByName(asking.select(*names)), texts)
+    rows = rows.repartition("centre", "class", "block").sortWithinPartitions("centre", "class", "block", "asks")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, kept, index = None, [], []
         for block, sets in _sets(batches):
             found = []
-            names = ("node", "label", "asks", "centre", "block")
-            for node, label, asks, centre, number, s in zip(*(block.column(c).to_pylist() for c in names), sets, strict=True):
-                if (centre, number) != group:
-                    group, kept, index = (centre, number), [], [{} for _ in range(ORDERS)]
+            names = ("node", "label", "asks", "centre", "class", "block")
+            for node, label, asks, centre, size, number, s in zip(*(block.column(c).to_pylist() for c in names), sets, strict=True):
+                if (centre, size, number) != group:
+                    group, kept, index = (centre, size, number), [], [{} for _ in range(ORDERS)]
                 shares = None
                 for order, inverted in enumerate(index):
                     first = prefix(s, order, counts.value).tolist()
@@ -255,15 +278,20 @@ def joined(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
     table = _counts(texts)
-    counts = spark.sparkContext.broadcast(table)
-    rows = written(_nodes(texts), "set-nodes")
-    nodes = rows.filter("n > 0").groupBy("node").agg(F.min(F.struct("id", "th")).alias("place"))
-    places = nodes.select("node", "place.*")
-    pairs = written(_centred(_prefixes(texts, counts, float(table.mean()) + HOT)), "centres")
-    star = written(_star(pairs, places, texts), "star")
+    counts, limit = spark.sparkContext.broadcast(table), float(table.mean()) + HOT
+    rows = written(_nodes(texts, counts, limit), "set-nodes")
+    nodes = rows.filter("n > 0").groupBy("node").agg(F.min(F.struct("id", "th")).alias("place"), F.first("n").alias("n"))
+    sizes = nodes.select("node", "n")
+    pairs = _centred(_prefixes(texts, counts, limit), rows).join(sizes, "node")
+    pairs = written(pairs.join(sizes.select(F.col("node").alias("centre"), F.col("n").alias("centre_n")), "centre"), "centres")
+    # The texts that are compared, written once; the others are not needed again.
+    compared = pairs.select("node").union(pairs.select("centre")).dropDuplicates()
+    compared = compared.join(nodes.select("node", "place.*"), "node")
+    texts = written(texts.join(compared, ["id", "th"]).select("node", "text"), "compared-texts")
+    star = written(_star(pairs, texts), "star")
     links = star.filter("ok").select(F.col("node").alias("a"), F.col("centre").alias("b"))
     labels = components(links)
-    more = written(_remaining(star, labels, places, texts, counts), "links-in-blocks")
+    more = written(_remaining(star, sizes, labels, texts, counts), "links-in-blocks")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     least = rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"))
