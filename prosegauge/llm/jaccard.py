@@ -35,7 +35,7 @@ from prosegauge.llm.textscan import Words, mix, scan_words, text_blocks, text_bu
 
 SHINGLE, ORDERS = 5, 3
 #: Cells of the table of counts, and by how many counts over the mean cell a shingle is hot.
-CELLS, HOT = 1 << 20, 1000
+CELLS, HOT = 1 << 22, 1000
 #: Members that one task holds at once when members of a centre are compared.
 BLOCK = 128
 _NO_ID = -(2**63)
@@ -97,12 +97,16 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 def _counts(texts: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        total = np.zeros(CELLS, np.uint32)
+        total, held, n = np.zeros(CELLS, np.uint32), [np.zeros(0, np.int64)], 0
         for _, sets in _sets(batches):
-            total += np.bincount((np.concatenate(sets) % _U(CELLS)).astype(np.int64), minlength=CELLS).astype(np.uint32)
-        return total
-
-    return summed_arrays(texts.select("text"), count, CELLS)
+            held.append((np.concatenate(sets) % _U(CELLS)).astype(np.int64))
+            n += len(held[-1])
+            if n > CELLS // 2:
+                total += np.bincount(np.concatenate(held), minlength=CELLS).astype(np.uint32)
+                held, n = [np.zeros(0, np.int64)], 0
+        return total + np.bincount(np.concatenate(held), minlength=CELLS).astype(np.uint32)
+
+    return summed_arrays(texts.select("text"), count, CELLS, "u4")
 
 
 def _is_hot(tokens: np.ndarray, counts: np.ndarray, limit: float) -> np.ndarray:

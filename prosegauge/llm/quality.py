@@ -80,7 +80,7 @@ def word_vectors(texts: DataFrame) -> np.ndarray:
                 total += np.bincount(np.concatenate(cells), np.concatenate(weights), ROWS * WIDTH).astype(np.float32)
         return total
 
-    table = summed_arrays(texts, count, ROWS * WIDTH).reshape(ROWS, WIDTH).astype(np.float64)
+    table = summed_arrays(texts, count, ROWS * WIDTH, "f4").reshape(ROWS, WIDTH).astype(np.float64)
     table /= np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)
     table -= table.mean(axis=0)
     return table.astype(np.float32)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,26 +35,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def summed_arrays(df: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int) -> np.ndarray:
+def summed_arrays(df: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int, kind: str) -> np.ndarray:
     """The sum over all tasks of the array of `size` numbers that `count` makes of each task's batches.
 
-    Tasks send one array each; they are added in a tree, so no task and not the
-    driver holds more than a few dozen of them.
+    Tasks send one compressed array each; they are added in a tree, two at a
+    time, so no task and not the driver holds many of them.
     """
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        array = count(batches)
-        yield pa.RecordBatch.from_pydict({"kind": [array.dtype.str], "array": [array.tobytes()]})
+        yield pa.RecordBatch.from_pydict({"array": [zlib.compress(count(batches).astype(kind).tobytes(), 1)]})
 
-    def unpack(row) -> np.ndarray:
-        return np.frombuffer(row["array"], row["kind"])
+    def added(left: bytes | None, right: bytes | None) -> bytes | None:
+        if left is None or right is None:
+            return right if left is None else left
+        total = np.frombuffer(zlib.decompress(left), kind) + np.frombuffer(zlib.decompress(right), kind)
+        return zlib.compress(total.tobytes(), 1)
 
-    rows = df.mapInArrow(one, "kind string, array binary").rdd.map(unpack)
-    total = rows.treeAggregate(None, _added, _added, depth=2) if rows.getNumPartitions() else None
-    return np.zeros(size) if total is None else total
-
-
-def _added(left: np.ndarray | None, right: np.ndarray | None) -> np.ndarray | None:
-    if left is None or right is None:
-        return right if left is None else left
-    return left + right
+    rows = df.mapInArrow(one, "array binary").rdd.map(lambda row: bytes(row["array"]))
+    total = rows.treeAggregate(None, added, added, depth=2) if rows.getNumPartitions() else None
+    return np.zeros(size, kind) if total is None else np.frombuffer(zlib.decompress(total), kind)
