@@ -46,7 +46,8 @@ def _votes(linked: DataFrame) -> DataFrame:
 def _move(state: DataFrame, shards: int, total: int) -> DataFrame:
     """One round: hubs' documents move to the wanted shard as far as quotas allow."""
     wants = state.join(_votes(state.filter("linked").select("hub", "shard")), "hub", "left")
-    asking = F.col("wanted").isNotNull() & (F.col("wanted") != F.col("shard"))
+    # Rows without links have hubs of their own, so that no join gathers them under null.
+    asking = F.col("linked") & F.col("wanted").isNotNull() & (F.col("wanted") != F.col("shard"))
     wants = wants.withColumn("asks", asking).withColumn("hub_cell", _cell("hub")).withColumn("doc_cell", _cell("row"))
     stays = _counts(wants.filter(F.col("linked") & ~F.col("asks")), "shard")
     asked = _counts(wants.filter("asks"), "wanted", "hub_cell")
@@ -144,7 +145,7 @@ def assign(rows: DataFrame, shards: int, rounds: int = ROUNDS) -> DataFrame:
     total = rows.count()
     sizes = rows.filter(F.col("hub").isNotNull()).groupBy("hub").agg((F.count(F.lit(1)) > 1).alias("linked"))
     state = rows.join(sizes, "hub", "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
-    state = state.withColumn("hub", F.when(F.col("linked"), F.col("hub"))).withColumn("shard", F.pmod(F.xxhash64(F.lit("start"), "row"), F.lit(shards)).cast("int"))
+    state = state.withColumn("hub", F.when(F.col("linked"), F.col("hub")).otherwise(F.xxhash64("row"))).withColumn("shard", F.pmod(F.xxhash64(F.lit("start"), "row"), F.lit(shards)).cast("int"))
     state = written(state, "shards-start")
     for number in range(rounds):
         state = written(_move(state, shards, total), f"shards-{number}")
