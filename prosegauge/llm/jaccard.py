@@ -298,6 +298,7 @@ def joined(docs: DataFrame) -> DataFrame:
     more = written(_remaining(star, sizes, labels, texts, counts), "links-in-blocks")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
+    counts.destroy()  # all that needs it is written
     least = rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"))
     named = least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
