@@ -21,14 +21,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def read_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table of the folder as a stream of files."""
-    schema = spark.read.parquet(os.path.join(sf_dir, f"{table}.parquet")).schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{table}.parquet")
-        .option("maxFilesPerTrigger", 100)
-        .parquet(sf_dir)
-    )
+    """A table as a stream of files: the part files of its folder, or its single file."""
+    path = os.path.join(sf_dir, f"{table}.parquet")
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 100)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
 
 
 def drain(stream: DataFrame, name: str, mode: str) -> DataFrame:

@@ -69,3 +69,11 @@ def test_carried_values_cross_slots(spark):
     assert [r.p for r in back] == [None, "a", "a", "a", "b", "b"]
     ahead = E.carried(df, F.col("v"), "p", ahead=True).orderBy("t").collect()
     assert [r.p for r in ahead] == ["b", "b", "b", "c", "c", None]
+
+
+def test_a_table_of_part_files_is_streamed(spark, sf_dir, tmp_path):
+    from prosegauge.streaming.run import drain, read_stream
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    assert drain(read_stream(spark, str(tmp_path), "events"), "parts", "append").count() == events.count()
