@@ -15,6 +15,11 @@ results.
    of the centre that are in another component, in blocks.  These candidates must
    share prefix shingles under every order; then the sets are compared exactly.
 
+Before a text is moved for either comparison, sketches decide whether it can succeed.
+A sketch counts a set's shingles by low bits of their hashes, in a byte for every two
+to four of them.  Two sketches differ by no more than the sets do, and similar sets
+differ by at most a seventh of their sizes; so no similar pair is lost.
+
 So every similar pair is either verified or joined by verified links, and the
 components are those of the full join.
 """
@@ -95,6 +100,27 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * shared >= 75 * (len(a) + len(b) - shared)
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Counts of the shingles by low bits of their hashes, at most 255 in a cell."""
+    cells = 1 << max(4, len(s).bit_length() - 2)
+    counted = np.bincount((s & _U(cells - 1)).astype(np.int64), minlength=cells)
+    return np.minimum(counted, 255).astype(np.uint8)
+
+
+def _folded(sketches: np.ndarray, cells: int) -> np.ndarray:
+    """Sketches, one in a row, as they are with fewer cells."""
+    return sketches.reshape(*sketches.shape[:-1], -1, cells).sum(axis=-2, dtype=np.int32)
+
+
+def may_be_similar(one: np.ndarray, n: int, sketches: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each row of `sketches`, of sets of `sizes`, whether the set of `n` with sketch `one` can be similar."""
+    cells = min(len(one), sketches.shape[1])
+    one, step, found = _folded(one, cells), max(1, (1 << 20) // sketches.shape[1]), []
+    for at in range(0, len(sketches), step):
+        found.append(np.abs(_folded(sketches[at : at + step], cells) - one).sum(axis=1))
+    return 7 * np.concatenate(found) <= n + sizes
+
+
 def _counts(texts: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         total, held, n = np.zeros(CELLS, np.uint32), [np.zeros(0, np.int64)], 0
@@ -114,16 +140,17 @@ def _is_hot(tokens: np.ndarray, counts: np.ndarray, limit: float) -> np.ndarray:
 
 
 def _nodes(texts: DataFrame, counts: Broadcast, limit: float) -> DataFrame:
-    """id, th, node, n and the hot tokens of the prefix under the first order."""
+    """id, th, node, n, the hot tokens of the prefix under the first order and the sketch."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, sets in _sets(batches):
             node, n = pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())
             first = [prefix(s, 0, counts.value) if len(s) else s for s in sets]
             hot = pa.array([p[_is_hot(p, counts.value, limit)].view(np.int64) for p in first], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([block.column("id"), block.column("th"), node, n, hot], ["id", "th", "node", "n", "hot"])
+            drawn = pa.array([sketch(s).tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([block.column("id"), block.column("th"), node, n, hot, drawn], ["id", "th", "node", "n", "hot", "sketch"])
 
-    return texts.select("id", "th", "text").mapInArrow(make, "id long, th long, node long, n long, hot array<long>")
+    return texts.select("id", "th", "text").mapInArrow(make, "id long, th long, node long, n long, hot array<long>, sketch binary")
 
 
 def _prefixes(texts: DataFrame, counts: Broadcast, limit: float) -> DataFrame:
@@ -186,12 +213,30 @@ def _fits(a: str, b: str) -> Column:
     return 100 * F.least(a, b) >= 75 * F.greatest(a, b)
 
 
+def _promising(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(node, centre, may) for pairs (node, n, centre, centre_n): whether sizes and sketches allow the similarity."""
+    close = pairs.filter(_fits("n", "centre_n")).join(sketches.select("node", "sketch"), "node")
+    close = close.join(sketches.select(F.col("node").alias("centre"), F.col("sketch").alias("centre_sketch")), "centre")
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("n", "sketch", "centre_n", "centre_sketch")
+        for batch in batches:
+            may = []
+            for n, one, m, other in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                one, other = np.frombuffer(one, np.uint8), np.frombuffer(other, np.uint8)
+                may.append(bool(may_be_similar(one, n, other[None, :], np.array([m]))[0]))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("centre"), pa.array(may, pa.bool_())], ["node", "centre", "may"])
+
+    found = close.select("node", "centre", *("n", "sketch", "centre_n", "centre_sketch")).mapInArrow(make, "node long, centre long, may boolean")
+    return found.unionByName(pairs.filter(~_fits("n", "centre_n")).select("node", "centre", F.lit(False).alias("may")))
+
+
 def _star(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, centre, ok) for pairs (node, n, centre, centre_n): whether each node is similar to its centre.
+    """(node, centre, ok) for pairs (node, centre, may): whether each node is similar to its centre.
 
-    Where the sizes of the sets rule that out, no text is moved.
+    Where that may not be, no text is moved.
     """
-    close = pairs.filter(_fits("n", "centre_n"))
+    close = pairs.filter("may")
     own = close.select(F.col("centre").alias("node"), "centre").dropDuplicates()
     rows = close.select("node", "centre", F.lit(True).alias("member")).unionByName(own.withColumn("member", F.lit(False)))
     rows = _with_texts(rows, texts).repartition("centre").sortWithinPartitions("centre", "member")
@@ -212,41 +257,101 @@ def _star(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], names[:2] + ("ok",))
 
     found = rows.mapInArrow(make, "node long, centre long, ok boolean").dropDuplicates()
-    return found.unionByName(pairs.filter(~_fits("n", "centre_n")).select("node", "centre", F.lit(False).alias("ok")))
+    return found.unionByName(pairs.filter("not may").select("node", "centre", F.lit(False).alias("ok")))
+
 
+_GROUP = ("centre", "class", "block")
+_ASKED = "node long, centre long, class int, block int, label long, asks boolean"
 
-def _remaining(verified: DataFrame, sizes: DataFrame, labels: DataFrame, texts: DataFrame, counts: Broadcast) -> DataFrame:
-    """Links (a, b) between members of one centre in different components, at least one not similar to the centre.
+
+def _remaining(verified: DataFrame, sketches: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of one centre in different components that may be similar, one of them at least not similar to the centre.
 
     Sizes are cut into classes a third apart: sets that may be similar are in the
-    same class or in neighbouring ones, so members meet by centre and class.
+    same class or in neighbouring ones, so members meet by centre and class.  Each
+    block of held members is met by all that ask; a row comes out for those whose
+    sketch allows a similarity, and no pairs do.
     """
     label = lambda of, name: labels.select(F.col("node").alias(of), F.col("label").alias(name))
     named = verified.join(label("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = named.join(label("centre", "own"), "centre", "left").withColumn("own", F.coalesce("own", "centre"))
-    named = named.withColumn("apart", ~F.col("ok") & (F.col("label") != F.col("own"))).join(sizes, "node")
+    named = named.withColumn("apart", ~F.col("ok") & (F.col("label") != F.col("own"))).join(sketches, "node")
     named = named.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / float(np.log(4 / 3))).cast("int"))
-    named = named.select("node", "centre", "label", "apart", "class")
+    named = named.select("node", "n", "centre", "label", "apart", "class")
     near = F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class")
-    asking = named.select("node", "centre", "label", near)
+    asking = named.select("node", "n", "centre", "label", near)
     held = named.filter("apart")
     meet = held.groupBy("centre", "class").agg(F.count(F.lit(1)).alias("held_n"))
     others = asking.groupBy("centre", "class").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
     meet = meet.join(others, ["centre", "class"]).select("centre", "class", F.ceil(F.col("held_n") / BLOCK).cast("int").alias("blocks"))
     held = held.join(meet, ["centre", "class"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("asks", F.lit(False))
     asking = asking.join(meet, ["centre", "class"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
-    names = ["node", "centre", "class", "label", "block", "asks"]
-    rows = _with_texts(held.select(*names).unionByName(asking.select(*names)), texts)
-    rows = rows.repartition("centre", "class", "block").sortWithinPartitions("centre", "class", "block", "asks")
+    names = ["node", "n", *_GROUP, "label", "asks"]
+    rows = held.select(*names).unionByName(asking.select(*names)).join(sketches.select("node", "sketch"), "node")
+    rows = rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "asks")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, kept, index = None, [], []
+        group, kept, stacks = None, [], []
+
+        def stacked() -> list[tuple]:
+            """The held members by the size of their sketches: rows, labels, sizes, sketches, and which were met."""
+            by_cells: dict[int, list] = {}
+            for row in kept:
+                by_cells.setdefault(len(row[2]), []).append(row)
+            parts = [(list(zip(*rows, strict=True)), rows) for rows in by_cells.values()]
+            return [(rows, np.array(c[1]), np.array(c[3]), np.stack(c[2]), np.zeros(len(rows), bool)) for c, rows in parts]
+
+        def met() -> list[tuple]:
+            return [(row[0], *group, row[1], False) for rows, *_, hit in stacks for row, h in zip(rows, hit, strict=True) if h]
+
+        def batch_of(found: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*found, strict=True)) or [[]] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_())
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["node", *_GROUP, "label", "asks"])
+
+        for batch in batches:
+            found = []
+            columns = (batch.column(c).to_pylist() for c in ("node", "n", *_GROUP, "label", "asks", "sketch"))
+            for node, n, centre, size, number, label, asks, drawn in zip(*columns, strict=True):
+                if (centre, size, number) != group:
+                    found += met()
+                    group, kept, stacks = (centre, size, number), [], []
+                one = np.frombuffer(drawn, np.uint8)
+                if not asks:
+                    kept.append((node, label, one, n))
+                    continue
+                stacks = stacks or stacked()
+                asked = False
+                for _, of, sizes, drawn_ones, hit in stacks:
+                    may = (of != label) & may_be_similar(one, n, drawn_ones, sizes)
+                    hit |= may
+                    asked |= bool(may.any())
+                if asked:
+                    found.append((node, *group, label, True))
+            yield batch_of(found)
+        yield batch_of(met())
+
+    return rows.select(*names, "sketch").mapInArrow(make, _ASKED)
+
+
+def _block_links(rows: DataFrame, texts: DataFrame, counts: Broadcast) -> DataFrame:
+    """Links (a, b) between the held and the asking rows of each block, enough to join all components that are similar."""
+    rows = _with_texts(rows, texts).repartition(*_GROUP).sortWithinPartitions(*_GROUP, "asks")
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, kept, index, joined_to = None, [], [], {}
+
+        def root(label: int) -> int:
+            while label in joined_to:
+                label = joined_to[label]
+            return label
+
         for block, sets in _sets(batches):
             found = []
-            names = ("node", "label", "asks", "centre", "class", "block")
+            names = ("node", "label", "asks", *_GROUP)
             for node, label, asks, centre, size, number, s in zip(*(block.column(c).to_pylist() for c in names), sets, strict=True):
                 if (centre, size, number) != group:
-                    group, kept, index = (centre, size, number), [], [{} for _ in range(ORDERS)]
+                    group, kept, index, joined_to = (centre, size, number), [], [{} for _ in range(ORDERS)], {}
                 shares = None
                 for order, inverted in enumerate(index):
                     first = prefix(s, order, counts.value).tolist()
@@ -261,11 +366,12 @@ def _remaining(verified: DataFrame, sizes: DataFrame, labels: DataFrame, texts:
                 if not asks:
                     kept.append((node, label, s))
                     continue
-                for i in shares or ():
+                for i in sorted(shares or ()):
                     other, of, t = kept[i]
-                    if of != label and similar(s, t):
+                    a, b = root(of), root(label)
+                    if a != b and similar(s, t):
+                        joined_to[max(a, b)] = min(a, b)
                         found.append((min(node, other), max(node, other)))
-            found = sorted(set(found))
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return rows.mapInArrow(make, "a long, b long").dropDuplicates()
@@ -284,19 +390,29 @@ def joined(docs: DataFrame) -> DataFrame:
     table = _counts(texts)
     counts, limit = spark.sparkContext.broadcast(table), float(table.mean()) + HOT
     rows = written(_nodes(texts, counts, limit), "set-nodes")
-    nodes = rows.filter("n > 0").groupBy("node").agg(F.min(F.struct("id", "th")).alias("place"), F.first("n").alias("n"))
-    sizes = nodes.select("node", "n")
+    some = rows.filter("n > 0")
+    places = some.groupBy("node").agg(F.min(F.struct("id", "th")).alias("place"), F.first("n").alias("n"))
+    sizes = places.select("node", "n")
     pairs = _centred(_prefixes(texts, counts, limit), rows).join(sizes, "node")
     pairs = written(pairs.join(sizes.select(F.col("node").alias("centre"), F.col("n").alias("centre_n")), "centre"), "centres")
-    # The texts that are compared, written once; the others are not needed again.
-    compared = pairs.select("node").union(pairs.select("centre")).dropDuplicates()
-    compared = compared.join(nodes.select("node", "place.*"), "node")
-    texts = written(texts.join(compared, ["id", "th"]).select("node", "text"), "compared-texts")
-    star = written(_star(pairs, texts), "star")
+    # One sketch for each node that shares a token with another.
+    met = pairs.select("node").union(pairs.select("centre")).dropDuplicates()
+    met = places.join(met, "node").select("node", "place.*", "n")
+    sketches = written(some.select("id", "th", "sketch").join(met, ["id", "th"]).dropDuplicates(["node"]).select("node", "n", "sketch"), "sketches")
+
+    def texts_of(asked: DataFrame) -> DataFrame:
+        """(node, text) for the nodes asked for, written once; repeated rows are harmless to what reads it."""
+        found = met.join(asked.select("node").dropDuplicates(), "node")
+        return written(texts.join(found, ["id", "th"]).select("node", "text"), "compared-texts")
+
+    promising = written(_promising(pairs, sketches), "promising")
+    close = promising.filter("may")
+    star = written(_star(promising, texts_of(close.select("node").union(close.select("centre")))), "star")
     links = star.filter("ok").select(F.col("node").alias("a"), F.col("centre").alias("b"))
     labels = components(links)
-    more = written(_remaining(star, sizes, labels, texts, counts), "links-in-blocks")
-    if not more.isEmpty():
+    rest = written(_remaining(star, sketches, labels), "asking-in-blocks")
+    if not rest.isEmpty():
+        more = written(_block_links(rest, texts_of(rest), counts), "links-in-blocks")
         labels = components(links.unionByName(more))
     counts.destroy()  # all that needs it is written
     least = rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"))
