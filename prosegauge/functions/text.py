@@ -14,6 +14,9 @@ from prosegauge.functions import patterns as P
 # the input by replacing them one for one, so that offsets stay right.
 OPEN, CLOSE = "\u0001", "\u0002"
 
+#: Pieces of a marked text that are summed at once.
+FOLD_CHUNK = 256
+
 SPAN_TYPE = "array<struct<start:int,end:int,match:string,before:string,after:string>>"
 
 
@@ -48,25 +51,47 @@ def n_matches(text: Column, pattern: str) -> Column:
 
 
 def _fold(pieces: Column, first, width) -> Column:
-    """Turn the pieces of a marked text into spans by summing their lengths."""
-    zero = F.struct(
-        first.alias("pos"), empty("array<struct<start:int,end:int,match:string>>").alias("out")
-    )
+    """Turn the pieces of a marked text into spans by summing their lengths.
+
+    Appending to an array copies it, so pieces are summed in chunks of fixed size
+    and only the lengths of the chunks are carried on: the time grows with the
+    number of pieces, and not with its square.
+    """
+    nothing = empty("array<struct<start:int,end:int,match:string>>")
 
     def step(acc, piece):
         match, rest = width(piece)
         end = acc["pos"] + F.length(match)
-        return F.struct(
-            (end + rest).alias("pos"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(acc["pos"].alias("start"), end.alias("end"), match.alias("match"))
-                ),
-            ).alias("out"),
+        span = F.struct(acc["pos"].alias("start"), end.alias("end"), match.alias("match"))
+        return F.struct((end + rest).alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
+
+    def chunked(p):
+        last = F.greatest(F.ceil(F.size(p) / FOLD_CHUNK).cast("int") - 1, F.lit(0))
+        zero = F.struct(F.lit(0).alias("pos"), nothing.alias("out"))
+        return F.transform(
+            F.sequence(F.lit(0), last),
+            lambda c: F.aggregate(F.slice(p, c * FOLD_CHUNK + 1, F.lit(FOLD_CHUNK)), zero, step),
         )
 
-    return F.aggregate(pieces, zero, step, lambda acc: acc["out"])
+    def begins(chunks):
+        zero = F.struct(first.alias("pos"), empty("array<int>").alias("out"))
+        return F.aggregate(
+            chunks,
+            zero,
+            lambda acc, c: F.struct(
+                (acc["pos"] + c["pos"]).alias("pos"),
+                F.concat(acc["out"], F.array(acc["pos"])).alias("out"),
+            ),
+            lambda acc: acc["out"],
+        )
+
+    def moved(chunks, begin):
+        def shift(s, by):
+            return F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["match"].alias("match"))
+
+        return F.flatten(F.transform(chunks, lambda c, i: F.transform(c["out"], lambda s: shift(s, begin[i]))))
+
+    return let(pieces, lambda p: let(chunked(p), lambda c: let(begins(c), lambda b: moved(c, b))))
 
 
 def spans(text: Column, pattern: str) -> Column:

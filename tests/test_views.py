@@ -109,3 +109,12 @@ def test_number_formats(spark):
         fmt_number(F.lit(100.0)), fmt_number(F.lit(0.0)), fmt_number(F.lit(1234.56)),
     ).first()
     assert list(row) == ["0.12", "56%", "30", "0.5", "100", "0", "1234.56"]
+
+
+@pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 513])
+def test_spans_of_many_matches_keep_their_places(spark, n):
+    [(marked, literal)] = evaluate(
+        spark, ["ab cdef " * n], spans(F.col("text"), "ab"), literal_spans(F.col("text"), F.lit("cd"))
+    )
+    assert [(s.start, s.end, s.match) for s in marked] == [(8 * k, 8 * k + 2, "ab") for k in range(n)]
+    assert [(s.start, s.end) for s in literal] == [(8 * k + 3, 8 * k + 5) for k in range(n)]
