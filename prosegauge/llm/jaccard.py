@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from prosegauge.llm.components import components
 from prosegauge.llm.shared import summed_arrays, written
 from prosegauge.llm.textscan import Words, mix, scan_words, text_blocks, text_buffers, window_hashes, windows
+from prosegauge.llm.words import SPACES
 
 SHINGLE, ORDERS = 5, 3
 #: Cells of the table of counts, and by how many counts over the mean cell a shingle is hot.
@@ -377,16 +378,19 @@ def _block_links(rows: DataFrame, texts: DataFrame, counts: Broadcast) -> DataFr
     return rows.mapInArrow(make, "a long, b long").dropDuplicates()
 
 
-def joined(docs: DataFrame) -> DataFrame:
-    """Every row of `docs` with doc_id, n_shingles and component_id.
+def _key() -> tuple[Column, Column]:
+    """A row's id, the smallest number for none, and the hash of its text: neither is null."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("th")
 
-    Null, empty and blank texts have no shingles, link with nothing and are a
-    component of their own, named by their own doc_id; a null doc_id counts as the
-    smallest of all and is given back as null.  Rows that repeat an id are rows of
-    their own.  Other columns are ignored.
+
+def _labelled(docs: DataFrame) -> DataFrame:
+    """id, th, n, component_id and label for every row of `docs`.
+
+    A label belongs to one component only, whatever ids its rows have; rows without
+    shingles have none.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select(*_key(), F.coalesce("text", F.lit("")).alias("text"))
     table = _counts(texts)
     counts, limit = spark.sparkContext.broadcast(table), float(table.mean()) + HOT
     rows = written(_nodes(texts, counts, limit), "set-nodes")
@@ -418,20 +422,36 @@ def joined(docs: DataFrame) -> DataFrame:
     least = rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"))
     named = least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    ids = named.join(smallest, "label").select("node", "component_id")
-    found = rows.filter("n > 0").join(ids, "node").select("id", "th", "n", "component_id")
-    found = found.unionByName(rows.filter("n = 0").select("id", "th", "n", F.col("id").alias("component_id")))
+    ids = named.join(smallest, "label").select("node", "component_id", "label")
+    found = rows.filter("n > 0").join(ids, "node").select("id", "th", "n", "component_id", "label")
+    return found.unionByName(rows.filter("n = 0").select("id", "th", "n", F.col("id").alias("component_id"), F.lit(None).cast("long").alias("label")))
+
+
+def joined(docs: DataFrame) -> DataFrame:
+    """Every row of `docs` with doc_id, n_shingles, component_id and text_hash.
+
+    Null, empty and blank texts have no shingles, link with nothing and are a
+    component of their own, named by their own doc_id; a null doc_id counts as the
+    smallest of all and is given back as null.  Rows that repeat an id are rows of
+    their own.  Other columns are ignored.
+    """
     real = lambda c: F.when(F.col(c) > _NO_ID, F.col(c))
-    return found.select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component_id").alias("component_id"), F.col("th").alias("text_hash"))
+    return _labelled(docs).select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component_id").alias("component_id"), F.col("th").alias("text_hash"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that are kept: of each component the one with the smallest doc_id.
 
-    Of rows that repeat that doc_id in one component, one is kept, the first by
-    text hash; identical rows are one.  Rows without shingles are all kept.
+    A null doc_id counts as the smallest.  Of rows that repeat that doc_id in one
+    component, one is kept, the first by text hash, and of rows that repeat the
+    text too the least by their other columns.  Rows without shingles are all kept.
     """
-    found = joined(docs).groupBy("component_id", F.col("doc_id").alias("kept_id")).agg(F.min("text_hash").alias("kept_hash"))
-    found = found.filter(F.col("component_id").eqNullSafe(F.col("kept_id"))).select("kept_id", "kept_hash")
-    same = docs["doc_id"].eqNullSafe(found["kept_id"]) & (F.xxhash64(docs["text"]) == found["kept_hash"])
-    return docs.join(found, same, "left_semi")
+    copies = _labelled(docs).filter("n > 0").groupBy("label", "id", "th").agg(F.count(F.lit(1)).alias("copies"))
+    least = copies.groupBy("label").agg(F.min(F.struct("id", "th", "copies")).alias("kept")).select("kept.*")
+    least = written(least, "kept-of-components")
+    blank = F.btrim(F.coalesce("text", F.lit("")), F.lit(SPACES)) == ""
+    some = docs.filter(~blank).select(*_key(), F.struct(*docs.columns).alias("row"))
+    alone = some.join(least.filter("copies = 1"), ["id", "th"], "left_semi").select("row.*")
+    # Partial minima come first, so copies of one row never meet in one task.
+    repeated = some.join(least.filter("copies > 1"), ["id", "th"], "left_semi").groupBy("id", "th").agg(F.min("row").alias("row"))
+    return alone.unionByName(repeated.select("row.*")).unionByName(docs.filter(blank))
