@@ -24,6 +24,12 @@ SHINGLE, SIMILARITY = 5, 0.75
 RADIUS, BITS = 22, 64
 #: Shingles of the benchmark that are broadcast at once; a larger benchmark is joined in several such parts.
 BROADCAST_SHINGLES = 1_000_000
+#: Stands for no id; one text with this id and without one is judged once, with the same result.
+_NO_ID = -(2**63)
+
+
+def _id(of: Column | str) -> Column:
+    return F.coalesce((F.col(of) if isinstance(of, str) else of).cast("long"), F.lit(_NO_ID))
 
 
 def _shingles(of: Column, width: int) -> Column:
@@ -78,16 +84,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     `start` is the word at which the most similar window begins, the first of
     equals.  Texts are lower-cased.  An item of fewer than five words is one
     shingle; a document shorter than an item is one window.  Null and blank texts
-    on either side match nothing, nor do rows without an id.  Documents that
-    repeat id and text give one row per item.
+    on either side match nothing, nor do items without an id; a document without
+    one has a null doc_id.  Documents that repeat id and text give one row per item.
     """
     # A benchmark is read once per run and its items are short beside the corpus; it is not collected.
     items = benchmark.filter(F.col("item_id").isNotNull()).select("item_id", words(F.lower("text")).alias("w")).dropDuplicates()
     items = items.filter(F.size("w") > 0).withColumn("item", F.xxhash64("item_id", "w")).withColumn("m", F.size("w"))
     by_width = {r["width"]: r["n"] for r in items.groupBy(F.least("m", F.lit(SHINGLE)).alias("width")).agg(F.sum("m").alias("n")).collect()}
-    texts = docs.filter(F.col("doc_id").isNotNull()).select(
-        "doc_id", F.xxhash64("text").alias("text_hash"), "text"
-    )
+    texts = docs.select(_id("doc_id").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     found = None
     for width, n in sorted(by_width.items()):
         some = items.filter(F.least("m", F.lit(SHINGLE)) == width).withColumn("ig", _shingles(F.col("w"), width))
@@ -97,7 +101,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
         return docs.limit(0).select(
             "doc_id", F.lit(0).alias("item_id"), F.lit(0).cast("long").alias("text_hash"), F.lit(0).alias("start"), F.lit(0.0).alias("similarity")
         )
-    return found
+    return found.withColumn("doc_id", F.when(F.col("doc_id") > _NO_ID, F.col("doc_id")).cast(docs.schema["doc_id"].dataType))
 
 
 def _leaks_of_width(texts: DataFrame, items: DataFrame, width: int, parts: int, similarity: float) -> DataFrame:
@@ -133,14 +137,14 @@ def _leaks_of_width(texts: DataFrame, items: DataFrame, width: int, parts: int,
 
 
 def leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document and item that it holds: doc_id, item_id, similarity."""
-    return leaks(docs, benchmark).groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
+    """One row per document with an id and item that it holds: doc_id, item_id, similarity."""
+    return leaks(docs.filter(F.col("doc_id").isNotNull()), benchmark).groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs` whose text holds no item; rows without an id are kept."""
-    found = leaks(docs, benchmark).select(F.col("doc_id").alias("leak_id"), F.col("text_hash").alias("leak_hash")).dropDuplicates()
-    return docs.join(found, (docs["doc_id"] == found["leak_id"]) & (F.xxhash64(docs["text"]) == found["leak_hash"]), "left_anti")
+    """The rows of `docs` whose text holds no item, with or without an id."""
+    found = leaks(docs, benchmark).select(_id("doc_id").alias("leak_id"), F.col("text_hash").alias("leak_hash")).dropDuplicates()
+    return docs.join(found, (_id(docs["doc_id"]) == found["leak_id"]) & (F.xxhash64(docs["text"]) == found["leak_hash"]), "left_anti")
 
 
 #: The same windows and similarity, without fingerprints.

@@ -2,7 +2,7 @@
 
 from collections import Counter
 
-from prosegauge.llm import jaccard
+from prosegauge.llm import decontaminate, jaccard
 
 
 def text(name, n=40):
@@ -23,3 +23,14 @@ def test_one_of_each_goes_by_component(spark):
     gone = Counter([(2, text("e") + " end", "x"), (4, text("f") + " end", "x"), (5, text("g"), "x"), (6, text("h"), "y"), (None, text("i"), "x")])
     assert kept.columns == docs.columns
     assert Counter(tuple(r) for r in kept.collect()) == Counter(rows) - gone
+
+
+def test_leaks_of_rows_without_an_id(spark):
+    rows = [(None, text("a") + " " + text("b")), (None, text("c")), (None, None), (1, text("a")), (2, text("c"))]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    bench = spark.createDataFrame([(1, text("a"))], "item_id long, text string")
+    kept = [tuple(r) for r in decontaminate.without_leaks(docs, bench).collect()]
+    assert Counter(kept) == Counter([rows[1], rows[2], rows[4]])
+    found = decontaminate.leaking(docs, bench)
+    assert found.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    assert [(r["doc_id"], r["item_id"]) for r in found.collect()] == [(1, 1)]
