@@ -1,14 +1,17 @@
-"""Benchmark passages inside documents, by SimHash windows of the items' sizes.
+"""Benchmark passages inside documents, by windows of the items' sizes.
 
 Everything here is column expressions.  An item is a multiset of shingles; a
 window of a document has as many words as the item.  Only windows that hold a
 shingle of an item can be similar to one, so a broadcast join on shingle hashes
 says where windows are needed, and the shared shingle says where a window begins:
-where the item's first word would stand.  Windows and items get 64-bit SimHash
-fingerprints.  The fingerprint is cut into one block more than the radius: two
-fingerprints within the radius agree in a block, so a join on blocks misses none of
-them.  What is within the radius is compared exactly: the weighted Jaccard
-similarity, a shingle's weight being how often it occurs.
+where the item's first word would stand.
+
+A similar window lacks at most a quarter of an item's weight, a shingle's weight
+being how often it occurs.  So it holds one of any shingles that together weigh more:
+the item's rarest ones are its prefix, and a window meets the items of whose prefix it
+holds a shingle.  Such pairs are compared exactly by the weighted Jaccard similarity,
+unless the shingles that one side lacks are too many already when counted once each.
+Nothing is estimated, so no similar pair is lost.
 """
 
 from __future__ import annotations
@@ -20,8 +23,8 @@ from prosegauge.functions.text import let
 from prosegauge.llm.words import words
 
 SHINGLE, SIMILARITY = 5, 0.75
-#: Similar windows differ in 11 of 64 bits on average and in more than 22 about once in ten thousand.
-RADIUS, BITS = 22, 64
+#: Bounds are whole numbers but for rounding; this much more is let through to the exact comparison.
+SLACK = 1e-6
 #: Shingles of the benchmark that are broadcast at once; a larger benchmark is joined in several such parts.
 BROADCAST_SHINGLES = 1_000_000
 #: Stands for no id; one text with this id and without one is judged once, with the same result.
@@ -43,39 +46,24 @@ def _shingles(of: Column, width: int) -> Column:
     return let(of, lambda w: F.when(F.size(w) >= width, runs(w)).otherwise(F.array().cast("array<bigint>")))
 
 
-def _fingerprints(rows: DataFrame, grams: str, *keys: str) -> DataFrame:
-    """`rows` of unique `keys` with `print`, the SimHash of the hashes in the array `grams`.
+def _prefixes(items: DataFrame, similarity: float) -> DataFrame:
+    """item, m, g for the rarest shingles of each item, as many as any similar window must hold one of.
 
-    Sixteen sums over exploded hashes count all 64 bits, four to a sum in fields
-    of 16 bits; longer arrays are counted in chunks of 32,768 hashes.
+    What a window lacks of an item of weight n is at most (1 - similarity) * n.  Any
+    order gives a right prefix; shingles that few items have make it selective.
     """
-    one = rows.select(*keys, F.posexplode(grams).alias("i", "g"))
-    lanes = [F.sum(F.shiftright("g", k).bitwiseAND(F.lit(0x0001000100010001))).alias(f"s{k}") for k in range(16)]
-    chunks = one.groupBy(*keys, F.floor(F.col("i") / 32768).alias("chunk")).agg(F.count("g").alias("n"), *lanes)
-    field = lambda k, lane: F.sum(F.shiftrightunsigned(f"s{k}", 16 * lane).bitwiseAND(F.lit(0xFFFF)))
-    bits = [field(k, lane).alias(f"b{k + 16 * lane}") for lane in range(4) for k in range(16)]
-    counted = chunks.groupBy(*keys).agg(F.sum("n").alias("n"), *bits)
-    value = F.lit(0).cast("long")
-    for b in range(BITS):
-        value = value.bitwiseOR(F.shiftleft((2 * F.col(f"b{b}") > F.col("n")).cast("long"), b))
-    return rows.join(counted.select(*keys, value.alias("print")), list(keys))
-
-
-def _blocks(fingerprint: str) -> Column:
-    """(block, value) for RADIUS + 1 blocks of nearly equal width."""
-    cuts = [BITS * k // (RADIUS + 1) for k in range(RADIUS + 2)]
-    parts = [
-        F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("value"))
-        for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))
-    ]
-    return F.explode(F.array(*parts))
-
-
-def _weighted(left: str, right: str) -> tuple[Column, Column]:
-    """Sums of the smaller and of the larger weights over all shingles of two arrays."""
+    one = items.select("item", "m", F.size("ig").alias("n"), F.explode("ig").alias("g"))
+    one = one.groupBy("item", "m", "n", "g").agg(F.count(F.lit(1)).alias("weight"))
+    often = one.groupBy("m", "g").agg(F.count(F.lit(1)).alias("often"))
+    order = Window.partitionBy("item").orderBy("often", "g").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = one.join(often, ["m", "g"]).withColumn("before", F.coalesce(F.sum("weight").over(order), F.lit(0)))
+    return ranked.filter(F.col("before") <= (1 - similarity) * F.col("n") + SLACK).select("item", "m", "g")
+
+
+def _shared_weight(left: str, right: str) -> Column:
+    """The sum of the smaller weights over all shingles of two arrays."""
     count = lambda of: f"size(filter({of}, y -> y = x))"
-    shared = F.expr(f"aggregate(array_intersect({left}, {right}), 0L, (t, x) -> t + least({count(left)}, {count(right)}))")
-    return shared, F.size(left) + F.size(right) - shared
+    return F.expr(f"aggregate(array_intersect({left}, {right}), 0L, (t, x) -> t + least({count(left)}, {count(right)}))")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -119,17 +107,23 @@ def _leaks_of_width(texts: DataFrame, items: DataFrame, width: int, parts: int,
         one = hit.select("doc_id", "text_hash", "m", start.alias("start"), F.slice("dg", start + 1, long).alias("wg"))
         windows = one if windows is None else windows.unionByName(one)
     keys = ("doc_id", "text_hash", "m", "start")
-    windows = _fingerprints(windows.dropDuplicates(list(keys)), "wg", *keys)
-    marks = _fingerprints(items.select("item", "item_id", "m", "ig"), "ig", "item").withColumnRenamed("print", "mark")
-    left = windows.select(*keys, "wg", "print", _blocks("print").alias("b")).select(*keys, "wg", "print", "b.*")
-    right = marks.select("item", "item_id", "m", "ig", "mark", _blocks("mark").alias("b")).select("item", "item_id", "m", "ig", "mark", "b.*")
-    close = left.join(right, ["m", "block", "value"]).filter(F.bit_count(F.col("print").bitwiseXOR(F.col("mark"))) <= RADIUS)
-    # A pair that agrees in several blocks is kept at the first of them.
-    differ = F.col("print").bitwiseXOR(F.col("mark"))
-    cuts = [BITS * k // (RADIUS + 1) for k in range(RADIUS + 2)]
-    first = F.coalesce(*(F.when(F.shiftrightunsigned(differ, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) == 0, k) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))))
-    shared, union = _weighted("wg", "ig")
-    close = close.filter(F.col("block") == first).withColumn("shared", shared).withColumn("total", F.size("wg") + F.size("ig") - F.col("shared"))
+    windows = windows.dropDuplicates(list(keys))
+    prefixes = _prefixes(items, similarity)
+    whole = prefixes.groupBy("item").agg(F.collect_list("g").alias("prefix")).join(items.select("item", "item_id", "ig"), "item")
+    close = None
+    for k in range(parts):
+        # Items are dealt to the parts by their names, so a part has about BROADCAST_SHINGLES shingles again.
+        of_part = F.pmod(F.hash("item"), F.lit(parts)) == k
+        met = windows.select(*keys, "wg", F.explode(F.array_distinct("wg")).alias("g"))
+        met = met.join(F.broadcast(prefixes.filter(of_part)), ["m", "g"]).join(F.broadcast(whole.filter(of_part)), "item")
+        # A pair that shares several shingles of the prefix is kept at the least of them.
+        met = met.filter(F.array_min(F.array_intersect("prefix", "wg")) == F.col("g"))
+        close = met if close is None else close.unionByName(met)
+    total = F.size("wg") + F.size("ig")
+    may = lambda a, b: F.size(F.array_except(a, b)) <= F.size(a) - similarity / (1 + similarity) * total + SLACK
+    close = close.filter(may("ig", "wg")).filter(may("wg", "ig"))
+    shared = _shared_weight("wg", "ig")
+    close = close.withColumn("shared", shared).withColumn("total", total - F.col("shared"))
     close = close.withColumn("similarity", F.col("shared") / F.col("total")).filter(F.col("similarity") >= similarity)
     best = Window.partitionBy("doc_id", "text_hash", "item_id").orderBy(F.desc("similarity"), "start")
     close = close.select("doc_id", "item_id", "text_hash", "start", "similarity").withColumn("r", F.row_number().over(best))
