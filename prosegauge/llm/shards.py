@@ -1,20 +1,24 @@
 """Balanced label propagation: linked documents move together, shards stay even.
 
 Links are hyperedges: documents that share a link key are all linked, as if through
-a hub, so a key of very many documents costs a row each and never pairs.  In each
-round every hub's documents want to go to the shard that holds most of them.  A
-shard takes newcomers up to its quota, its even share less the linked documents
-that do not ask to leave, hub by hub; a hub too large for what is left goes in
-parts.  Last, documents without links fill the shards up so that the counts differ
-by one at most; linked ones move only if those do not suffice.
-
-Ranks and quotas are worked out on counts per cell (shard and hash range), of which
+a hub, so a key of very many documents costs a row each and never pairs.
+
+Hubs of more than a quarter of a shard are few.  They are placed first, the largest
+first: whole where one fits, or else over as few shards as have room for it.  Then in
+each round every other hub's documents want to go to the open shard that holds most of
+them.  A shard takes newcomers up to its room, its share less what is placed there and
+the linked documents that do not ask to leave, and takes a hub's documents together or
+not at all.  A shard that had to refuse some is closed, and those look for the
+next best.  So after at most a round per shard all hubs are together, or no shard has
+room for the rest.  Last, documents without links fill the shards up so that the counts
+differ by one at most; linked ones move only if those do not suffice.
+
+Ranks and rooms are worked out on counts per cell (shard and hash range), of which
 there is a fixed number; only cells on a boundary are sorted.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,7 +26,6 @@ from pyspark.sql import functions as F
 
 from prosegauge.llm.shared import written
 
-ROUNDS = 3
 #: Hash cells per shard.
 CELLS = 256
 
@@ -36,44 +39,89 @@ def _counts(df: DataFrame, *keys: str) -> dict:
     return {tuple(r[k] for k in keys): r["n"] for r in df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
-def _votes(linked: DataFrame) -> DataFrame:
-    """hub, wanted: the shard with most of the hub's documents, ties to a hashed order."""
+def _goal(shards: int, total: int) -> dict[int, int]:
+    return {s: total // shards + (s < total % shards) for s in range(shards)}
+
+
+def _places(large: list[tuple], room: dict[int, int]) -> list[tuple]:
+    """(number, low, high, shard) for parts of the `large` hubs (hub, n); what they take is taken from `room`."""
+    plan = []
+    for number, (_, n) in enumerate(large):
+        at = 0
+        while at < n:
+            # The least room that takes all of it, or else the most.
+            fits = [s for s in room if room[s] >= n - at]
+            shard = min(fits, key=lambda s: (room[s], s)) if fits else max(room, key=lambda s: (room[s], -s))
+            take = min(room[shard], n - at)
+            plan.append((number, at, at + take, shard))
+            room[shard] -= take
+            at += take
+    return plan
+
+
+def _start(room: dict[int, int]) -> Column:
+    """A hashed shard for each row, so that shards begin with rows in proportion to their room."""
+    bounds = list(accumulate(room[s] for s in sorted(room)))
+    at = F.pmod(F.xxhash64(F.lit("start"), "row"), F.lit(max(1, bounds[-1])))
+    before = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= at))
+    return F.least(before, F.lit(len(room) - 1)).cast("int")
+
+
+def _placed(state: DataFrame, large: list[tuple], plan: list[tuple]) -> DataFrame:
+    """The rows of the `large` hubs with their shards by the plan."""
+    spark = state.sparkSession
+    hubs = F.broadcast(spark.createDataFrame([(hub, k) for k, (hub, _) in enumerate(large)], "hub long, large int"))
+    plan = F.broadcast(spark.createDataFrame(plan, "of int, low long, high long, to int"))
+    rows = _ranked(state.filter("linked").join(hubs, "hub").withColumn("cell", _cell("row")), "large")
+    rows = rows.join(plan, (F.col("large") == F.col("of")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
+    return rows.withColumn("shard", F.col("to")).select(*state.columns)
+
+
+def _votes(linked: DataFrame, closed: set[int], shards: int) -> DataFrame:
+    """hub, wanted: the open shard with most of the hub's documents, ties to a hashed order.
+
+    A hub that is together stays; one in closed shards only wants a hashed open one.
+    """
+    is_open = sorted(set(range(shards)) - closed)
     held = linked.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n"))
-    first = F.max_by("shard", F.struct("n", F.xxhash64("hub", "shard")))
-    return held.groupBy("hub").agg(first.alias("wanted"), F.max("n").alias("most"))
+    votes = F.when(F.col("shard").isin(is_open), F.struct("n", F.xxhash64("hub", "shard")))
+    best = held.groupBy("hub").agg(F.max_by("shard", votes).alias("best"), F.count(F.lit(1)).alias("parts"), F.first("shard").alias("only"))
+    other = F.lit(None).cast("int")
+    if is_open:
+        other = F.get(F.array(*map(F.lit, is_open)), F.pmod(F.xxhash64(F.lit("other"), "hub"), F.lit(len(is_open))).cast("int"))
+    return best.select("hub", F.when(F.col("parts") == 1, F.col("only")).otherwise(F.coalesce("best", other)).alias("wanted"))
 
 
-def _move(state: DataFrame, shards: int, total: int) -> DataFrame:
-    """One round: hubs' documents move to the wanted shard as far as quotas allow."""
-    wants = state.join(_votes(state.filter("linked").select("hub", "shard")), "hub", "left")
+def _move(state: DataFrame, room: dict[int, int], closed: set[int]) -> tuple[DataFrame, set[int]]:
+    """One round: hubs' documents move to the wanted shard as far as there is room; also the shards that refused some."""
+    wants = state.join(_votes(state.filter("linked").select("hub", "shard"), closed, len(room)), "hub", "left")
     # Rows without links have hubs of their own, so that no join gathers them under null.
     asking = F.col("linked") & F.col("wanted").isNotNull() & (F.col("wanted") != F.col("shard"))
-    wants = wants.withColumn("asks", asking).withColumn("hub_cell", _cell("hub")).withColumn("doc_cell", _cell("row"))
+    wants = wants.withColumn("asks", asking).withColumn("hub_cell", _cell("hub")).withColumn("sub_cell", _cell(F.lit("sub"), "hub"))
     stays = _counts(wants.filter(F.col("linked") & ~F.col("asks")), "shard")
     asked = _counts(wants.filter("asks"), "wanted", "hub_cell")
-    whole, split = {}, {}
-    for shard in range(shards):
-        room = max(0, total // shards - stays.get((shard,), 0))
-        for cell in range(CELLS):
-            n = asked.get((shard, cell), 0)
-            if n > room:
-                split[shard] = (cell, room)
-                break
-            whole[shard], room = cell, room - n
-    parts = {}
-    if split:
-        edge = F.expr(" OR ".join(f"(wanted = {s} AND hub_cell = {c})" for s, (c, _) in split.items()))
-        inside = _counts(wants.filter(F.col("asks") & edge), "wanted", "doc_cell")
-        for shard, (_, room) in split.items():
-            sums = list(accumulate(inside.get((shard, c), 0) for c in range(CELLS)))
-            parts[shard] = bisect_right(sums, room) - 1
-    plan = [(s, whole.get(s, -1), split.get(s, (-1, 0))[0], parts.get(s, -1)) for s in range(shards)]
-    plan = F.broadcast(state.sparkSession.createDataFrame(plan, "wanted int, below int, edge int, part int"))
-    goes = F.col("asks") & (
-        (F.col("hub_cell") <= F.col("below")) | ((F.col("hub_cell") == F.col("edge")) & (F.col("doc_cell") <= F.col("part")))
-    )
-    moved = wants.join(plan, "wanted", "left")
-    return moved.withColumn("shard", F.when(F.coalesce(goes, F.lit(False)), F.col("wanted")).otherwise(F.col("shard"))).select(*state.columns)
+    taken, edges, left = [], {}, {s: room[s] - stays.get((s,), 0) for s in room}
+    for (shard, cell), n in sorted(asked.items(), key=lambda found: (found[1], found[0])):
+        if n <= left[shard]:
+            taken.append((shard, cell, -1))
+            left[shard] -= n
+        else:  # the first that does not fit is looked at more closely
+            edges.setdefault(shard, cell)
+    if edges:
+        edge = F.expr(" OR ".join(f"(wanted = {s} AND hub_cell = {c})" for s, c in edges.items()))
+        inside = _counts(wants.filter(F.col("asks") & edge), "wanted", "hub_cell", "sub_cell")
+        for key, n in sorted(inside.items(), key=lambda found: (found[1], found[0])):
+            if n <= left[key[0]]:
+                taken.append(key)
+                left[key[0]] -= n
+    if not taken:
+        return state, set(edges)
+    plan = F.broadcast(state.sparkSession.createDataFrame(taken, "wanted int, hub_cell int, sub int"))
+    whole = plan.filter("sub = -1").select("wanted", "hub_cell", F.lit(True).alias("all"))
+    part = plan.filter("sub >= 0").select("wanted", "hub_cell", F.col("sub").alias("sub_cell"), F.lit(True).alias("some"))
+    moved = wants.join(F.broadcast(whole), ["wanted", "hub_cell"], "left").join(F.broadcast(part), ["wanted", "hub_cell", "sub_cell"], "left")
+    goes = F.col("asks") & F.coalesce("all", "some", F.lit(False))
+    return moved.withColumn("shard", F.when(goes, F.col("wanted")).otherwise(F.col("shard"))).select(*state.columns), set(edges)
 
 
 def _ranked(df: DataFrame, *groups: str) -> DataFrame:
@@ -96,7 +144,7 @@ def _ranked(df: DataFrame, *groups: str) -> DataFrame:
 
 def _even(state: DataFrame, shards: int, total: int) -> DataFrame:
     """Move what a shard has beyond its count to shards that lack some; unlinked documents first."""
-    goal = {s: total // shards + (s < total % shards) for s in range(shards)}
+    goal = _goal(shards, total)
     load = _counts(state, "shard")
     excess = {s: load.get((s,), 0) - goal[s] for s in range(shards)}
     celled = state.withColumn("cell", _cell("row") + F.when(F.col("linked"), CELLS).otherwise(0))
@@ -135,7 +183,7 @@ def _even(state: DataFrame, shards: int, total: int) -> DataFrame:
     return moved.withColumn("shard", F.coalesce("to", "shard")).drop("to")
 
 
-def assign(rows: DataFrame, shards: int, rounds: int = ROUNDS) -> DataFrame:
+def assign(rows: DataFrame, shards: int) -> DataFrame:
     """Shard and slot of every row of (row, hub): row, shard, slot.
 
     `row` is unique; rows with an equal hub that is not null are linked.  Counts
@@ -143,12 +191,27 @@ def assign(rows: DataFrame, shards: int, rounds: int = ROUNDS) -> DataFrame:
     from 0 without gaps.  An empty table gives an empty result.
     """
     total = rows.count()
-    sizes = rows.filter(F.col("hub").isNotNull()).groupBy("hub").agg((F.count(F.lit(1)) > 1).alias("linked"))
-    state = rows.join(sizes, "hub", "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
-    state = state.withColumn("hub", F.when(F.col("linked"), F.col("hub")).otherwise(F.xxhash64("row"))).withColumn("shard", F.pmod(F.xxhash64(F.lit("start"), "row"), F.lit(shards)).cast("int"))
+    sizes = rows.filter(F.col("hub").isNotNull()).groupBy("hub").agg(F.count(F.lit(1)).alias("n"))
+    room, linked = _goal(shards, total), sizes.select("hub", (F.col("n") > 1).alias("linked"))
+    # Fewer than eight for a shard, as their sizes say.
+    large = sizes.filter(F.col("n") > max(1, total // shards // 4)).select("hub", "n").collect()
+    large = sorted(((r["hub"], r["n"]) for r in large), key=lambda hub: (-hub[1], hub[0]))
+    plan = _places(large, room)
+    state = rows.join(linked, "hub", "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
+    state = state.withColumn("hub", F.when(F.col("linked"), F.col("hub")).otherwise(F.xxhash64("row"))).withColumn("shard", _start(room))
     state = written(state, "shards-start")
-    for number in range(rounds):
-        state = written(_move(state, shards, total), f"shards-{number}")
+    placed = None
+    if large:
+        placed = written(_placed(state, large, plan), "shards-large")
+        state = state.join(F.broadcast(placed.select("hub").dropDuplicates()), "hub", "left_anti")
+    closed: set[int] = set()
+    while len(closed) < shards:
+        state, refused = _move(state, room, closed)
+        state = written(state, f"shards-{len(closed)}")
+        if not refused:
+            break
+        closed |= refused
+    state = state if placed is None else state.unionByName(placed)
     state = written(_even(state, shards, total), "shards-even").withColumn("cell", _cell("row"))
     return _ranked(state, "shard").select("row", "shard", F.col("rank").cast("long").alias("slot"))
 
