@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosegauge.llm import decontaminate, jaccard, mixing, neighbours, quality, shards, substrings, token_counts, token_ids, toxicity
+from prosegauge.llm import (
+    collocations,
+    decontaminate,
+    jaccard,
+    mixing,
+    neighbours,
+    quality,
+    ranking,
+    shards,
+    substrings,
+    token_counts,
+    token_ids,
+    toxicity,
+    warc,
+)
 from prosegauge.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +89,30 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op2_mixing"] = mixing.sql
 ORACLES["op6_decontaminate"] = lambda: decontaminate.SQL
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of each language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_collocations"] = lambda: collocations.SQL
+
+
+@query
+def op12_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents for every benchmark item."""
+    return ranking.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op12_ranking"] = lambda: ranking.SQL
+
+
+@query
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record per page, written to archives and read back."""
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op13_warc"] = lambda: warc.SQL
