@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prosegauge.catalog import sql as S
+from prosegauge.catalog.fixtures import documents_of
 from prosegauge.catalog.registry import query
 from prosegauge.catalog.sql import Sql
 from prosegauge.plans import report, scoring
-from prosegauge.sources.tables import load_documents, table
+from prosegauge.sources.tables import table
 from prosegauge.streaming import events as E
 from prosegauge.streaming.run import drain, read_stream
 
@@ -62,8 +63,7 @@ def dedup_phases(spark, sf_dir):
 
 @query("dedup_phases_stream", _sql(DEDUP))
 def dedup_phases_stream(spark, sf_dir):
-    stream = E.dedup_phases_stream(as_scan_events(read_stream(spark, sf_dir, "events")))
-    return drain(stream, "dedup", "append").select("key", "event_id", "phase")
+    return E.dedup_phases_stream(as_scan_events(read_stream(spark, sf_dir, "events"))).select("key", "event_id", "phase")
 
 
 LATEST = """SELECT key, band, slop, event_id FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC) AS k FROM banded
@@ -97,8 +97,8 @@ def requests_and_results(events: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.lit("http://site/"),
         F.substring("url", 13, 9).cast("int") + F.when(F.col("slop") % 5 == 0, 1).otherwise(0),
     )
-    return asked.select("key", "token", "url"), asked.filter("ready").select(
-        "key", "token", moved.alias("url"), "slop"
+    return asked.select("key", "token", "url", "ts"), asked.filter("ready").select(
+        "key", "token", moved.alias("url"), "slop", "ts"
     )
 
 
@@ -111,33 +111,56 @@ def supersede(spark, sf_dir):
 @query("newest_request_wins_stream", lambda: NEWEST)
 def supersede_stream(spark, sf_dir):
     requests, results = requests_and_results(as_scan_events(read_stream(spark, sf_dir, "events")))
-    both = requests.select("key", "token", "url", F.lit(None).cast("int").alias("slop"), F.lit("url").alias("kind")).unionByName(
-        results.select("key", "token", "url", "slop", F.lit("result").alias("kind"))
+    both = requests.withColumns({"slop": F.lit(None).cast("int"), "kind": F.lit("url")}).unionByName(
+        results.withColumn("kind", F.lit("result"))
     )
-    rows = drain(E.newest_requests_stream(both), "newest", "update")
-    last = rows.groupBy("key").agg(F.max_by(F.struct("request", "answer"), "batch").alias("r"))
-    return last.filter(
-        (F.col("r.request.token") == F.col("r.answer.token")) & (F.col("r.request.url") == F.col("r.answer.url"))
-    ).select("key", "r.answer.token", "r.answer.slop")
+    return E.answered(drain(E.newest_requests_stream(both), "newest", "update"))
 
 
-FIRST = f"""SELECT q.key, q.event_id, min_by(s.event_id, s.ts) AS ready_id, CASE WHEN count(s.event_id) > 0 THEN 'ready' ELSE 'timeout' END AS outcome
-  FROM scan q LEFT JOIN scan s ON s.key = q.key AND s.ready AND s.ts > q.ts AND s.ts < q.ts + INTERVAL {DEADLINE} SECONDS
-  WHERE q.kind = 'url' GROUP BY q.key, q.event_id"""
+def _first(limit: str, only: str = "TRUE") -> str:
+    return f"""SELECT q.key, q.event_id, min_by(s.event_id, s.ts) AS ready_id, CASE WHEN count(s.event_id) > 0 THEN 'ready' ELSE 'timeout' END AS outcome
+  FROM (SELECT *, {limit} AS seconds FROM scan) q LEFT JOIN scan s ON s.key = q.key AND s.ready AND s.ts > q.ts AND s.ts < q.ts + to_seconds(q.seconds)
+  WHERE q.kind = 'url' AND {only} GROUP BY q.key, q.event_id"""
 
 
-@query("first_ready", _sql(FIRST))
+# What the watermark has passed at the end: slots that ended the longest limit and the lateness before the newest event.
+CLOSED_SLOTS = "date_trunc('hour', q.ts) + INTERVAL 1 HOUR + INTERVAL {} SECONDS + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM scan)"
+#: The extended limit of the queries; some requests ask for more than may be granted.
+LONG_DEADLINE = 10 * DEADLINE
+ASKED_SQL = f"CASE event_id % 4 WHEN 0 THEN {LONG_DEADLINE} WHEN 1 THEN {2 * LONG_DEADLINE} WHEN 2 THEN 0 END"
+LIMIT_SQL = f"CASE event_id % 4 WHEN 0 THEN {LONG_DEADLINE} WHEN 1 THEN {LONG_DEADLINE} ELSE {DEADLINE} END"
+
+
+def asked_limit():
+    """The limit of each request: some ask for the extended one, some for more, some for none."""
+    asked = F.expr(ASKED_SQL)
+    return E.limit_seconds(asked, DEADLINE, LONG_DEADLINE)
+
+
+@query("first_ready", _sql(_first(str(DEADLINE))))
 def first_ready(spark, sf_dir):
     return E.first_ready(scan_events(spark, sf_dir), DEADLINE).select("key", "event_id", "ready_id", "outcome")
 
 
-@query("first_ready_stream")
+@query("first_ready_own_limits", _sql(_first(LIMIT_SQL)))
+def first_ready_own_limits(spark, sf_dir):
+    return E.first_ready(scan_events(spark, sf_dir), asked_limit()).select("key", "event_id", "ready_id", "outcome")
+
+
+@query("first_ready_stream", _sql(_first(str(DEADLINE), CLOSED_SLOTS.format(DEADLINE))))
 def first_ready_stream(spark, sf_dir):
-    """Only requests whose hour the watermark has passed are written."""
+    """Ready and timed-out requests of every hour that the watermark has passed."""
     stream = E.first_ready_stream(as_scan_events(read_stream(spark, sf_dir, "events")), DEADLINE)
     return drain(stream, "ready", "append").drop("batch")
 
 
+@query("first_ready_stream_own_limits", _sql(_first(LIMIT_SQL, CLOSED_SLOTS.format(LONG_DEADLINE))))
+def first_ready_stream_own_limits(spark, sf_dir):
+    events = as_scan_events(read_stream(spark, sf_dir, "events"))
+    stream = E.first_ready_stream(events, asked_limit(), longest_seconds=LONG_DEADLINE)
+    return drain(stream, "ready-own", "append").drop("batch")
+
+
 @query(
     "settings_everywhere",
     _sql(
@@ -166,7 +189,7 @@ def _scan_sql() -> str:
 
 @query("scan_documents", _scan_sql)
 def scan_documents(spark, sf_dir):
-    return scoring.scan(load_documents(spark, sf_dir)).select("doc_id", "status", "score", "band")
+    return scoring.scan(documents_of(spark, sf_dir)).select("doc_id", "status", "score", "band")
 
 
 @query("score_stream", _scan_sql)

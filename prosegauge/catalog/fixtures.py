@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prosegauge.sources.tables import load_documents, parts_of_small
+
 _LONG = "The committee met again " + "and then the members walked past the river to count boats " * 14
 
 SNIPPETS = (
@@ -100,10 +102,13 @@ def with_snippets(df: DataFrame) -> DataFrame:
     return df.withColumn("text", F.concat("text", F.lit("\n\n"), F.repeat(snippet, reps)))
 
 
-def seeded(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    from prosegauge.sources.tables import load_documents
+def documents_of(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The documents of a folder of test tables, a small table dealt out to all cores."""
+    return load_documents(spark, sf_dir, *columns, parts=parts_of_small(spark, sf_dir, "documents"))
 
-    return with_snippets(load_documents(spark, sf_dir, *columns))
+
+def seeded(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return with_snippets(documents_of(spark, sf_dir, *columns))
 
 
 def quote(text: str) -> str:

@@ -10,24 +10,37 @@ from pyspark.sql import functions as F
 from prosegauge import config
 from prosegauge.functions.text import n_words
 
+#: Below so many bytes a table counts as small.
+SMALL_BYTES = 1 << 30
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core work when the input has fewer splits than cores.
+def table_bytes(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Bytes of the files of a table, from their listing."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(sf_dir, f"{name}.parquet"))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+
+def parts_of_small(spark: SparkSession, sf_dir: str, name: str, small: int = SMALL_BYTES) -> int | None:
+    """Twice the cores for a table under `small` bytes, else None.
 
-    A large input has more splits than cores and is left where it is, so this
-    moves rows only when they are few.
+    A small table may be a single split, which would keep one core busy; a large one
+    is better left as its files are split.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+    return 2 * spark.sparkContext.defaultParallelism if table_bytes(spark, sf_dir, name) < small else None
+
+
+def spread(df: DataFrame, parts: int | None) -> DataFrame:
+    """Deal rows out to `parts` partitions, or leave them where they are."""
+    return df if parts is None else df.repartition(parts)
 
 
-def load_documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Documents as (doc_id, text) and the named extra columns."""
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", *columns))
+def load_documents(spark: SparkSession, sf_dir: str, *columns: str, parts: int | None = None) -> DataFrame:
+    """Documents as (doc_id, text) and the named extra columns, dealt out to `parts` partitions if asked for."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", *columns), parts)
 
 
 def load_named_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -36,20 +49,22 @@ def load_named_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def load_text_files(spark: SparkSession, path: str, types: dict[str, str] | None = None) -> DataFrame:
+def load_text_files(
+    spark: SparkSession, path: str, types: dict[str, str] | None = None, most_bytes: int | None = None
+) -> DataFrame:
     """Text files as (path, text, status).
 
     A file counts as text by its extension or, where the caller knows it, by
     its MIME type (`types` maps an extension to one).  Other files and files
-    over the size limit are listed with a status and no text.  Only the content
-    of files that are returned is read: names and sizes filter the listing.
+    over a caller's limit of bytes are listed with a status and no text.  Only the
+    content of files that are returned is read: names and sizes filter the listing.
     """
     extensions = list(config.TEXT_EXTENSIONS) + [
         e for e, mime in (types or {}).items() if mime.startswith("text/")
     ]
     any_case = lambda name: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in name)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    small = F.col("length") <= config.MAX_FILE_BYTES
+    small = F.lit(True) if most_bytes is None else F.col("length") <= most_bytes
     texts = (
         reader.option("pathGlobFilter", "*.{" + ",".join(map(any_case, extensions)) + "}")
         .load(path)
@@ -69,39 +84,41 @@ def load_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").filter(F.col("url").rlike("^https?:"))
 
 
-def choose_scope(df: DataFrame, mode: str, passage: str = "passage", text: str = "text") -> DataFrame:
-    """Add `scope`, `scope_text` and `scope_status`.
+MODES = ("auto", "selection", "page")
+
+
+def scope_of(mode: str, passage: Column, text: Column, most: int | None = None) -> Column:
+    """What a mode scores, as (scope, scope_status, scope_text).
 
     `auto` takes the passage when it has enough words, `selection` insists on
-    it, `page` ignores it.
+    it, `page` ignores it.  `most` is a caller's limit of characters for passages.
     """
-    if mode not in ("auto", "selection", "page"):
+    if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}")
-    chosen = F.coalesce(F.col(passage), F.lit(""))
+    chosen = F.coalesce(passage, F.lit(""))
     words = n_words(chosen)
-    if mode == "selection":
-        wants: Column = F.lit(True)
-    elif mode == "auto":
-        wants = words >= config.MIN_WORDS
-    else:
-        wants = F.lit(False)
-    too_large = F.length(chosen) > config.MAX_TEXT_CHARS
+    wants: Column = {"selection": F.lit(True), "auto": words >= config.MIN_WORDS, "page": F.lit(False)}[mode]
+    too_large = F.lit(False) if most is None else F.length(chosen) > most
     status = (
         F.when(too_large, "too_large")
         .when(wants & (words == 0), "nothing_selected")
         .otherwise("ok")
     )
-    return df.withColumns(
-        {
-            "scope": F.when(wants, "selection").otherwise("page"),
-            "scope_status": status,
-            "scope_text": F.when(
-                status == "ok", F.when(wants, chosen).otherwise(F.col(text))
-            ),
-        }
+    return F.struct(
+        F.when(wants, "selection").otherwise("page").alias("scope"),
+        status.alias("scope_status"),
+        F.when(status == "ok", F.when(wants, chosen).otherwise(text)).alias("scope_text"),
     )
 
 
+def choose_scope(
+    df: DataFrame, mode: str, passage: str = "passage", text: str = "text", most: int | None = None
+) -> DataFrame:
+    """Add `scope`, `scope_text` and `scope_status`, see `scope_of`."""
+    chosen = scope_of(mode, F.col(passage), F.col(text), most)
+    return df.withColumns({name: chosen[name] for name in ("scope", "scope_status", "scope_text")})
+
+
 def write_results(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Analysis records as parquet, one folder per band.
 

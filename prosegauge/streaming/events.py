@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prosegauge import config  # noqa: F401
+from prosegauge.streaming.run import fold
 
 URL, COMPLETE, RESULT, FAILED, CLOSED = "url", "complete", "result", "failed", "closed"
 # The normal and the extended scan limit.
@@ -102,17 +102,22 @@ def supersede(requests: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
-def first_ready(events: DataFrame, deadline_seconds: float = DEADLINE_SECONDS) -> DataFrame:
+def limit_seconds(asked: Column, normal: float = DEADLINE_SECONDS, longest: float = LONG_DEADLINE_SECONDS) -> Column:
+    """The limit of a request: the normal one unless it asks for its own, and never beyond the extended one."""
+    return F.least(F.coalesce(F.when(asked > 0, asked), F.lit(normal)), F.lit(longest)).cast("double")
+
+
+def first_ready(events: DataFrame, deadline_seconds: float | Column = DEADLINE_SECONDS) -> DataFrame:
     """For each request, the first later snapshot that can be scored in time.
 
     Events are requests (`kind` url) and snapshots with `ready`.  The next ready
     snapshot of the key is looked up, then held against the deadline; nothing
-    after it counts.
+    after it counts.  The deadline may be a column of the requests, see
+    `limit_seconds`.
     """
     ready = F.when(F.col("ready"), F.struct("ts", "event_id"))
     looked = carried(events, ready, "next_ready", ahead=True)
-    limit = F.col("ts") + F.make_dt_interval(secs=F.lit(deadline_seconds))
-    in_time = F.coalesce(F.col("next_ready.ts") < limit, F.lit(False))
+    in_time = F.coalesce(F.col("next_ready.ts") < F.col("ts") + _span(deadline_seconds), F.lit(False))
     return looked.filter(F.col("kind") == URL).select(
         "key",
         "event_id",
@@ -122,6 +127,10 @@ def first_ready(events: DataFrame, deadline_seconds: float = DEADLINE_SECONDS) -
     )
 
 
+def _span(seconds: float | Column) -> Column:
+    return F.make_dt_interval(secs=seconds if isinstance(seconds, Column) else F.lit(seconds))
+
+
 # --- the same on a stream -------------------------------------------------------------
 def score_stream(documents: DataFrame, rules=None) -> DataFrame:
     """Scores of documents as they arrive; a narrow plan without state."""
@@ -130,75 +139,104 @@ def score_stream(documents: DataFrame, rules=None) -> DataFrame:
     return scan(documents, rules)
 
 
-def latest_outcomes_stream(events: DataFrame) -> DataFrame:
-    """A running aggregate for update mode: the last outcome of each key.
+def latest_outcomes_stream(events: DataFrame, lateness: str = "1 hour", slot: str = "1 day") -> DataFrame:
+    """A running aggregate for update mode: the last outcome of each key and slot of time.
 
-    Cleared keys stay in it as outcomes other than a result, so that a sink can
-    drop them; see `open_readings`.
+    The state of a slot is freed when the watermark has passed it, so what is held
+    are the keys of the newest slots and never all keys there have been.  Closed
+    and failed scans are outcomes other than a result; see `open_readings`.
     """
-    return (
-        events.filter(F.col("kind").isin(RESULT, FAILED, CLOSED))
-        .groupBy("key")
-        .agg(F.max_by(F.struct("kind", "band", "slop", "ts"), F.struct("ts", "event_id")).alias("last"))
-        .select("key", "last.*")
-    )
+    last = F.max_by(F.struct("kind", "band", "slop", "ts", "event_id"), F.struct("ts", "event_id")).alias("last")
+    outcome = events.filter(F.col("kind").isin(RESULT, FAILED, CLOSED)).withWatermark("ts", lateness)
+    return outcome.groupBy(F.window("ts", slot), "key").agg(last).select("key", "last.*")
 
 
 def open_readings(updates: DataFrame) -> DataFrame:
-    """Readings from the updates a stream wrote, each with its `batch`."""
-    last = updates.groupBy("key").agg(F.max_by(F.struct("kind", "band", "slop", "ts"), "batch").alias("last"))
+    """Readings from the updates a stream wrote: of each key the last one, unless a later outcome cleared it."""
+    last = updates.groupBy("key").agg(F.max_by(F.struct("kind", "band", "slop", "ts"), F.struct("ts", "event_id")).alias("last"))
     return last.filter(F.col("last.kind") == RESULT).select("key", "last.band", "last.slop", "last.ts")
 
 
-def newest_requests_stream(events: DataFrame) -> DataFrame:
-    """A running aggregate for update mode: newest request and answer per key."""
+def newest_requests_stream(events: DataFrame, lateness: str = "1 hour", slot: str = "1 day") -> DataFrame:
+    """A running aggregate for update mode: newest request and answer per key and slot of time.
+
+    State is freed with its slot, as in `latest_outcomes_stream`; a request and its
+    answer may lie in two slots, and `answered` brings them together.
+    """
     is_request = F.col("kind").isin(URL, COMPLETE)
-    token = F.col("token")
     answer = F.struct("token", "url", "slop")
-    return events.groupBy("key").agg(
-        F.max_by(F.struct("token", "url"), F.when(is_request, token)).alias("request"),
-        F.max_by(answer, F.when(F.col("kind") == RESULT, token)).alias("answer"),
+    return events.withWatermark("ts", lateness).groupBy(F.window("ts", slot), "key").agg(
+        F.max_by(F.struct("token", "url"), F.when(is_request, F.col("token"))).alias("request"),
+        F.max_by(answer, F.when(F.col("kind") == RESULT, F.col("token"))).alias("answer"),
+    ).drop("window")
+
+
+def answered(updates: DataFrame) -> DataFrame:
+    """Answers to the newest request of their key, at its address, from the updates a stream wrote."""
+    last = updates.groupBy("key").agg(
+        F.max_by("request", "request.token").alias("request"), F.max_by("answer", "answer.token").alias("answer")
     )
+    same = (F.col("request.token") == F.col("answer.token")) & (F.col("request.url") == F.col("answer.url"))
+    return last.filter(same).select("key", "answer.token", "answer.slop")
 
 
 def first_ready_stream(
-    events: DataFrame, deadline_seconds: float = DEADLINE_SECONDS, lateness: str = "1 minute"
+    events: DataFrame,
+    deadline_seconds: float | Column = DEADLINE_SECONDS,
+    lateness: str = "1 minute",
+    slot: str = "1 hour",
+    longest_seconds: float | None = None,
 ) -> DataFrame:
-    """Requests with their first ready snapshot, as the watermark passes.
+    """Requests with their first ready snapshot or a timeout, as the watermark passes.
 
-    A join of two streams bounded in time on both sides, then an aggregate per
-    request; late rows are dropped by the watermark.
+    An outer join of two streams bounded in time on both sides, so a request without
+    a snapshot leaves it when its time is over; then an aggregate per request, written
+    when its slot is over.  State is freed by the watermark and late rows are dropped.
+    A deadline that is a column of the requests needs `longest_seconds`, the bound of
+    what is kept.
     """
     marked = events.withWatermark("ts", lateness)
     requests = marked.filter(F.col("kind") == URL).select(
-        "key", F.col("event_id").alias("request_id"), F.col("ts").alias("asked")
+        "key", F.col("event_id").alias("request_id"), F.col("ts").alias("asked"), (F.col("ts") + _span(deadline_seconds)).alias("until")
     )
     snapshots = marked.filter("ready").select(
         F.col("key").alias("s_key"), F.col("event_id").alias("s_id"), F.col("ts").alias("s_ts")
     )
-    span = F.make_dt_interval(secs=F.lit(deadline_seconds))
+    longest = deadline_seconds if longest_seconds is None else longest_seconds
     joined = requests.join(
         snapshots,
         (F.col("key") == F.col("s_key"))
         & (F.col("s_ts") > F.col("asked"))
-        & (F.col("s_ts") < F.col("asked") + span),
+        & (F.col("s_ts") < F.col("asked") + _span(longest))
+        & (F.col("s_ts") < F.col("until")),
+        "leftOuter",
+    )
+    first = joined.groupBy(F.window("asked", slot), "key", "request_id").agg(F.min_by("s_id", "s_ts").alias("ready_id"))
+    return first.select(
+        "key",
+        F.col("request_id").alias("event_id"),
+        "ready_id",
+        F.when(F.col("ready_id").isNull(), "timeout").otherwise("ready").alias("outcome"),
     )
-    return joined.groupBy(F.window("asked", "1 hour"), "key", "request_id").agg(
-        F.min_by("s_id", "s_ts").alias("ready_id")
-    ).select("key", F.col("request_id").alias("event_id"), "ready_id")
 
 
-def dedup_phases_stream(events: DataFrame) -> DataFrame:
-    """As `dedup_phases` on a stream, with the last phase of each key as state.
+def phase_changes(batch: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`dedup_phases` of a micro-batch, given the last phase of each key before it; its rows and the phases after it.
 
-    Rows of one micro-batch are ordered by time within their key; between
-    micro-batches only the last phase is kept.
+    The phases before are rows of their own in front of the batch, so a key that
+    holds most rows is split by time as in the batch plan, and no row meets its
+    key's state in one task.  A key that is closed leaves the state.
     """
-    from prosegauge.streaming.state import keep_changes
-
-    relevant = (
-        events.filter(F.col("kind").isin(URL, COMPLETE, CLOSED))
-        .withColumn("phase", phase())
-        .select("key", "ts", "event_id", "kind", "url", "phase")
-    )
-    return keep_changes(relevant)
+    fields = ["key", "ts", "event_id", "phase"]
+    rows = batch.filter(F.col("kind").isin(URL, COMPLETE, CLOSED)).withColumn("phase", phase())
+    both = rows.withColumn("held", F.lit(False)).unionByName(before.withColumn("held", F.lit(True)), allowMissingColumns=True)
+    seen = carried(both, F.col("phase"), "last_phase").filter(~F.col("held"))
+    new = seen.filter((F.col("phase") != "") & ~F.col("phase").eqNullSafe(F.col("last_phase")))
+    last = both.groupBy("key").agg(F.max_by(F.struct(*fields[1:]), F.struct("ts", "event_id")).alias("last"))
+    return new.drop("last_phase", "held"), last.select("key", "last.*").filter("phase <> ''")
+
+
+def dedup_phases_stream(events: DataFrame, name: str = "dedup", folder: str | None = None) -> DataFrame:
+    """As `dedup_phases` on a stream run to the end of its input, with the last phase of each open key as state."""
+    kind = events.schema["key"].dataType.simpleString()
+    return fold(events, name, phase_changes, f"key {kind}, ts timestamp, event_id {events.schema['event_id'].dataType.simpleString()}, phase string", folder)
