@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from prosegauge.catalog import sql as S
+from prosegauge.catalog.fixtures import documents_of
 from prosegauge.catalog.registry import query
 from prosegauge.catalog.sql import SP, Sql
 from prosegauge.functions.text import spans
 from prosegauge.operators import layout
 from prosegauge.operators import pages as P
 from prosegauge.plans import scoring
-from prosegauge.sources.tables import load_documents, load_pages
+from prosegauge.sources.tables import load_pages
 
 NAMES = {"&quot;": '"', "&copy;": "©", "&middot;": "·", "&lt;": "<", "&gt;": ">", "&amp;": "&"}
 
@@ -346,7 +347,7 @@ def layout_to_text(spark, sf_dir):
 def glyph_items(spark, sf_dir):
     """One item per line of a document; every seventh is empty with a flag."""
     ls = F.split("text", "\n", -1)
-    d = load_documents(spark, sf_dir).select("doc_id", F.posexplode(ls).alias("i", "line"))
+    d = documents_of(spark, sf_dir).select("doc_id", F.posexplode(ls).alias("i", "line"))
     i = F.col("i")
     # Twelve down per line, twelve more at every fifth.
     y = -(12.0 * (i + 1) + 12.0 * (F.floor(i / 5) + 1))

@@ -8,7 +8,7 @@ islands over lines, and window sums for offsets.
 
 from __future__ import annotations
 
-from prosegauge import config
+from prosegauge import config, wording
 from prosegauge import lexicons as lex
 from prosegauge.catalog.fixtures import quote, seeded_sql
 
@@ -76,6 +76,23 @@ def ctx(text: str, s: str, e: str) -> str:
     )
 
 
+def say(template: str, *values: str) -> str:
+    """A template with SQL expressions in the places of ``%d`` and ``%s``."""
+    parts = template.replace("%d", "%s").split("%s")
+    out = [quote(parts[0])]
+    for value, part in zip(values, parts[1:], strict=True):
+        out += [f"CAST({value} AS VARCHAR)", quote(part)]
+    return "(" + " || ".join(out) + ")"
+
+
+def context(name: str, *values: str) -> str:
+    return say(wording.CONTEXTS[name], *values)
+
+
+def advise(name: str, *values: str) -> str:
+    return say(wording.ADVICE[name], *values)
+
+
 class Sql:
     """An ordered set of named common table expressions."""
 
@@ -233,27 +250,27 @@ class Sql:
     # --- rules -----------------------------------------------------------------
     def hits(self, key: str, branches: list[str], order: str) -> str:
         """A rule's hits from branches giving (doc_id, o1, o2, detector, match,
-        context, penalty, start_pos, end_pos)."""
+        context, penalty, start_pos, end_pos, scored)."""
         union = " UNION ALL ".join(branches)
         return self.add(
             f"h_{key}",
             f"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY {order}) - 1 AS INTEGER) AS seq,
               detector, match, context, CAST(penalty AS INTEGER) AS penalty,
-              CAST(start_pos AS INTEGER) AS start_pos, CAST(end_pos AS INTEGER) AS end_pos
+              CAST(start_pos AS INTEGER) AS start_pos, CAST(end_pos AS INTEGER) AS end_pos, scored
             FROM ({union})""",
         )
 
-    def text_hits(self, spans: str, o1, o2, detector, penalty, match="x.match", end="x.e", where="TRUE"):
+    def text_hits(self, spans: str, o1, o2, detector, penalty, match="x.match", end="x.e", where="TRUE", scored="TRUE"):
         return (
             f"SELECT doc_id, {o1} AS o1, {o2} AS o2, {detector} AS detector, {match} AS match, "
-            f"{ctx('d.text', 'x.s', 'x.e')} AS context, {penalty} AS penalty, x.s AS start_pos, {end} AS end_pos "
+            f"{ctx('d.text', 'x.s', 'x.e')} AS context, {penalty} AS penalty, x.s AS start_pos, {end} AS end_pos, {scored} AS scored "
             f"FROM {spans} x JOIN docs d USING (doc_id) WHERE {where}"
         )
 
     def doc_hit(self, source, detector, match, context, penalty, where, o1="0", o2="0"):
         return (
             f"SELECT doc_id, {o1} AS o1, {o2} AS o2, {q(detector)} AS detector, {q(match)} AS match, "
-            f"{context} AS context, {penalty} AS penalty, 0 AS start_pos, length(d.text) AS end_pos "
+            f"{context} AS context, {penalty} AS penalty, 0 AS start_pos, length(d.text) AS end_pos, TRUE AS scored "
             f"FROM {source} m JOIN docs d USING (doc_id) WHERE {where}"
         )
 
@@ -307,14 +324,14 @@ class Sql:
             "structural",
             [
                 self.doc_hit("bh", "bold_headers", "bold_header_explanation",
-                             "'Found ' || n || ' instances of **Bold.** pattern'",
+                             context("bold_headers", "n"),
                              T.structural__bold_header_penalty, f"n >= {T.structural__bold_header_min}"),
                 self.doc_hit("br", "bullet_run", "excessive_bullets",
-                             "'Run of ' || n || ' consecutive bullet lines'",
+                             context("bullet_run", "n"),
                              T.structural__bullet_run_penalty, f"n >= {T.structural__bullet_run_min}",
                              "1", "first"),
                 self.text_hits("tri", "2", "x.i", "'triad'", T.structural__triad_penalty, "'triadic'",
-                               where=f"x.i <= {T.structural__triad_cap} + 1"),
+                               scored=f"x.i <= {T.structural__triad_cap} + 1"),
             ],
             "o1, o2",
         )
@@ -383,7 +400,7 @@ class Sql:
         return self.hits(
             "rhythm",
             [self.doc_hit("rh", "rhythm", "monotonous_rhythm",
-                          f"'CV=' || {fixed('cv', 2)} || ' across ' || n || ' sentences (mean ' || {fixed('mean', 1)} || ' words)'",
+                          context("rhythm", fixed("cv", 2), "n", fixed("mean", 1)),
                           T.rhythm__penalty, f"n >= {T.rhythm__min_sentences} AND cv < {T.rhythm__cv_below}")],
             "o1",
         )
@@ -398,7 +415,7 @@ class Sql:
         return self.hits(
             "em_dash",
             [self.doc_hit("em", "em_dash", "em_dash_density",
-                          f"n || ' em dashes in ' || word_count || ' words (' || {fixed('ratio', 1)} || ' per 150 words)'",
+                          context("em_dash", "n", "word_count", fixed("ratio", 1)),
                           T.em_dash__penalty, f"ratio > {T.em_dash__ratio_above}")],
             "o1",
         )
@@ -420,7 +437,7 @@ class Sql:
         return self.hits(
             "contrast_pairs",
             [self.text_hits("cp", "0", "x.i", "x.kind", T.contrast_pair__penalty, end="x.s + length(x.match)",
-                            where=f"x.i <= {T.contrast_pair__cap}")],
+                            scored=f"x.i <= {T.contrast_pair__cap}")],
             "o2",
         )
 
@@ -452,7 +469,7 @@ class Sql:
         return self.hits(
             "intrasentence_keyword_bold",
             [self.text_hits("kbs", "0", "x.i", "'keyword_bold'", T.intrasentence_keyword_bold__penalty,
-                            where=f"x.i <= {T.intrasentence_keyword_bold__cap}")],
+                            scored=f"x.i <= {T.intrasentence_keyword_bold__cap}")],
             "o2",
         )
 
@@ -483,7 +500,7 @@ class Sql:
         return self.hits(
             "setup_resolution",
             [self.text_hits("su", "0", "x.i", "'setup'", T.setup_resolution__penalty,
-                            where=f"x.i <= {T.setup_resolution__cap}")],
+                            scored=f"x.i <= {T.setup_resolution__cap}")],
             "o2",
         )
 
@@ -501,33 +518,47 @@ class Sql:
         return self.hits(
             "colon_density",
             [self.doc_hit("co", "colon_density", "colon_density",
-                          f"n || ' elaboration colons in ' || w || ' words (' || {fixed('ratio', 1)} || ' per 150 words)'",
+                          context("colon_density", "n", "w", fixed("ratio", 1)),
                           T.colon_density__penalty, f"ratio > {T.colon_density__ratio_above}")],
             "o1",
         )
 
     def pithy_fragment(self):
         self.sentences()
+        cap = T.pithy_fragment__cap
         self.add(
             "pi_all",
-            f"""SELECT doc_id, sentence, row_number() OVER (PARTITION BY doc_id ORDER BY sent_no) AS i,
+            f"""SELECT doc_id, sentence, sent_no, row_number() OVER (PARTITION BY doc_id ORDER BY sent_no) AS i,
               row_number() OVER (PARTITION BY doc_id, lower(sentence) ORDER BY sent_no) AS nth
             FROM sents WHERE n_words <= {T.pithy_fragment__max_words}
               AND {like('sentence', f'(?i),{SP}+(?:but|yet|and|not|or)' + chr(92) + 'b')}""",
         )
-        # The nth literal occurrence of the sentence in the text, else the first.
+        # Of those that weigh, the nth literal occurrence of the sentence in the text, else the first.
         self.add(
             "pi",
-            """SELECT doc_id, sentence AS match, i, CAST(list_sum([length(x) FOR x IN ps[1:k]]) + (k - 1) * length(sentence) AS INTEGER) AS s,
+            f"""SELECT doc_id, sentence AS match, i, CAST(list_sum([length(x) FOR x IN ps[1:k]]) + (k - 1) * length(sentence) AS INTEGER) AS s,
               length(sentence) AS n FROM (
             SELECT *, CASE WHEN nth < len(ps) THEN nth ELSE 1 END AS k FROM (
-              SELECT p.*, string_split(lower(d.text), lower(sentence)) AS ps FROM pi_all p JOIN docs d USING (doc_id)))""",
+              SELECT p.*, string_split(lower(d.text), lower(sentence)) AS ps FROM pi_all p JOIN docs d USING (doc_id) WHERE i <= {cap}))""",
+        )
+        # The others by the lengths of all pieces up to and with their ends.
+        self.add(
+            "pi_places",
+            f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS sent_no, before + indent AS s FROM (
+              SELECT doc_id, k, piece, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+                length(piece) - length(regexp_replace(piece, {rx(f'^{SP}+')}, '')) AS indent
+              FROM (SELECT doc_id, unnest(ps) AS piece, generate_subscripts(ps, 1) AS k FROM (
+                SELECT doc_id, string_split(regexp_replace(text, {rx(SENT)}, '\\0' || chr(1), 'g'), chr(1)) AS ps FROM docs
+                WHERE doc_id IN (SELECT doc_id FROM pi_all WHERE i > {cap}))))
+            WHERE {words(f"regexp_replace(piece, {rx(SENT[:-len(f'(?:{SP}|{chr(92)}z)')] + f'{SP}?{chr(92)}z')}, '')")} > 0""",
         )
         return self.hits(
             "pithy_fragment",
             [f"""SELECT doc_id, 0 AS o1, i AS o2, 'pithy' AS detector, match, match AS context,
-              {T.pithy_fragment__penalty} AS penalty, s AS start_pos, s + n AS end_pos
-            FROM pi WHERE i <= {T.pithy_fragment__cap}"""],
+              {T.pithy_fragment__penalty} AS penalty, s AS start_pos, s + n AS end_pos, TRUE AS scored
+            FROM pi""",
+             f"""SELECT doc_id, 0, i, 'pithy', sentence, sentence, {T.pithy_fragment__penalty}, s, s + length(sentence), FALSE
+            FROM pi_all JOIN pi_places USING (doc_id, sent_no) WHERE i > {cap}"""],
             "o2",
         )
 
@@ -545,7 +576,7 @@ class Sql:
         return self.hits(
             "bullet_density",
             [self.doc_hit("bd", "bullet_density", "bullet_density",
-                          f"b || ' of ' || n || ' non-empty lines are bullets (' || {percent('ratio')} || ')'",
+                          context("bullet_density", "b", "n", percent("ratio")),
                           T.bullet_density__penalty, f"ratio > {T.bullet_density__ratio_above}")],
             "o1",
         )
@@ -561,7 +592,7 @@ class Sql:
         return self.hits(
             "blockquote_density",
             [self.doc_hit("bq", "blockquote_density", "blockquote_density",
-                          "n || ' blockquote lines: Claude uses these as thesis statements'",
+                          context("blockquote_density", "n"),
                           f"{step} * least(n - {free}, {cap})", f"n >= {T.blockquote_density__min_lines}")],
             "o1",
         )
@@ -570,7 +601,7 @@ class Sql:
         self.run_lengths("bb", BOLD_BULLET)
         return self.hits(
             "bold_bullet_list",
-            [self.doc_hit("bb", "bold_bullet_run", "bold_bullet_list", "'Run of ' || n || ' bold-term bullets'",
+            [self.doc_hit("bb", "bold_bullet_run", "bold_bullet_list", context("bold_bullet_run", "n"),
                           T.bold_bullet_list__penalty, f"n >= {T.bold_bullet_list__min_run}", "0", "first")],
             "o2",
         )
@@ -580,7 +611,7 @@ class Sql:
         return self.hits(
             "horizontal_rules",
             [self.doc_hit("hr", "horizontal_rules", "horizontal_rules",
-                          "n || ' horizontal rules: excessive section dividers'",
+                          context("horizontal_rules", "n"),
                           T.horizontal_rules__penalty, f"n >= {T.horizontal_rules__min_count}")],
             "o1",
         )
@@ -627,11 +658,11 @@ class Sql:
         return self.hits(
             "phrase_reuse",
             [f"""SELECT doc_id, 0 AS o1, i AS o2, 'repeated_ngram' AS detector, gram AS match,
-              '''' || gram || ''' (' || n || '-word phrase) appears ' || c || ' times' AS context,
+              {context("repeated_ngram", "gram", "n", "c")} AS context,
               {T.phrase_reuse__penalty} AS penalty,
               CASE WHEN {where} > 0 THEN {where} - 1 ELSE 0 END AS start_pos,
-              CASE WHEN {where} > 0 THEN {where} - 1 + length(gram) ELSE length(d.text) END AS end_pos
-            FROM reuse JOIN docs d USING (doc_id) WHERE i <= {T.phrase_reuse__cap}"""],
+              CASE WHEN {where} > 0 THEN {where} - 1 + length(gram) ELSE length(d.text) END AS end_pos, i <= {T.phrase_reuse__cap} AS scored
+            FROM reuse JOIN docs d USING (doc_id)"""],
             "o2",
         )
 
@@ -646,7 +677,7 @@ class Sql:
         return self.hits(
             "copula_chain",
             [self.doc_hit("cc", "copula_chain", "copula_density",
-                          f"k || '/' || n || ' sentences (' || {percent('share')} || ') use a copula within the first 6 words'",
+                          context("copula_chain", "k", "n", percent("share")),
                           T.copula_chain__penalty,
                           f"n >= {T.copula_chain__min_sentences} AND share >= {T.copula_chain__share_from}")],
             "o1",
@@ -660,7 +691,7 @@ class Sql:
         return self.hits(
             "extreme_sentence",
             [self.doc_hit("lsents", "extreme_sentence", "run_on_sentence",
-                          f"'Sentence ' || (sent_no + 1) || ' has ' || n_words || ' words (>= {lo}): ' || {view}",
+                          context("extreme_sentence", "(sent_no + 1)", "n_words", f"({view})"),
                           T.extreme_sentence__penalty, f"n_words >= {lo}", "0", "sent_no")],
             "o2",
         )
@@ -685,7 +716,7 @@ class Sql:
         return self.hits(
             "closing_aphorism",
             [self.doc_hit("ca", "closing_aphorism", "closing_aphorism",
-                          f"'Closing sentence matches ' || k || ' generalizing patterns: ' || {view}",
+                          context("closing_aphorism", "k", f"({view})"),
                           T.closing_aphorism__penalty,
                           f"n >= {T.closing_aphorism__min_sentences} AND k >= {T.closing_aphorism__min_forms}")],
             "o1",
@@ -709,7 +740,7 @@ class Sql:
         return self.hits(
             "paragraph_balance",
             [self.doc_hit("pb", "paragraph_balance", "paragraph_balance",
-                          f"'Body paragraph word counts [' || body || '] - balance ratio ' || {fixed('ratio', 2)} || ' (> 0.7)'",
+                          context("paragraph_balance", "body", fixed("ratio", 2)),
                           T.paragraph_balance__penalty,
                           f"n >= {T.paragraph_balance__min_body} + 1 AND ratio > {T.paragraph_balance__ratio_above}")],
             "o1",
@@ -725,7 +756,7 @@ class Sql:
         return self.hits(
             "paragraph_cv",
             [self.doc_hit("pc", "paragraph_cv", "paragraph_cv",
-                          f"'Paragraph length CV=' || {fixed('cv', 2)} || ' (< 0.45) across lengths [' || sizes || ']'",
+                          context("paragraph_cv", "sizes", fixed("cv", 2)),
                           T.paragraph_cv__penalty,
                           f"n >= {T.paragraph_cv__min_paragraphs} AND cv < {T.paragraph_cv__cv_below}")],
             "o1",
@@ -743,7 +774,7 @@ class Sql:
         return self.add(
             "all_hits",
             f"""SELECT u.doc_id, CAST(row_number() OVER (PARTITION BY u.doc_id ORDER BY rule_order, u.seq) - 1 AS INTEGER) AS seq,
-              rule, CAST(rule_order AS INTEGER) AS rule_order, detector, match, context, penalty, start_pos, end_pos
+              rule, CAST(rule_order AS INTEGER) AS rule_order, detector, match, context, penalty, start_pos, end_pos, scored
             FROM ({union}) u JOIN views v ON v.doc_id = u.doc_id AND v.word_count >= {config.MIN_WORDS}""",
         )
 
@@ -754,7 +785,7 @@ class Sql:
             "intrasentence_keyword_bold": "kbs", "setup_resolution": "su", "pithy_fragment": "pi_all",
         }
         union = " UNION ALL ".join(
-            f"SELECT doc_id, {q(key)} AS count_key FROM {uncapped.get(key, 'h_' + key)}" for _, key in RULES
+            f"SELECT doc_id, {q(key)} AS count_key FROM {uncapped.get(key, f'h_{key} WHERE scored')}" for _, key in RULES
         )
         keys = ", ".join(f"({q(key)})" for _, key in RULES)
         return self.add(
@@ -774,7 +805,7 @@ class Sql:
             "weights",
             f"""SELECT h.doc_id, sum(penalty) AS total, sum(abs(penalty) *
               CASE WHEN c.n > 1 THEN 1 + {config.CONCENTRATION} * (c.n - 1) ELSE 1 END)::DOUBLE AS weighted
-            FROM (SELECT *, CASE rule {arms} END AS amp FROM all_hits) h
+            FROM (SELECT *, CASE rule {arms} END AS amp FROM all_hits WHERE scored) h
             LEFT JOIN counts c ON c.doc_id = h.doc_id AND c.count_key = h.amp GROUP BY h.doc_id""",
         )
         self.add(

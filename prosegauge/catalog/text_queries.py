@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegauge import config
+from prosegauge import config, wording
 from prosegauge.catalog import sql as S
-from prosegauge.catalog.fixtures import seeded
+from prosegauge.catalog.fixtures import documents_of, seeded
 from prosegauge.catalog.registry import query
 from prosegauge.catalog.sql import RULES, Sql
-from prosegauge.functions.text import clean, context_around, n_words, spans
+from prosegauge.functions.text import clean, context_around, n_words, spans, text_chunks
 from prosegauge.operators import measures as M
 from prosegauge.operators import views as V
 from prosegauge.operators.lexical import phrase_spans
@@ -18,7 +18,7 @@ from prosegauge.lexicons import STOCK_PHRASES, WEASEL_PHRASES, Lexicons, lexicon
 from prosegauge.plans import scoring
 from prosegauge.plans.rules import default_rules
 from prosegauge.sources.tables import (
-    choose_scope, load_documents, load_pages, results_json, spread, table, write_results,
+    MODES, load_pages, load_text_files, parts_of_small, results_json, scope_of, spread, table, write_results,
 )
 from prosegauge.streaming.run import shared_folder
 
@@ -35,7 +35,7 @@ def rule(key: str):
     lambda: "SELECT doc_id, lang, source, CAST(length(text) AS INTEGER) AS n_chars FROM documents",
 )
 def documents(spark, sf_dir):
-    return load_documents(spark, sf_dir, "lang", "source").withColumn("n_chars", F.length("text")).drop("text")
+    return documents_of(spark, sf_dir, "lang", "source").withColumn("n_chars", F.length("text")).drop("text")
 
 
 @query(
@@ -64,14 +64,53 @@ def scope(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("passage"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("conv_id"), "text")
     joined = turns.join(docs, "conv_id", "left")
-    parts = [
-        choose_scope(joined, mode).select(
-            "conv_id", "turn", F.lit(mode).alias("mode"), "scope", "scope_status",
-            F.length("scope_text").alias("n_chars"),
-        )
-        for mode in ("auto", "selection", "page")
+    # One join for all modes: each row gives one result per mode.
+    chosen = [
+        F.struct(F.lit(mode).alias("mode"), of["scope"].alias("scope"), of["scope_status"].alias("scope_status"), F.length(of["scope_text"]).alias("n_chars"))
+        for mode in MODES
+        for of in [scope_of(mode, F.col("passage"), F.col("text"))]
     ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return joined.select("conv_id", "turn", F.explode(F.array(*chosen)).alias("s")).select("conv_id", "turn", "s.*")
+
+
+# How files of text are named here: by extension, in any case, and others that are not text.
+FILE_NAMES = ("txt", "MD", "Markdown", "text", "Rst", "org", "pdf", "csv", "TXT.bak", "html")
+FILE_TYPES = {"csv": "text/csv", "html": "text/html", "pdf": "application/pdf"}
+
+
+def _files_sql() -> str:
+    names = ", ".join(f"({i}, {S.q(n)})" for i, n in enumerate(FILE_NAMES))
+    return f"""SELECT doc_id || '.' || name AS file, CASE WHEN octet_length(encode(text)) > {config.MAX_FILE_BYTES // 500} THEN 'too_large'
+        WHEN lower(name) IN ('txt', 'md', 'markdown', 'text', 'rst', 'org', 'csv', 'html') THEN 'ok' ELSE 'unsupported' END AS status,
+      CASE WHEN status = 'ok' THEN CAST(length(text) AS INTEGER) END AS n_chars, CASE WHEN status = 'ok' THEN md5(text) END AS text_md5
+      FROM documents JOIN (VALUES {names}) AS f(i, name) ON i = doc_id % {len(FILE_NAMES)}"""
+
+
+@query("load_text_files", _files_sql)
+def text_files(spark, sf_dir):
+    """Every document written as a file of the shared folder under some extension, then read back by extension and type."""
+    folder = shared_folder(spark, "text-files")
+    name = F.element_at(F.array(*map(F.lit, FILE_NAMES)), (F.col("doc_id") % len(FILE_NAMES) + 1).cast("int"))
+    rows = documents_of(spark, sf_dir).select(F.concat_ws(".", "doc_id", name).alias("file"), "text")
+    place = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+
+    def write(batches):
+        import pyarrow as pa
+        import pyarrow.fs as pafs
+
+        fs, base = pafs.FileSystem.from_uri(place)
+        fs.create_dir(base, recursive=True)
+        for batch in batches:
+            for file, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with fs.open_output_stream(f"{base}/{file}", compression=None) as out:
+                    out.write(text.encode())
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    rows.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    found = load_text_files(spark, place, FILE_TYPES, config.MAX_FILE_BYTES // 500)
+    return found.select(
+        F.element_at(F.split("path", "/"), -1).alias("file"), "status", F.length("text").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5")
+    )
 
 
 # Every text repeated, so that the longest ones pass the limit.
@@ -83,19 +122,21 @@ STRETCH = 16
     lambda: f"""WITH t AS (
       SELECT 'document' AS kind, doc_id AS id, 0 AS part, repeat(text, {STRETCH}) AS text FROM documents
       UNION ALL SELECT 'turn', conv_id, turn, text FROM conversations)
-    SELECT kind, id, CAST(part AS BIGINT) AS part, CASE WHEN length(text) > {config.MAX_TEXT_CHARS} THEN 'too_large'
+    SELECT *, status IN ('no_text', 'not_enough_text') AS retryable FROM (
+      SELECT kind, id, CAST(part AS BIGINT) AS part, CASE WHEN length(text) > {config.MAX_TEXT_CHARS} THEN 'too_large'
       WHEN {S.words('text')} = 0 THEN 'no_text' WHEN {S.words('text')} < {config.MIN_WORDS} THEN 'not_enough_text' ELSE 'ok' END AS status
-    FROM t""",
+    FROM t)""",
 )
 def status(spark, sf_dir):
-    docs = load_documents(spark, sf_dir).select(
+    docs = documents_of(spark, sf_dir).select(
         F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.lit(0).cast("bigint").alias("part"),
         F.repeat("text", F.lit(STRETCH)).alias("text"),
     )
     turns = table(spark, sf_dir, "conversations").select(
         F.lit("turn").alias("kind"), F.col("conv_id").alias("id"), F.col("turn").alias("part"), "text"
     )
-    return docs.unionByName(turns).select("kind", "id", "part", scoring.scan_status(F.col("text")).alias("status"))
+    status_ = scoring.scan_status(F.col("text"), config.MAX_TEXT_CHARS)
+    return docs.unionByName(turns).select("kind", "id", "part", status_.alias("status"), scoring.retryable(status_).alias("retryable"))
 
 
 @query(
@@ -108,7 +149,7 @@ def status(spark, sf_dir):
 def lexicon_table(spark, sf_dir):
     """The lexicon joined to the token sets of the corpus."""
     words = V.word_tokens(F.col("text"))
-    tokens = load_documents(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(words)).alias("phrase"))
+    tokens = documents_of(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(words)).alias("phrase"))
     per_token = tokens.groupBy("phrase").agg(F.count("*").alias("k"))
     # The lexicon is a fixed list of a few hundred rows.
     return (
@@ -200,7 +241,7 @@ def sentences(spark, sf_dir):
 
 @query("sentences_of_documents", lambda: _sentences_sql(RAW))
 def sentences_raw(spark, sf_dir):
-    return V.sentences(load_documents(spark, sf_dir))
+    return V.sentences(documents_of(spark, sf_dir))
 
 
 def _long_sentences_sql() -> str:
@@ -289,7 +330,7 @@ def _spans_sql() -> str:
 
 @query("match_spans", _spans_sql)
 def match_spans(spark, sf_dir):
-    found = V.match_spans(load_documents(spark, sf_dir), CAPITALISED)
+    found = V.match_spans(documents_of(spark, sf_dir), CAPITALISED)
     return found.select("doc_id", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), "match")
 
 
@@ -319,7 +360,7 @@ OWN_PHRASES = ("of the", "the th", "que la", "de la", "in der", "es an", "th")
 
 @query("phrase_hits_own_list", lambda: _phrase_sql(RAW, OWN_PHRASES))
 def phrase_hits_own(spark, sf_dir):
-    return _phrase_hits(load_documents(spark, sf_dir), OWN_PHRASES)
+    return _phrase_hits(documents_of(spark, sf_dir), OWN_PHRASES)
 
 
 def _snippets_sql() -> str:
@@ -332,17 +373,16 @@ def _snippets_sql() -> str:
 
 @query("context_snippets", _snippets_sql)
 def context_snippets(spark, sf_dir):
+    """The snippets are made in the row of the text, so that no hit carries it."""
     text = F.col("text")
-    d = load_documents(spark, sf_dir)
-    found = d.select("doc_id", "text", F.explode(spans(text, CAPITALISED)).alias("m"))
-    start, end = F.col("m.start"), F.col("m.end")
-    return found.select(
-        "doc_id", start.alias("start_pos"), context_around(text, F.length(text), start, end, config.SNIPPET_CHARS).alias("context")
-    )
+    d = documents_of(spark, sf_dir).select("doc_id", text_chunks(text).alias("chunks"), F.length(text).alias("n"), spans(text, CAPITALISED).alias("found"))
+    around = lambda m: context_around(F.col("chunks"), F.col("n"), m["start"], m["end"], config.SNIPPET_CHARS)
+    made = F.transform("found", lambda m: F.struct(m["start"].alias("start_pos"), around(m).alias("context")))
+    return d.select("doc_id", F.explode(made).alias("m")).select("doc_id", "m.*")
 
 
 # --- rules ---------------------------------------------------------------------------
-HIT_COLUMNS = "doc_id, seq, detector, match, context, penalty, start_pos, end_pos"
+HIT_COLUMNS = "doc_id, seq, detector, match, context, penalty, start_pos, end_pos, scored"
 
 
 def named(df: DataFrame) -> DataFrame:
@@ -382,7 +422,7 @@ for _, _key in RULES:
 def _register_raw(key: str) -> None:
     @query(f"{key}_hits_of_documents", _rule_sql(key, RAW))
     def over_documents(spark, sf_dir):
-        return _rule_hits(load_documents(spark, sf_dir), key)
+        return _rule_hits(documents_of(spark, sf_dir), key)
 
 
 for _key in ("rhythm", "structural", "phrase_reuse", "intrasentence_keyword_bold"):
@@ -396,7 +436,7 @@ def _register_paragraphs(name: str, key: str) -> None:
     @query(name, _rule_sql(key, AS_PARAGRAPHS))
     def over_lines(spark, sf_dir):
         """The rule with every line of a document as a paragraph of its own."""
-        d = load_documents(spark, sf_dir)
+        d = documents_of(spark, sf_dir)
         return _rule_hits(d.withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n"))), key)
 
 
@@ -419,7 +459,7 @@ def _measures_sql() -> str:
 @query("sentence_measures", _measures_sql)
 def sentence_measures(spark, sf_dir):
     """What the rhythm and copula rules measure, for every document."""
-    d = V.with_views(load_documents(spark, sf_dir)).filter("n_sents > 0").withColumns(
+    d = V.with_views(documents_of(spark, sf_dir)).filter("n_sents > 0").withColumns(
         {"shape": M.sentence_shape(1), "copulas": M.copula_sentences(1)}
     )
     return d.select(
@@ -431,23 +471,13 @@ def sentence_measures(spark, sf_dir):
 def _word_advice_sql() -> str:
     sql = Sql()
     sql.slop_words()
-    # The advice wording.
-    arms = (
-        ("hedge", "Cut '", ". Start the sentence directly or show the connection without announcing it."),
-        ("verb", "Replace '", " with the specific action, result, or evidence."),
-        ("system_noun", "Replace '", " with the concrete system, group, or thing you mean."),
-        ("timeline_noun", "Replace '", " with the actual period, step, or change you observed."),
-        ("adjective", "Cut '", " unless you can name the concrete property, metric, or consequence."),
-        ("other", "Replace '", " with the concrete object, event, or claim."),
-    )
     lex_rows = ", ".join(f"({S.q(w)}, {S.q(S.L.word_class(w))})" for w in S.L.words)
-    arm_rows = ", ".join(f"({S.q(c)}, {S.q(a)}, {S.q(b)})" for c, a, b in arms)
+    times = f"CASE WHEN n > 1 THEN {S.say(wording.TIMES, 'n')} ELSE '' END"
+    arms = " ".join(f"WHEN {S.q(c)} THEN {S.say(text, 'match', times)}" for c, text in wording.WORD_ADVICE.items())
     return sql.text(
-        f"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first) AS INTEGER) AS rank,
-          verb || match || '''' || CASE WHEN n > 1 THEN ' (' || n || ' occurrences)' ELSE '' END || tail AS line
+        f"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first) AS INTEGER) AS rank, CASE class {arms} END AS line
         FROM (SELECT doc_id, match, count(*) AS n, min(seq) AS first FROM h_slop_words GROUP BY ALL) g
-        JOIN (VALUES {lex_rows}) AS l(match, class) USING (match)
-        JOIN (VALUES {arm_rows}) AS a(class, verb, tail) USING (class)"""
+        JOIN (VALUES {lex_rows}) AS l(match, class) USING (match)"""
     )
 
 
@@ -467,7 +497,7 @@ def _reuse_sql(docs=None) -> str:
 @query("repeated_ngrams", lambda: _reuse_sql(RAW))
 def repeated_ngrams(spark, sf_dir):
     """Every repeated n-gram of every document, not only the recorded five."""
-    d = load_documents(spark, sf_dir)
+    d = documents_of(spark, sf_dir)
     found = d.select("doc_id", F.posexplode(M.repeated_ngrams(4, 8, 3)).alias("i", "g"))
     return found.select(
         "doc_id", "g.gram", "g.n", F.col("g.count").alias("uses"), F.col("g.first").alias("first_pos"),
@@ -485,7 +515,7 @@ def _sql_of(method: str, columns: str, docs=None):
     return build
 
 
-@query("all_hits", _sql_of("all_hits", "doc_id, seq, rule, rule_order, detector, match, context, penalty, start_pos, end_pos"))
+@query("all_hits", _sql_of("all_hits", "doc_id, seq, rule, rule_order, detector, match, context, penalty, start_pos, end_pos, scored"))
 def all_hits(spark, sf_dir):
     return named(scoring.hits(seeded(spark, sf_dir)))
 
@@ -505,7 +535,7 @@ def scores(spark, sf_dir):
 
 @query("scores_of_documents", _sql_of("scores", SCORES, RAW))
 def scores_of_documents(spark, sf_dir):
-    return scoring.scores(load_documents(spark, sf_dir))
+    return scoring.scores(documents_of(spark, sf_dir))
 
 
 TURNS = "SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations"
@@ -514,7 +544,7 @@ TURNS = "SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations"
 @query("scores_of_turns", _sql_of("scores", SCORES, TURNS))
 def scores_of_turns(spark, sf_dir):
     """Conversation turns, many of them under the word floor."""
-    turns = spread(table(spark, sf_dir, "conversations")).select(
+    turns = spread(table(spark, sf_dir, "conversations"), parts_of_small(spark, sf_dir, "conversations")).select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text"
     )
     return scoring.scores(turns)
@@ -573,8 +603,8 @@ def _written_sql() -> str:
     sql = Sql()
     sql.scores()
     return sql.text(
-        """SELECT band, CAST(count(*) AS BIGINT) AS documents, CAST(coalesce(sum(n), 0) AS BIGINT) AS hits
-        FROM scores LEFT JOIN (SELECT doc_id, count(*) AS n FROM all_hits GROUP BY doc_id) USING (doc_id) GROUP BY band"""
+        """SELECT band, CAST(count(*) AS BIGINT) AS documents, CAST(coalesce(sum(n), 0) AS BIGINT) AS hits, CAST(coalesce(sum(w), 0) AS BIGINT) AS scored
+        FROM scores LEFT JOIN (SELECT doc_id, count(*) AS n, count(*) FILTER (scored) AS w FROM all_hits GROUP BY doc_id) USING (doc_id) GROUP BY band"""
     )
 
 
@@ -584,7 +614,8 @@ def results_written(spark, sf_dir):
     folder = shared_folder(spark, "results")
     write_results(scoring.analyze(seeded(spark, sf_dir)), folder)
     return spark.read.parquet(folder).groupBy("band").agg(
-        F.count("*").alias("documents"), F.sum(F.size("hits")).alias("hits")
+        F.count("*").alias("documents"), F.sum(F.size("hits")).alias("hits"),
+        F.sum(F.size(F.filter("hits", lambda h: h["scored"]))).alias("scored"),
     )
 
 
@@ -604,7 +635,7 @@ def _retuned_sql() -> str:
 def retuned_rule(spark, sf_dir):
     """One rule only, with a caller's phrases and penalty."""
     rules = default_rules(config.Thresholds(weasel__penalty=-1), Lexicons(weasel_phrases=OWN_PHRASES))
-    rows = scoring.scored(load_documents(spark, sf_dir), [r for r in rules if r.name == "weasel"])
+    rows = scoring.scored(documents_of(spark, sf_dir), [r for r in rules if r.name == "weasel"])
     return rows.select("doc_id", F.col("n_weasel").alias("n"), "total_penalty", "score")
 
 

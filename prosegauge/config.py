@@ -6,7 +6,7 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Limits of the guards.
+# Limits that a caller may ask for.  Nothing is cut by them on its own.
 MAX_TEXT_CHARS = 500_000
 MAX_PAGE_NODES = 12_000
 MIN_WORDS = 10

@@ -87,6 +87,7 @@ TOKEN_EDGES = f"(?<={SPACE}|\\A){_EDGE}++|{_EDGE}++(?={SPACE}|\\z)"
 CELL_TEXT = f"[[^|{_WS}]\\u0085]"
 
 # --- detectors ---------------------------------------------------------------
+# The words and marks that the detectors look for, and how much may stand between them.
 NOT_JUST = f"(?i)not (?:just|only) {ANY}{{1,40}}, but (?:also )?"
 BOLD_HEADER = f"\\*\\*[^*]+[.:]\\*\\*{SPACE}+{NON_SPACE}"
 TRIAD = f"(?i){WORD}+, {WORD}+, and {WORD}+"
@@ -153,3 +154,6 @@ APHORISMS = (
 _NAME = "[A-Z][a-z]+(?:['-][A-Z][a-z]+)*"
 NAME_BEFORE = f"(?<![\\p{{L}}'.-]){_NAME}{SPACE}*\\z"
 NAME_AFTER = f"\\A{SPACE}*(?:{_NAME}|[A-Z]\\.)(?![\\p{{L}}'.-])"
+# A piece of text in which a name could go on beyond the piece.
+ALL_NAME_BEFORE = f"\\A[\\p{{L}}'.-]*{SPACE}*\\z"
+ALL_NAME_AFTER = f"\\A{SPACE}*[\\p{{L}}'.-]*\\z"

@@ -14,8 +14,9 @@ from prosegauge.functions import patterns as P
 # the input by replacing them one for one, so that offsets stay right.
 OPEN, CLOSE = "\u0001", "\u0002"
 
-#: Pieces of a marked text that are summed at once.
+#: Numbers that are summed in one fold, and characters of a piece of text that is looked up by its place.
 FOLD_CHUNK = 256
+TEXT_CHUNK = 256
 
 SPAN_TYPE = "array<struct<start:int,end:int,match:string,before:string,after:string>>"
 
@@ -50,116 +51,115 @@ def n_matches(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("int")
 
 
-def _fold(pieces: Column, first, width) -> Column:
-    """Turn the pieces of a marked text into spans by summing their lengths.
+def starts(sizes: Column, first: Column | None = None) -> Column:
+    """Where each of consecutive pieces of the given sizes starts.
 
-    Appending to an array copies it, so pieces are summed in chunks of fixed size
-    and only the lengths of the chunks are carried on: the time grows with the
+    Appending to an array copies it, so longer arrays are summed in chunks of fixed
+    size and only the sums of the chunks are carried on: the time grows with the
     number of pieces, and not with its square.
     """
-    nothing = empty("array<struct<start:int,end:int,match:string>>")
-
-    def step(acc, piece):
-        match, rest = width(piece)
-        end = acc["pos"] + F.length(match)
-        span = F.struct(acc["pos"].alias("start"), end.alias("end"), match.alias("match"))
-        return F.struct((end + rest).alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-    def chunked(p):
-        last = F.greatest(F.ceil(F.size(p) / FOLD_CHUNK).cast("int") - 1, F.lit(0))
-        zero = F.struct(F.lit(0).alias("pos"), nothing.alias("out"))
-        return F.transform(
-            F.sequence(F.lit(0), last),
-            lambda c: F.aggregate(F.slice(p, c * FOLD_CHUNK + 1, F.lit(FOLD_CHUNK)), zero, step),
-        )
+    zero = F.lit(0) if first is None else first
 
-    def begins(chunks):
-        zero = F.struct(first.alias("pos"), empty("array<int>").alias("out"))
+    def summed(v, begin):
         return F.aggregate(
-            chunks,
-            zero,
-            lambda acc, c: F.struct(
-                (acc["pos"] + c["pos"]).alias("pos"),
-                F.concat(acc["out"], F.array(acc["pos"])).alias("out"),
+            v,
+            F.struct(begin.cast("int").alias("pos"), empty("array<int>").alias("out")),
+            lambda acc, n: F.struct(
+                (acc["pos"] + n).cast("int").alias("pos"), F.concat(acc["out"], F.array(acc["pos"])).alias("out")
             ),
-            lambda acc: acc["out"],
         )
 
-    def moved(chunks, begin):
-        def shift(s, by):
-            return F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["match"].alias("match"))
+    def chunked(v):
+        last = F.ceil(F.size(v) / FOLD_CHUNK).cast("int") - 1
+        chunks = F.transform(F.sequence(F.lit(0), last), lambda c: summed(F.slice(v, c * FOLD_CHUNK + 1, F.lit(FOLD_CHUNK)), F.lit(0)))
+        moved = lambda c, begin: F.flatten(
+            F.transform(c, lambda x, i: F.transform(x["out"], lambda at: at + begin[i]))
+        )
+        return let(chunks, lambda c: let(summed(F.transform(c, lambda x: x["pos"]), zero)["out"], lambda begin: moved(c, begin)))
 
-        return F.flatten(F.transform(chunks, lambda c, i: F.transform(c["out"], lambda s: shift(s, begin[i]))))
+    return let(sizes, lambda v: F.when(F.size(v) <= FOLD_CHUNK, summed(v, zero)["out"]).otherwise(chunked(v)))
 
-    return let(pieces, lambda p: let(chunked(p), lambda c: let(begins(c), lambda b: moved(c, b))))
 
+def _marked_spans(pieces: Column, match_of, length_of, more=lambda p, i: ()) -> Column:
+    """Spans from the pieces of a text cut before every match; the first piece has none."""
 
-def spans(text: Column, pattern: str) -> Column:
-    """Every match of ``pattern``, left to right, as (start, end, match)."""
-    marked = F.split(F.regexp_replace(text, pattern, OPEN + "$0" + CLOSE), OPEN, -1)
+    def build(p, begin):
+        def one(i):
+            match, start = match_of(p[i]), begin[i]
+            fields = (start.alias("start"), (start + F.length(match)).alias("end"), match.alias("match"))
+            return F.struct(*fields, *more(p, i))
 
-    def width(piece):
-        match = F.substring_index(piece, CLOSE, 1)
-        return match, F.length(piece) - F.length(match) - 1
+        return F.transform(F.sequence(F.lit(1), F.size(p) - 1), one)
 
+    sizes = lambda p: F.transform(p, lambda x, i: F.length(x) - F.when(i > 0, length_of(x)).otherwise(0))
     return let(
-        marked, lambda p: _fold(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), F.length(p[0]), width)
+        pieces,
+        lambda p: F.when(F.size(p) > 1, let(starts(sizes(p)), lambda begin: build(p, begin))),
     )
 
 
+def _cut(text: Column, pattern: str) -> Column:
+    return F.split(F.regexp_replace(text, pattern, OPEN + "$0" + CLOSE), OPEN, -1)
+
+
+def _match(piece: Column) -> Column:
+    return F.substring_index(piece, CLOSE, 1)
+
+
+def spans(text: Column, pattern: str) -> Column:
+    """Every match of ``pattern``, left to right, as (start, end, match)."""
+    # A piece holds the mark that closes its match.
+    found = _marked_spans(_cut(text, pattern), _match, lambda piece: F.lit(1))
+    return F.coalesce(found, empty("array<struct<start:int,end:int,match:string>>"))
+
+
 def spans_with_gaps(text: Column, pattern: str) -> Column:
     """As `spans`, with the text between the neighbouring matches."""
-    marked = F.split(F.regexp_replace(text, pattern, OPEN + "$0" + CLOSE), OPEN, -1)
 
     def gap(piece):
         return F.substring_index(piece, CLOSE, -1)
 
-    def build(p):
-        found = _fold(
-            F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))),
-            F.length(p[0]),
-            lambda piece: (
-                F.substring_index(piece, CLOSE, 1),
-                F.length(piece) - F.length(F.substring_index(piece, CLOSE, 1)) - 1,
-            ),
-        )
-        return F.transform(
-            found,
-            lambda s, i: F.struct(
-                s["start"].alias("start"),
-                s["end"].alias("end"),
-                s["match"].alias("match"),
-                # A marker stands for the end of the previous match.
-                F.when(i == 0, p[0]).otherwise(F.concat(F.lit("*"), gap(p[i]))).alias("before"),
-                F.when(i + 2 < F.size(p), F.concat(gap(p[i + 1]), F.lit("*")))
-                .otherwise(gap(p[i + 1]))
-                .alias("after"),
-            ),
-        )
+    def around(p, i):
+        # A marker stands for the end of the previous match.
+        before = F.when(i == 1, p[0]).otherwise(F.concat(F.lit("*"), gap(p[i - 1])))
+        after = F.when(i + 1 < F.size(p), F.concat(gap(p[i]), F.lit("*"))).otherwise(gap(p[i]))
+        return before.alias("before"), after.alias("after")
 
-    return let(marked, build)
+    found = _marked_spans(_cut(text, pattern), _match, lambda piece: F.lit(1), around)
+    return F.coalesce(found, empty(SPAN_TYPE))
 
 
 def literal_spans(text: Column, literal: Column) -> Column:
     """Every non-overlapping occurrence of a literal as (start, end, match)."""
-    return let(
-        F.split(F.replace(text, literal, F.lit(OPEN)), OPEN, -1),
-        lambda p: _fold(
-            F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))),
-            F.length(p[0]),
-            lambda piece: (literal, F.length(piece)),
-        ),
-    )
+    pieces = F.split(F.replace(text, literal, F.lit(OPEN)), OPEN, -1)
+    found = _marked_spans(pieces, lambda piece: literal, lambda piece: -F.length(literal))
+    return F.coalesce(found, empty("array<struct<start:int,end:int,match:string>>"))
+
+
+def text_chunks(text: Column) -> Column:
+    """The text in pieces of `TEXT_CHUNK` characters, made in one pass.
+
+    Finding a place in a text means walking there; in this array any place is near
+    the start of a piece.
+    """
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{TEXT_CHUNK}}}"), F.lit(0))
+
+
+def chars_at(chunks: Column, start: Column, n: Column) -> Column:
+    """`n` characters from `start` (from 0) of a text in chunks; fewer where it ends."""
+    first = F.floor(start / TEXT_CHUNK).cast("int")
+    count = F.floor((start + F.greatest(n, F.lit(1)) - 1) / TEXT_CHUNK).cast("int") - first + 1
+    return F.substring(F.array_join(F.slice(chunks, first + 1, count), ""), start - first * TEXT_CHUNK + 1, n)
 
 
-def context_around(text: Column, length: Column, start: Column, end: Column, width: int) -> Column:
-    """The snippet of ``width`` characters around the middle of a span."""
+def context_around(chunks: Column, length: Column, start: Column, end: Column, width: int) -> Column:
+    """The snippet of ``width`` characters around the middle of a span of a text in chunks."""
     mid = F.floor((start + end) / 2).cast("int")
     left = F.greatest(F.lit(0), mid - width // 2)
     right = F.least(length, mid + width // 2)
     return F.concat(
         F.when(left > 0, "...").otherwise(""),
-        F.translate(F.substring(text, left + 1, right - left), "\n", " "),
+        F.translate(chars_at(chunks, left, right - left), "\n", " "),
         F.when(right < length, "...").otherwise(""),
     )
 

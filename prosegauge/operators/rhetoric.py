@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from prosegauge.functions import patterns as P
 from prosegauge.functions.text import (
-    empty, let, literal_spans, n_matches, spans, spans_with_gaps, trim_ws,
+    chars_at, empty, let, literal_spans, n_matches, spans, spans_with_gaps, trim_ws,
 )
 from prosegauge.operators.lexical import SPANS, _has, gated_spans
 
@@ -56,24 +56,31 @@ def keyword_bolds(max_words: int) -> Column:
             f"\\A{P.SPACE}+{P.NON_SPACE}"
         )
 
-    def line_head(s):
-        return F.substring_index(F.substring(F.col("text"), F.lit(1), s["start"]), "\n", -1)
-
     def survives(s):
         return ~(
             is_label(s)
             | inner(s).rlike(P.NUMERIC_BOLD)
             | (n_matches(inner(s), f"{P.WORD}+") > max_words)
             | s["before"].rlike(P.OPENING_POSITION)
-            | line_head(s).rlike(P.EXCLUDED_LINE)
         )
 
+    # On headings, quotes and items nothing is found: their asterisks are blotted out, one for one.
+    prose = let(
+        F.split(F.col("text"), "\n", -1),
+        lambda lines: F.array_join(
+            F.transform(
+                F.split(F.col("masked"), "\n", -1),
+                lambda line, i: F.when(lines[i].rlike(P.EXCLUDED_LINE), F.translate(line, "*", "x")).otherwise(line),
+            ),
+            "\n",
+        ),
+    )
     found = F.transform(
-        F.filter(spans_with_gaps(F.col("masked"), P.BOLD_SPAN), survives),
+        F.filter(spans_with_gaps(prose, P.BOLD_SPAN), survives),
         lambda s: F.struct(
             s["start"].alias("start"),
             s["end"].alias("end"),
-            F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]).alias("match"),
+            chars_at(F.col("chunks"), s["start"], s["end"] - s["start"]).alias("match"),
         ),
     )
     return F.when(_has("**"), found).otherwise(empty(SPANS))
@@ -99,7 +106,7 @@ def setups() -> Column:
                     lambda s: F.struct(
                         s["start"].alias("start"),
                         s["end"].alias("end"),
-                        F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("match"),
+                        chars_at(F.col("chunks"), s["start"], s["end"] - s["start"]).alias("match"),
                     ),
                 ),
             ),
@@ -120,13 +127,31 @@ def elaboration_colons() -> Column:
 
 
 def pithy_sentences(max_words: int) -> Column:
-    """Trimmed short sentences that turn on a conjunction after a comma."""
+    """Short sentences that turn on a conjunction after a comma, as (s, i, indent).
+
+    `s` is trimmed, `i` is the place of the sentence among the pieces between ends
+    of sentences, and `indent` what was trimmed from its start.
+    """
     return F.transform(
         F.filter(F.col("sents"), lambda x: (x["w"] <= max_words) & x["s"].rlike(P.PITHY_PIVOT)),
-        lambda x: trim_ws(x["s"]),
+        lambda x: F.struct(
+            trim_ws(x["s"]).alias("s"),
+            x["i"].alias("i"),
+            (F.length(x["s"]) - F.length(F.regexp_replace(x["s"], f"\\A{P.SPACE}+", ""))).alias("indent"),
+        ),
     )
 
 
+def sentence_ends() -> Column:
+    """Where each end of a sentence is over, in order."""
+    return F.transform(spans(F.col("text"), P.SENTENCE_END), lambda s: s["end"])
+
+
 def nth_occurrence(lower: Column, literal: Column, n: Column) -> Column:
     """The n-th (from 0) occurrence of a literal as a span, else the first."""
     return let(literal_spans(lower, literal), lambda f: F.coalesce(F.get(f, n), F.get(f, F.lit(0))))
+
+
+def first_occurrence(lower: Column, literal: Column) -> Column:
+    """Where a literal first stands, or null."""
+    return F.nullif(F.instr(lower, literal), F.lit(0)) - 1

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosegauge.functions import patterns as P
-from prosegauge.functions.text import CLOSE, OPEN, clean, let, n_words, spans, trim_ws
+from prosegauge.functions.text import CLOSE, OPEN, clean, empty, let, n_words, spans, starts, text_chunks, trim_ws
 
 
 # --- code --------------------------------------------------------------------
@@ -36,43 +36,23 @@ def code_spans(text: Column) -> Column:
     pieces = F.split(marked, f"[{OPEN}{CLOSE}]", -1)
     out_type = "array<struct<start:int,end:int,fenced:boolean>>"
 
-    def build(p):
-        return F.aggregate(
-            p,
-            F.struct(
-                F.lit(0).alias("pos"), F.lit(0).alias("i"), F.expr(f"cast(array() as {out_type})").alias("out"),
-                F.lit("").alias("head"),
-            ),
-            lambda acc, piece: F.struct(
-                (acc["pos"] + F.length(piece)).alias("pos"),
-                (acc["i"] + 1).alias("i"),
-                F.when(
-                    acc["i"] % 2 == 1,
-                    F.concat(
-                        acc["out"],
-                        F.array(
-                            F.struct(
-                                acc["pos"].alias("start"),
-                                (acc["pos"] + F.length(piece)).alias("end"),
-                                (
-                                    piece.startswith("```")
-                                    & acc["head"].rlike("(?:\\A|\\n)[ \\t]{0,3}\\z")
-                                ).alias("fenced"),
-                            )
-                        ),
-                    ),
-                )
-                .otherwise(acc["out"])
-                .alias("out"),
-                # What stands before the next piece on its line.
-                F.when(acc["i"] % 2 == 1, F.when(piece.endswith("\n"), "").otherwise("`"))
-                .otherwise(F.concat(acc["head"], piece))
-                .alias("head"),
-            ),
-            lambda acc: acc["out"],
+    def one(p, begin, i):
+        # What stands before the piece on its line; a piece of code before it counts as something.
+        after_code = F.when(i < 2, "").when(p[i - 2].endswith("\n"), "").otherwise("`")
+        head = F.concat(after_code, p[i - 1])
+        return F.struct(
+            begin[i].alias("start"),
+            (begin[i] + F.length(p[i])).alias("end"),
+            (p[i].startswith("```") & head.rlike("(?:\\A|\\n)[ \\t]{0,3}\\z")).alias("fenced"),
         )
 
-    return F.when(has_code(text), let(pieces, build)).otherwise(F.expr(f"cast(array() as {out_type})"))
+    def build(p):
+        # Every second piece is code.
+        code = F.sequence(F.lit(1), F.size(p) - 1, F.lit(2))
+        found = let(starts(F.transform(p, F.length)), lambda begin: F.transform(code, lambda i: one(p, begin, i)))
+        return F.when(F.size(p) > 1, found).otherwise(empty(out_type))
+
+    return F.when(has_code(text), let(pieces, build)).otherwise(empty(out_type))
 
 
 def text_no_fences(text: Column) -> Column:
@@ -112,22 +92,12 @@ def collapse_tables(text: Column) -> Column:
         runs = F.split(
             F.regexp_replace(codes, "[rd]d[rd]*", f"{OPEN}$0{CLOSE}"), f"[{OPEN}{CLOSE}]", -1
         )
-        kept = F.aggregate(
+        def keep(run, i, begin):
+            return F.when(i % 2 == 1, F.array(F.lit("."))).otherwise(F.slice(lines, begin[i] + 1, F.length(run)))
+
+        kept = let(
             runs,
-            F.struct(
-                F.lit(0).alias("pos"), F.lit(0).alias("i"), F.expr("cast(array() as array<string>)").alias("out")
-            ),
-            lambda acc, run: F.struct(
-                (acc["pos"] + F.length(run)).alias("pos"),
-                (acc["i"] + 1).alias("i"),
-                F.concat(
-                    acc["out"],
-                    F.when(acc["i"] % 2 == 1, F.array(F.lit("."))).otherwise(
-                        F.slice(lines, acc["pos"] + 1, F.length(run))
-                    ),
-                ).alias("out"),
-            ),
-            lambda acc: acc["out"],
+            lambda r: let(starts(F.transform(r, F.length)), lambda begin: F.flatten(F.transform(r, lambda run, i: keep(run, i, begin)))),
         )
         return F.array_join(kept, "\n")
 
@@ -138,10 +108,11 @@ def collapse_tables(text: Column) -> Column:
 
 # --- sentences, paragraphs, lines, tokens --------------------------------------
 def sentence_array(text: Column) -> Column:
-    """Sentences as (s, w): the untrimmed text and its word count."""
+    """Sentences as (s, w, i): the untrimmed text, its word count, its place among the pieces between ends."""
     return F.filter(
         F.transform(
-            F.split(text, P.SENTENCE_END, -1), lambda s: F.struct(s.alias("s"), n_words(s).alias("w"))
+            F.split(text, P.SENTENCE_END, -1),
+            lambda s, i: F.struct(s.alias("s"), n_words(s).alias("w"), i.alias("i")),
         ),
         lambda s: s["w"] > 0,
     )
@@ -190,6 +161,7 @@ def with_views(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     base = base.withColumns(
         {
             "text_len": F.length("text"),
+            "chunks": text_chunks(F.col("text")),
             "lower": F.lower("text"),
             "masked": masked_text(F.col("text")),
             "unfenced": text_no_fences(F.col("text")),
@@ -211,17 +183,10 @@ def with_views(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
 def lines(df: DataFrame) -> DataFrame:
     """One row per line with its flags and its start offset."""
     def build(ls):
-        return F.transform(
-            F.aggregate(
-                ls,
-                F.struct(F.lit(0).alias("pos"), F.expr("cast(array() as array<int>)").alias("out")),
-                lambda acc, line: F.struct(
-                    (acc["pos"] + F.length(line) + 1).alias("pos"),
-                    F.concat(acc["out"], F.array(acc["pos"])).alias("out"),
-                ),
-                lambda acc: acc["out"],
-            ),
-            lambda start, i: F.struct(start.alias("line_start"), ls[i].alias("line")),
+        sizes = F.transform(ls, lambda line: F.length(line) + 1)
+        return let(
+            starts(sizes),
+            lambda begin: F.transform(ls, lambda line, i: F.struct(begin[i].alias("line_start"), line.alias("line"))),
         )
 
     exploded = df.select(

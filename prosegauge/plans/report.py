@@ -1,22 +1,25 @@
 """The report: signals, severities, top hits and advice, labels, indicator.
 
-These plans read the long tables of hits and advice.  They group and rank
-within one document, whose hits are bounded by the text limit.
+A document's hits stand in its row, so grouping, ranking and cutting them are
+array expressions there: nothing here is shuffled.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosegauge.functions.text import fmt_number
+from prosegauge.functions.text import fmt_number, let
+from prosegauge.operators.lexical import scored_only
+from prosegauge.plans.rules import Rule
+from prosegauge.plans.scoring import hit_array
 
 # Sizes and shares of the report.
 ADVICE_SHOWN = 5
 HITS_SHOWN = 12
-PAINTED = 200
+PAINTED = 200  # what a page can show; a table of hits need not stop there
 CRITICAL_SHARE = 0.25
 HIGH_SHARE = 0.1
 
@@ -74,38 +77,82 @@ def band_blurbs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "band string, blurb string, colour string")
 
 
-def signals(hits: DataFrame) -> DataFrame:
-    """Hits grouped by rule, heaviest first; ties keep the rule order."""
-    grouped = hits.groupBy("doc_id", "rule").agg(
-        F.sum(F.abs("penalty")).cast("int").alias("weight"),
-        F.count("*").cast("int").alias("hits"),
-        F.min("seq").alias("first_seq"),
-    )
-    order = Window.partitionBy("doc_id").orderBy(F.desc("weight"), F.desc("hits"), "first_seq")
-    return grouped.withColumn("rank", F.row_number().over(order)).drop("first_seq")
-
-
-def severity(signal_table: DataFrame) -> DataFrame:
-    """Add each signal's share of its document's weight and a severity."""
-    total = F.sum("weight").over(Window.partitionBy("doc_id"))
-    share = F.col("weight") / F.when(total == 0, 1).otherwise(total)
-    return signal_table.withColumn("share", share).withColumn(
-        "severity",
-        F.when(F.col("share") >= CRITICAL_SHARE, "critical")
-        .when(F.col("share") >= HIGH_SHARE, "high")
-        .otherwise("moderate"),
+def signal_array(rules: list[Rule]) -> Column:
+    """The rules that hit a document, heaviest first; ties keep the rule order.
+
+    `weight` and `hits` are those of scored hits, `found` counts all.  Grouping and
+    order are made in the row of the document, where its hits are.
+    """
+
+    def one(rule: Rule, order: int) -> Column:
+        found = F.col(f"hits_{rule.count_key}")
+        return let(
+            scored_only(found),
+            lambda h: F.struct(
+                (-F.aggregate(h, F.lit(0), lambda a, x: a + F.abs(x["penalty"]))).alias("less_weight"),
+                (-F.size(h)).alias("less_hits"),
+                F.lit(order).alias("order"),
+                F.lit(rule.name).alias("rule"),
+                F.size(found).alias("found"),
+            ),
+        )
+
+    some = F.filter(F.array(*[one(rule, i) for i, rule in enumerate(rules)]), lambda s: s["found"] > 0)
+    return F.transform(
+        F.sort_array(some),
+        lambda s, i: F.struct(
+            s["rule"].alias("rule"), (-s["less_weight"]).alias("weight"), (-s["less_hits"]).alias("hits"),
+            s["found"].alias("found"), (i + 1).alias("rank"),
+        ),
     )
 
 
+def signals(rows: DataFrame, rules: list[Rule], *keep: str) -> DataFrame:
+    """One row per document and signal, from rows of `scoring.scored`."""
+    return rows.select("doc_id", *keep, F.explode(signal_array(rules)).alias("s")).select("doc_id", *keep, "s.*")
+
+
+def severity_of(share: Column) -> Column:
+    return F.when(share >= CRITICAL_SHARE, "critical").when(share >= HIGH_SHARE, "high").otherwise("moderate")
+
+
+def severity(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Signals with their share of their document's weight and a severity."""
+
+    def shares(found):
+        total = F.aggregate(found, F.lit(0), lambda a, s: a + s["weight"])
+        return let(
+            F.when(total == 0, 1).otherwise(total),
+            lambda t: F.transform(found, lambda s: s.withField("share", s["weight"] / t)),
+        )
+
+    out = rows.select("doc_id", F.explode(let(signal_array(rules), shares)).alias("s")).select("doc_id", "s.*")
+    return out.withColumn("severity", severity_of(F.col("share")))
+
+
 def with_labels(df: DataFrame) -> DataFrame:
     """Add the readable rule name; an unknown rule keeps its own."""
     labels = F.broadcast(rule_labels(df.sparkSession))
     return df.join(labels, "rule", "left").withColumn("label", F.coalesce("label", "rule"))
 
 
-def top_hits(hits: DataFrame, n: int = HITS_SHOWN) -> DataFrame:
-    order = Window.partitionBy("doc_id", "rule").orderBy("seq")
-    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+def top_hits(rows: DataFrame, rules: list[Rule], n: int = HITS_SHOWN) -> DataFrame:
+    """The first hits of each rule and document with their `rank`, cut in the row."""
+
+    def first(rule: Rule, order: int, before: Column) -> Column:
+        def one(h, i):
+            named = F.lit(rule.name).alias("rule"), F.lit(order).alias("rule_order")
+            return F.struct((before + i).alias("seq"), *named, (i + 1).alias("rank"), h.alias("h"))
+
+        return F.transform(F.slice(f"hits_{rule.count_key}", 1, n), one)
+
+    # Numbered as in all hits: after those of the rules before.
+    shown, before = [], F.lit(0)
+    for order, rule in enumerate(rules):
+        shown.append(first(rule, order, before))
+        before = before + F.size(f"hits_{rule.count_key}")
+    out = rows.select("doc_id", F.explode(F.concat(*shown)).alias("t"))
+    return out.select("doc_id", "t.seq", "t.rule", "t.rule_order", "t.rank", "t.h.*")
 
 
 def top_advice(analysis: DataFrame, n: int = ADVICE_SHOWN) -> DataFrame:
@@ -149,11 +196,12 @@ def rail_at(slop: Column) -> Column:
     return F.least(F.lit(99), F.greatest(F.lit(1), slop))
 
 
-def paintable(hits: DataFrame, text_len: str = "text_len") -> DataFrame:
-    """Hits that point at a passage, among the first 200 of a document."""
-    order = Window.partitionBy("doc_id").orderBy("seq")
-    ranked = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= PAINTED)
-    return ranked.filter(~((F.col("start") == 0) & (F.col("end") == F.col(text_len)))).drop("rank")
+def paintable(rows: DataFrame, rules: list[Rule], most: int | None = None) -> DataFrame:
+    """Hits that point at a passage; `most` keeps those among the first so many of a document."""
+    hits = F.transform(hit_array(rules), lambda h, i: h.withField("seq", i))
+    hits = hits if most is None else F.slice(hits, 1, most)
+    whole = lambda h: (h["start"] == 0) & (h["end"] == F.col("text_len"))
+    return rows.select("doc_id", F.explode(F.filter(hits, lambda h: ~whole(h))).alias("h")).select("doc_id", "h.*")
 
 
 @dataclass(frozen=True)

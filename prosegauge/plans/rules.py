@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosegauge import config, lexicons as lex
+from prosegauge import wording
 from prosegauge.functions.text import (
     fmt_fixed, fmt_percent, let, n_matches, n_words, population_cv, preview,
 )
@@ -32,8 +33,8 @@ class Rule:
     """One rule: `name` is the emitted rule name, `count_key` its counter.
 
     `facts` are columns over the views, `hits` an array over the facts, `advice`
-    lines over the hits.  The count is the number of hits unless `count` says
-    otherwise.  The columns are built once per rule and reused.
+    lines over the scored hits.  The count is the number of scored hits unless
+    `count` says otherwise.  The columns are built once per rule and reused.
     """
 
     name: str
@@ -53,12 +54,12 @@ class Rule:
 
     @cached_property
     def count_column(self) -> Column:
-        n = F.size(f"hits_{self.count_key}") if self.count is None else self.count()
+        n = F.size(L.scored_only(F.col(f"hits_{self.count_key}"))) if self.count is None else self.count()
         return n.cast("int")
 
     @cached_property
     def advice_column(self) -> Column:
-        return self.advice(F.col(f"hits_{self.count_key}"))
+        return self.advice(L.scored_only(F.col(f"hits_{self.count_key}")))
 
 
 def _one(condition: Column, hit: Column) -> Column:
@@ -69,12 +70,21 @@ def _line(condition: Column, line: Column) -> Column:
     return F.when(condition, F.array(line)).otherwise(L.no_lines())
 
 
-def _say(template: str, *values: Column) -> Column:
-    return F.format_string(template, *values)
+def _context(name: str, *values: Column) -> Column:
+    return F.format_string(wording.CONTEXTS[name], *values)
 
 
-def _matches(found, template: str) -> Column:
-    return F.transform(found, lambda h: _say(template, h["match"]))
+def _advise(name: str, *values: Column) -> Column:
+    line = wording.ADVICE[name]
+    return F.format_string(line, *values) if values else F.lit(line)
+
+
+def _matches(found, name: str) -> Column:
+    return F.transform(found, lambda h: _advise(name, h["match"]))
+
+
+def _first(found: str, n: int) -> Column:
+    return F.slice(found, 1, n)
 
 
 def _ratio(count: Column, words: Column, basis: float) -> Column:
@@ -136,7 +146,7 @@ def _rules(t: config.Thresholds, lexicons: lex.Lexicons) -> tuple[Rule, ...]:
             h,
             lambda x: F.when(
                 x["detector"] == "not_just",
-                _say("Cut '%s'. Replace the setup with the actual point.", x["match"]),
+                _advise("not_just", x["match"]),
             ).otherwise(L.phrase_advice(x["match"], lexicons)),
         ),
     )
@@ -148,48 +158,31 @@ def _rules(t: config.Thresholds, lexicons: lex.Lexicons) -> tuple[Rule, ...]:
             L.hit(
                 "bold_headers",
                 "bold_header_explanation",
-                _say("Found %d instances of **Bold.** pattern", c("bold_headers")),
+                _context("bold_headers", c("bold_headers")),
                 t.structural__bold_header_penalty,
             ),
         )
         bullets = F.transform(
             c("bullet_runs"),
             lambda n: L.hit(
-                "bullet_run", "excessive_bullets", _say("Run of %d consecutive bullet lines", n),
+                "bullet_run", "excessive_bullets", _context("bullet_run", n),
                 t.structural__bullet_run_penalty,
             ),
         )
         triads = L.span_hits(
-            F.slice("triads", 1, t.structural__triad_cap), "triad", t.structural__triad_penalty,
-            match=lambda s: F.lit("triadic"),
+            c("triads"), "triad", t.structural__triad_penalty, match=lambda s: F.lit("triadic"),
+            cap=t.structural__triad_cap,
         )
         return F.concat(headers, bullets, triads)
 
     def structural_advice(h: Column) -> Column:
         return F.concat(
             _line(
-                c("bold_headers") >= t.structural__bold_header_min,
-                _say(
-                    "Vary paragraph structure: %d bold-header-explanation blocks in a row reads as "
-                    "LLM listicle.",
-                    c("bold_headers"),
-                ),
-            ),
-            F.transform(
-                c("bullet_runs"),
-                lambda n: _say("Consider prose instead of this %d-item bullet list.", n),
-            ),
-            _matches(
-                F.slice("triads", 1, t.structural__triad_cap),
-                "Rewrite '%s' as prose or restructure the list so the sentence does not hinge on a "
-                "three-item cadence.",
-            ),
-            _line(
-                F.size("triads") >= t.structural__triad_advice_min,
-                _say(
-                    "%d triadic structures ('X, Y, and Z'). Vary your list cadence.", F.size("triads")
-                ),
+                c("bold_headers") >= t.structural__bold_header_min, _advise("bold_headers", c("bold_headers"))
             ),
+            F.transform(c("bullet_runs"), lambda n: _advise("bullet_run", n)),
+            _matches(_first("triads", t.structural__triad_cap), "triad"),
+            _line(F.size("triads") >= t.structural__triad_advice_min, _advise("triads", F.size("triads"))),
         )
 
     structural = Rule(
@@ -226,13 +219,7 @@ def _rules(t: config.Thresholds, lexicons: lex.Lexicons) -> tuple[Rule, ...]:
         },
         hits=tone_hits,
         advice=lambda h: F.concat(
-            _matches(
-                of(h, "assistant_phrase"), "Cut '%s'. Replace the invitation with the actual point."
-            ),
-            _matches(
-                of(h, "false_narrativity"), "Cut '%s'. Replace the announcement with the actual point."
-            ),
-            _matches(of(h, "opener"), "Cut '%s' as a sentence opener. Just make the point."),
+            *(_matches(of(h, d), d) for d in ("assistant_phrase", "false_narrativity", "opener")),
         ),
     )
 
@@ -242,7 +229,7 @@ def _rules(t: config.Thresholds, lexicons: lex.Lexicons) -> tuple[Rule, ...]:
         "weasel",
         facts=lambda: phrase_facts("weasel_phrase"),
         hits=lambda: phrases("weasel_phrase", t.weasel__penalty),
-        advice=lambda h: _matches(h, "Cut '%s'. Either cite a source or own the claim."),
+        advice=lambda h: _matches(h, "weasel_phrase"),
     )
 
     # 6 ai_disclosure
@@ -257,9 +244,7 @@ def _rules(t: config.Thresholds, lexicons: lex.Lexicons) -> tuple[Rule, ...]:
             L.span_hits(c("cutoffs"), "cutoff", t.ai_disclosure__penalty, lowered=True),
             L.span_hits(c("just_ai"), "just_ai", t.ai_disclosure__penalty, lowered=True),
         ),
-        advice=lambda h: _matches(
-            h, "Remove '%s'. AI self-disclosure in authored prose is a critical tell."
-        ),
+        advice=lambda h: _matches(h, "disclosure"),
     )
 
     # 7 placeholder
@@ -270,9 +255,7 @@ def _rules(t: config.Thresholds, lexicons: lex.Lexicons) -> tuple[Rule, ...]:
         hits=lambda: L.span_hits(
             c("placeholders"), "placeholder", t.placeholder__penalty, lowered=True
         ),
-        advice=lambda h: _matches(
-            h, "Remove placeholder '%s'. This is unfinished template text."
-        ),
+        advice=lambda h: _matches(h, "placeholder"),
     )
 
     # 8 rhythm
@@ -286,21 +269,14 @@ def _rules(t: config.Thresholds, lexicons: lex.Lexicons) -> tuple[Rule, ...]:
             L.hit(
                 "rhythm",
                 "monotonous_rhythm",
-                _say(
-                    "CV=%s across %d sentences (mean %s words)",
-                    fmt_fixed(c("shape.cv"), 2), c("n_sents"), fmt_fixed(c("shape.mean"), 1),
-                ),
+                _context("rhythm", fmt_fixed(c("shape.cv"), 2), c("n_sents"), fmt_fixed(c("shape.mean"), 1)),
                 t.rhythm__penalty,
             ),
         ),
         advice=lambda h: _line(
             F.size(h) > 0,
-            _say(
-                f"Sentence lengths are too uniform (CV=%s < {t.rhythm__cv_below:.2f}; shortest %d "
-                "words, longest %d, mean %s). Add a much shorter or much longer sentence so the "
-                "passage is not clustered around the same length; aim for roughly a 3x spread "
-                "between the shortest and longest sentence.",
-                fmt_fixed(c("shape.cv"), 2), c("shape.shortest"), c("shape.longest"),
+            _advise(
+                "rhythm", fmt_fixed(c("shape.cv"), 2), c("shape.shortest"), c("shape.longest"),
                 fmt_fixed(c("shape.mean"), 1),
             ),
         ),
@@ -317,70 +293,37 @@ def _rules(t: config.Thresholds, lexicons: lex.Lexicons) -> tuple[Rule, ...]:
             L.hit(
                 "em_dash",
                 "em_dash_density",
-                _say(
-                    "%d em dashes in %d words (%s per 150 words)",
-                    c("em_dashes"), c("word_count"), fmt_fixed(dash_ratio, 1),
-                ),
+                _context("em_dash", c("em_dashes"), c("word_count"), fmt_fixed(dash_ratio, 1)),
                 t.em_dash__penalty,
             ),
         ),
-        advice=lambda h: _line(
-            F.size(h) > 0,
-            _say(
-                "Too many em dashes (%d in %d words). Use other punctuation.",
-                c("em_dashes"), c("word_count"),
-            ),
-        ),
+        advice=lambda h: _line(F.size(h) > 0, _advise("em_dash", c("em_dashes"), c("word_count"))),
     )
 
     # 10 contrast_pair
     def contrast_hits() -> Column:
         return F.transform(
-            F.slice("contrasts", 1, t.contrast_pair__cap),
-            lambda s: L.hit(
+            c("contrasts"),
+            lambda s, i: L.hit(
                 s["kind"], s["match"], L.snippet(s["start"], s["end"]), t.contrast_pair__penalty,
                 s["start"],
                 # A staged match is trimmed, and so is its span.
                 s["start"] + F.length(s["match"]),
+                i < t.contrast_pair__cap,
             ),
         )
 
     def contrast_advice(h: Column) -> Column:
         n = F.size("contrasts")
         staged = F.exists("contrasts", lambda s: s["kind"] == "staged_contrast")
+        one = lambda x: F.when(
+            x["detector"] == "x_not_y", _advise("x_not_y", x["match"])
+        ).otherwise(_advise("staged_contrast", x["match"]))
         return F.concat(
-            F.transform(
-                h,
-                lambda x: F.when(
-                    x["detector"] == "x_not_y",
-                    _say(
-                        "Rewrite '%s' as a plain sentence with the actual claim instead of an "
-                        "'X, not Y' slogan.",
-                        x["match"],
-                    ),
-                ).otherwise(
-                    _say(
-                        "Rewrite '%s' as a direct sentence instead of staging it as a contrast.",
-                        x["match"],
-                    )
-                ),
-            ),
+            F.transform(h, one),
             _line(
                 n >= t.contrast_pair__advice_min,
-                F.when(
-                    staged,
-                    _say(
-                        "%d contrast constructions. Stop stacking staged oppositions; rewrite at "
-                        "least one as a plain sentence with the actual tradeoff.",
-                        n,
-                    ),
-                ).otherwise(
-                    _say(
-                        "%d 'X, not Y' contrasts. Stop stacking slogan-like oppositions; rewrite at "
-                        "least one as a plain sentence with the actual tradeoff.",
-                        n,
-                    )
-                ),
+                F.when(staged, _advise("staged_contrasts", n)).otherwise(_advise("contrasts", n)),
             ),
         )
 
@@ -398,22 +341,15 @@ def _rules(t: config.Thresholds, lexicons: lex.Lexicons) -> tuple[Rule, ...]:
         "intrasentence_keyword_bold",
         facts=lambda: {"bolds": R.keyword_bolds(t.intrasentence_keyword_bold__max_words)},
         hits=lambda: L.span_hits(
-            F.slice("bolds", 1, t.intrasentence_keyword_bold__cap), "keyword_bold",
-            t.intrasentence_keyword_bold__penalty,
+            c("bolds"), "keyword_bold", t.intrasentence_keyword_bold__penalty,
+            cap=t.intrasentence_keyword_bold__cap,
         ),
         count=lambda: F.size("bolds"),
         advice=lambda h: F.concat(
-            _matches(
-                h,
-                "Drop the mid-sentence bold around '%s'. Use plain prose instead of keyword emphasis.",
-            ),
+            _matches(h, "keyword_bold"),
             _line(
                 F.size("bolds") >= t.intrasentence_keyword_bold__advice_min,
-                _say(
-                    "%d mid-sentence keyword bolds. Stop using **emphasis** to highlight keywords "
-                    "inside running prose.",
-                    F.size("bolds"),
-                ),
+                _advise("keyword_bolds", F.size("bolds")),
             ),
         ),
     )
@@ -424,13 +360,10 @@ def _rules(t: config.Thresholds, lexicons: lex.Lexicons) -> tuple[Rule, ...]:
         "setup_resolution",
         facts=lambda: {"setups": R.setups()},
         hits=lambda: L.span_hits(
-            F.slice("setups", 1, t.setup_resolution__cap), "setup", t.setup_resolution__penalty
+            c("setups"), "setup", t.setup_resolution__penalty, cap=t.setup_resolution__cap
         ),
         count=lambda: F.size("setups"),
-        advice=lambda h: _matches(
-            h,
-            "'%s': setup-and-resolution is a Claude rhetorical tic. Just state the point directly.",
-        ),
+        advice=lambda h: _matches(h, "setup"),
     )
 
     # 13 colon_density
@@ -450,52 +383,52 @@ def _rules(t: config.Thresholds, lexicons: lex.Lexicons) -> tuple[Rule, ...]:
             L.hit(
                 "colon_density",
                 "colon_density",
-                _say(
-                    "%d elaboration colons in %d words (%s per 150 words)",
-                    c("colons"), c("unfenced_words"), fmt_fixed(colon_ratio, 1),
-                ),
+                _context("colon_density", c("colons"), c("unfenced_words"), fmt_fixed(colon_ratio, 1)),
                 t.colon_density__penalty,
             ),
         ),
         advice=lambda h: _line(
-            F.size(h) > 0,
-            _say(
-                "Too many elaboration colons (%d in %d words). Use periods or restructure sentences.",
-                c("colons"), c("unfenced_words"),
-            ),
+            F.size(h) > 0, _advise("colon_density", c("colons"), c("unfenced_words"))
         ),
     )
 
     # 14 pithy_fragment
     def pithy_hits() -> Column:
-        def build(first):
-            return F.transform(
-                first,
-                lambda s, i: let(
-                    R.nth_occurrence(
-                        c("lower"),
-                        F.lower(s),
-                        # Equal sentences take successive occurrences.
-                        F.size(F.filter(F.slice(first, 1, i), lambda o: F.lower(o) == F.lower(s))),
-                    ),
-                    lambda where: L.hit(
-                        "pithy", s, s, t.pithy_fragment__penalty, where["start"], where["end"]
-                    ),
-                ),
+        cap = t.pithy_fragment__cap
+
+        def scored(x, i):
+            """One that weighs: equal sentences take successive occurrences in the text."""
+            low, earlier = F.lower(x["s"]), F.slice(c("pithy"), 1, i)
+            nth = F.size(F.filter(earlier, lambda o: F.lower(o["s"]) == low))
+            return let(
+                R.nth_occurrence(c("lower"), low, nth),
+                lambda at: L.hit("pithy", x["s"], x["s"], t.pithy_fragment__penalty, at["start"], at["end"]),
+            )
+
+        def further(x):
+            """One beyond: it stands where its own sentence does."""
+            start = F.when(x["i"] > 0, F.get(c("sentence_ends"), x["i"] - 1)).otherwise(0) + x["indent"]
+            return L.hit(
+                "pithy", x["s"], x["s"], t.pithy_fragment__penalty, start, start + F.length(x["s"]), False
             )
 
-        return let(F.slice("pithy", 1, t.pithy_fragment__cap), build)
+        return F.concat(
+            F.transform(F.slice("pithy", 1, cap), scored),
+            F.transform(F.slice("pithy", cap + 1, F.greatest(F.size("pithy"), F.lit(1))), further),
+        )
 
     pithy = Rule(
         "pithy_fragment",
         "pithy_fragment",
-        facts=lambda: {"pithy": R.pithy_sentences(t.pithy_fragment__max_words)},
+        facts=lambda: {
+            "pithy": R.pithy_sentences(t.pithy_fragment__max_words),
+            "sentence_ends": F.when(
+                F.size(R.pithy_sentences(t.pithy_fragment__max_words)) > t.pithy_fragment__cap, R.sentence_ends()
+            ),
+        },
         hits=pithy_hits,
         count=lambda: F.size("pithy"),
-        advice=lambda h: _matches(
-            h,
-            "Rewrite '%s' as a plain sentence with the actual claim, or cut it if it adds no detail.",
-        ),
+        advice=lambda h: _matches(h, "pithy"),
     )
 
     # 15 bullet_density
@@ -511,19 +444,13 @@ def _rules(t: config.Thresholds, lexicons: lex.Lexicons) -> tuple[Rule, ...]:
             L.hit(
                 "bullet_density",
                 "bullet_density",
-                _say(
-                    "%d of %d non-empty lines are bullets (%s)",
-                    c("bullet_lines"), c("filled_lines"), fmt_percent(bullet_ratio),
-                ),
+                _context("bullet_density", c("bullet_lines"), c("filled_lines"), fmt_percent(bullet_ratio)),
                 t.bullet_density__penalty,
             ),
         ),
         advice=lambda h: _line(
             F.size(h) > 0,
-            _say(
-                "Over %s of lines are bullets. Write prose instead of lists.",
-                fmt_percent(bullet_ratio),
-            ),
+            _advise("bullet_density", fmt_percent(bullet_ratio)),
         ),
     )
 
@@ -537,7 +464,7 @@ def _rules(t: config.Thresholds, lexicons: lex.Lexicons) -> tuple[Rule, ...]:
             L.hit(
                 "blockquote_density",
                 "blockquote_density",
-                _say("%d blockquote lines: Claude uses these as thesis statements", c("quotes")),
+                _context("blockquote_density", c("quotes")),
                 F.least(
                     c("quotes") - t.blockquote_density__free_lines, F.lit(t.blockquote_density__cap)
                 )
@@ -546,11 +473,7 @@ def _rules(t: config.Thresholds, lexicons: lex.Lexicons) -> tuple[Rule, ...]:
         ),
         advice=lambda h: _line(
             F.size(h) > 0,
-            _say(
-                "%d blockquotes. Integrate key claims into prose instead of pulling them out as "
-                "blockquotes.",
-                c("quotes"),
-            ),
+            _advise("blockquote_density", c("quotes")),
         ),
     )
 
@@ -562,18 +485,11 @@ def _rules(t: config.Thresholds, lexicons: lex.Lexicons) -> tuple[Rule, ...]:
         hits=lambda: F.transform(
             c("bold_runs"),
             lambda n: L.hit(
-                "bold_bullet_run", "bold_bullet_list", _say("Run of %d bold-term bullets", n),
+                "bold_bullet_run", "bold_bullet_list", _context("bold_bullet_run", n),
                 t.bold_bullet_list__penalty,
             ),
         ),
-        advice=lambda h: F.transform(
-            c("bold_runs"),
-            lambda n: _say(
-                "Run of %d bold-term bullets. This is an LLM listicle pattern. Use varied paragraph "
-                "structure.",
-                n,
-            ),
-        ),
+        advice=lambda h: F.transform(c("bold_runs"), lambda n: _advise("bold_bullet_run", n)),
     )
 
     # 18 horizontal_rules
@@ -586,34 +502,30 @@ def _rules(t: config.Thresholds, lexicons: lex.Lexicons) -> tuple[Rule, ...]:
             L.hit(
                 "horizontal_rules",
                 "horizontal_rules",
-                _say("%d horizontal rules: excessive section dividers", c("dividers")),
+                _context("horizontal_rules", c("dividers")),
                 t.horizontal_rules__penalty,
             ),
         ),
         advice=lambda h: _line(
             F.size(h) > 0,
-            _say(
-                "%d horizontal rules. Section headers alone are sufficient, dividers are a crutch.",
-                c("dividers"),
-            ),
+            _advise("horizontal_rules", c("dividers")),
         ),
     )
 
     # 19 phrase_reuse
     def reuse_hits() -> Column:
         return F.transform(
-            F.slice("reuse", 1, t.phrase_reuse__cap),
-            lambda g: let(
-                R.nth_occurrence(c("lower"), g["gram"], F.lit(0)),
-                lambda where: L.hit(
+            c("reuse"),
+            lambda g, i: let(
+                R.first_occurrence(c("lower"), g["gram"]),
+                lambda start: L.hit(
                     "repeated_ngram",
                     g["gram"],
-                    _say(
-                        "'%s' (%d-word phrase) appears %d times", g["gram"], g["n"], g["count"]
-                    ),
+                    _context("repeated_ngram", g["gram"], g["n"], g["count"]),
                     t.phrase_reuse__penalty,
-                    F.coalesce(where["start"], F.lit(0)),
-                    F.coalesce(where["end"], c("text_len")),
+                    F.coalesce(start, F.lit(0)),
+                    F.coalesce(start + F.length(g["gram"]), c("text_len")),
+                    i < t.phrase_reuse__cap,
                 ),
             ),
         )
@@ -628,11 +540,8 @@ def _rules(t: config.Thresholds, lexicons: lex.Lexicons) -> tuple[Rule, ...]:
         },
         hits=reuse_hits,
         advice=lambda h: F.transform(
-            F.slice("reuse", 1, t.phrase_reuse__cap),
-            lambda g: _say(
-                "'%s' appears %d times. Vary your phrasing to avoid repetition.",
-                g["gram"], g["count"],
-            ),
+            _first("reuse", t.phrase_reuse__cap),
+            lambda g: _advise("repeated_ngram", g["gram"], g["count"]),
         ),
     )
 
@@ -647,20 +556,13 @@ def _rules(t: config.Thresholds, lexicons: lex.Lexicons) -> tuple[Rule, ...]:
             L.hit(
                 "copula_chain",
                 "copula_density",
-                _say(
-                    "%d/%d sentences (%s) use a copula within the first 6 words",
-                    c("copulas"), c("n_sents"), fmt_percent(copula_share),
-                ),
+                _context("copula_chain", c("copulas"), c("n_sents"), fmt_percent(copula_share)),
                 t.copula_chain__penalty,
             ),
         ),
         advice=lambda h: _line(
             F.size(h) > 0,
-            _say(
-                "Copula density is %s - too many 'X is Y' sentences. Use active verbs or restructure "
-                "to vary sentence patterns.",
-                fmt_percent(copula_share),
-            ),
+            _advise("copula_chain", fmt_percent(copula_share)),
         ),
     )
 
@@ -674,19 +576,11 @@ def _rules(t: config.Thresholds, lexicons: lex.Lexicons) -> tuple[Rule, ...]:
             lambda x: L.hit(
                 "extreme_sentence",
                 "run_on_sentence",
-                _say(
-                    f"Sentence %d has %d words (>= {t.extreme_sentence__min_words}): %s",
-                    x["n"], x["w"], preview(x["s"]),
-                ),
+                _context("extreme_sentence", x["n"], x["w"], preview(x["s"])),
                 t.extreme_sentence__penalty,
             ),
         ),
-        advice=lambda h: F.transform(
-            c("extremes"),
-            lambda x: _say(
-                "Sentence %d is %d words - break it into shorter sentences.", x["n"], x["w"]
-            ),
-        ),
+        advice=lambda h: F.transform(c("extremes"), lambda x: _advise("extreme_sentence", x["n"], x["w"])),
     )
 
     # 22 closing_aphorism
@@ -699,20 +593,11 @@ def _rules(t: config.Thresholds, lexicons: lex.Lexicons) -> tuple[Rule, ...]:
             L.hit(
                 "closing_aphorism",
                 "closing_aphorism",
-                _say(
-                    "Closing sentence matches %d generalizing patterns: %s",
-                    c("closing.forms"), preview(c("closing.last")),
-                ),
+                _context("closing_aphorism", c("closing.forms"), preview(c("closing.last"))),
                 t.closing_aphorism__penalty,
             ),
         ),
-        advice=lambda h: _line(
-            F.size(h) > 0,
-            F.lit(
-                "Your closing sentence is a tidy generalization - a strong AI tell. End on a "
-                "specific detail, a fragment, or just stop."
-            ),
-        ),
+        advice=lambda h: _line(F.size(h) > 0, _advise("closing_aphorism")),
     )
 
     # 23 paragraph_balance
@@ -725,20 +610,15 @@ def _rules(t: config.Thresholds, lexicons: lex.Lexicons) -> tuple[Rule, ...]:
             L.hit(
                 "paragraph_balance",
                 "paragraph_balance",
-                _say(
-                    f"Body paragraph word counts [%s] - balance ratio %s (> {t.paragraph_balance__ratio_above:g})",
-                    _joined(F.slice("paras", F.lit(2), F.size("paras"))), fmt_fixed(c("balance"), 2),
+                _context(
+                    "paragraph_balance", _joined(F.slice("paras", F.lit(2), F.size("paras"))), fmt_fixed(c("balance"), 2)
                 ),
                 t.paragraph_balance__penalty,
             ),
         ),
         advice=lambda h: _line(
             F.size(h) > 0,
-            _say(
-                "Body paragraphs are suspiciously uniform in length (ratio %s). Vary paragraph sizes "
-                "- some should be two sentences, some should sprawl.",
-                fmt_fixed(c("balance"), 2),
-            ),
+            _advise("paragraph_balance", fmt_fixed(c("balance"), 2)),
         ),
     )
 
@@ -752,20 +632,13 @@ def _rules(t: config.Thresholds, lexicons: lex.Lexicons) -> tuple[Rule, ...]:
             L.hit(
                 "paragraph_cv",
                 "paragraph_cv",
-                _say(
-                    f"Paragraph length CV=%s (< {t.paragraph_cv__cv_below:.2f}) across lengths [%s]",
-                    fmt_fixed(c("para_cv"), 2), _joined(c("paras")),
-                ),
+                _context("paragraph_cv", _joined(c("paras")), fmt_fixed(c("para_cv"), 2)),
                 t.paragraph_cv__penalty,
             ),
         ),
         advice=lambda h: _line(
             F.size(h) > 0,
-            _say(
-                "Paragraph lengths are too uniform (CV=%s). Mix short punchy paragraphs with longer "
-                "developed ones.",
-                fmt_fixed(c("para_cv"), 2),
-            ),
+            _advise("paragraph_cv", fmt_fixed(c("para_cv"), 2)),
         ),
     )
 

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from prosegauge import config
 from prosegauge.functions.text import clean, n_words, round_to
-from prosegauge.operators.lexical import no_hits, no_lines
+from prosegauge.operators.lexical import no_hits, no_lines, scored_only
 from prosegauge.operators.views import masked_text
 from prosegauge.plans.rules import Rule, default_rules, with_hits
 
-HIT_FIELDS = ("detector", "match", "context", "penalty", "start", "end")
+HIT_FIELDS = ("detector", "match", "context", "penalty", "start", "end", "scored")
 
 
 def score_of(density: Column) -> Column:
@@ -36,9 +36,12 @@ def density_of(weighted: Column, words: Column) -> Column:
 
 
 def weight_of(rule: Rule) -> Column:
-    """Absolute penalties of one rule, amplified where a tic repeats."""
+    """Absolute penalties of one rule's scored hits, amplified where a tic repeats.
+
+    Hits beyond those that a rule scores add nothing more: that is where it saturates.
+    """
     total = F.aggregate(
-        F.col(f"hits_{rule.count_key}"), F.lit(0.0), lambda acc, h: acc + F.abs(h["penalty"])
+        scored_only(F.col(f"hits_{rule.count_key}")), F.lit(0.0), lambda acc, h: acc + F.abs(h["penalty"])
     )
     if rule.name not in config.AMPLIFIED_RULES:
         return total
@@ -70,7 +73,7 @@ def scored(df: DataFrame, rules: list[Rule] | None = None, text: str = "text") -
     total = F.lit(0)
     for r in rules:
         total = total + F.aggregate(
-            F.col(f"hits_{r.count_key}"), F.lit(0), lambda acc, h: acc + h["penalty"]
+            scored_only(F.col(f"hits_{r.count_key}")), F.lit(0), lambda acc, h: acc + h["penalty"]
         )
     out = out.withColumns(
         {"raw_weight": sum((weight_of(r) for r in rules), zero), "total_penalty": total.cast("int")}
@@ -116,7 +119,10 @@ def hit_array(rules: list[Rule]) -> Column:
 
 
 def hits(df: DataFrame, rules: list[Rule] | None = None, *keep: str) -> DataFrame:
-    """One row per hit, numbered within its document in rule order."""
+    """One row per hit, numbered within its document in rule order.
+
+    Every match is there; `scored` marks those that weigh.
+    """
     rules = default_rules() if rules is None else rules
     return explode_hits(scored(df, rules), rules, *keep)
 
@@ -176,31 +182,46 @@ def analyze(df: DataFrame, rules: list[Rule] | None = None, *keep: str) -> DataF
 
 
 # --- guards ----------------------------------------------------------------------
-def scan_status(text: Column) -> Column:
-    """`too_large`, `no_text`, `not_enough_text` or `ok`."""
+def too_large(text: Column, most: int | None) -> Column:
+    """Whether a text is over a caller's limit; no limit, no such text."""
+    return F.lit(False) if most is None else F.length(text) > most
+
+
+def scan_status(text: Column, most: int | None = None) -> Column:
+    """`too_large`, `no_text`, `not_enough_text` or `ok`.
+
+    `most` is a caller's own limit in characters.  Texts of any size are scored
+    without one.
+    """
     return (
-        F.when(F.length(text) > config.MAX_TEXT_CHARS, "too_large")
+        F.when(too_large(text, most), "too_large")
         .when(n_words(text) == 0, "no_text")
         .when(n_words(masked_text(text)) < config.MIN_WORDS, "not_enough_text")
         .otherwise("ok")
     )
 
 
-def scan(df: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """Every document with a status; a score only where the status is ok.
+def retryable(status: Column) -> Column:
+    """Whether a later version of the same page may do better: there was too little text yet."""
+    return status.isin("no_text", "not_enough_text")
+
+
+def scan(df: DataFrame, rules: list[Rule] | None = None, most: int | None = None) -> DataFrame:
+    """Every document with a status and whether to try again; a score only where the status is ok.
 
-    A text over the limit is never looked at further.
+    A text over a caller's limit is never looked at further.
     """
-    guarded = df.withColumn("status", scan_status(clean(F.col("text"))))
+    guarded = df.withColumn("status", scan_status(clean(F.coalesce("text", F.lit(""))), most))
     guarded = guarded.withColumn(
         "text", F.when(F.col("status") == "ok", F.col("text")).otherwise("")
     )
     ok = F.col("status") == "ok"
     return scored(guarded, rules).select(
-        "doc_id", "status", *[F.when(ok, F.col(c)).alias(c) for c in SCORE_COLUMNS]
+        "doc_id", "status", retryable(F.col("status")).alias("retryable"),
+        *[F.when(ok, F.col(c)).alias(c) for c in SCORE_COLUMNS],
     )
 
 
-def within_limit(df: DataFrame, text: str = "text") -> DataFrame:
-    """Documents the analyser may look at."""
-    return df.filter(F.length(F.col(text)) <= config.MAX_TEXT_CHARS)
+def within_limit(df: DataFrame, most: int, text: str = "text") -> DataFrame:
+    """Documents within a caller's limit of characters; null texts are within any."""
+    return df.filter(F.coalesce(F.length(F.col(text)) <= most, F.lit(True)))

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from prosegauge import config
+from prosegauge import config, wording
 from prosegauge.lexicons import Lexicons
 from prosegauge.operators import measures as M
 from prosegauge.plans import scoring
@@ -115,8 +115,17 @@ def test_count(got, name, key):
 
 
 def test_penalties_and_caps(got):
-    assert len(of(got["bold_survivors"], "intrasentence_keyword_bold")) == 5
-    assert len(of(got["pithy"], "pithy_fragment")) == 3
+    # Every match is a hit; those beyond the cap do not weigh.
+    for name, rule, found, scored in (
+        ("bold_survivors", "intrasentence_keyword_bold", 6, 5), ("pithy", "pithy_fragment", 4, 3),
+        ("contrast6", "contrast_pair", 6, 5),
+    ):
+        hits = of(got[name], rule)
+        assert (len(hits), sum(h.scored for h in hits)) == (found, scored)
+        assert [h.scored for h in hits] == [True] * scored + [False] * (found - scored)
+        total = sum(h.penalty for h in got[name].hits if h.scored)
+        assert got[name].total_penalty == total
+    assert sum(h.scored for h in of(got["triads"], "structural")) == 5 < len(of(got["triads"], "structural"))
     assert of(got["quotes8"], "blockquote_density")[0].penalty == -12
     assert [h.penalty for h in of(got["bullets6"], "structural")] == [-3, -3]
     # Two setups: each weighs 3 * (1 + 2.5).
@@ -143,28 +152,23 @@ def test_short_text_is_clean(got):
     assert got["ten"].word_count == 10 and got["ten"].score == 0
 
 
+def say(key, *values, of=wording.ADVICE):
+    return of[key] % values
+
+
 ADVICE = {
     "words": [
-        "Cut 'crucial' (2 occurrences) unless you can name the concrete property, metric, or consequence.",
-        "Cut 'game-changing' unless you can name the concrete property, metric, or consequence.",
-        "Replace 'leverage' with the specific action, result, or evidence.",
-    ],
-    "triads": ["7 triadic structures ('X, Y, and Z'). Vary your list cadence."],
-    "contrast6": [
-        "6 'X, not Y' contrasts. Stop stacking slogan-like oppositions; rewrite at least one as a plain "
-        "sentence with the actual tradeoff."
-    ],
-    "rhythm": [
-        "Sentence lengths are too uniform (CV=0.00 < 0.30; shortest 4 words, longest 4, mean 4.0). Add a much "
-        "shorter or much longer sentence so the passage is not clustered around the same length; aim for "
-        "roughly a 3x spread between the shortest and longest sentence."
-    ],
-    "bullet_share_over": ["Over 50% of lines are bullets. Write prose instead of lists."],
-    "extreme": ["Sentence 1 is 140 words - break it into shorter sentences."],
-    "bold_survivors": [
-        "6 mid-sentence keyword bolds. Stop using **emphasis** to highlight keywords inside running prose."
+        say("adjective", "crucial", wording.TIMES % 2, of=wording.WORD_ADVICE),
+        say("adjective", "game-changing", "", of=wording.WORD_ADVICE),
+        say("verb", "leverage", "", of=wording.WORD_ADVICE),
     ],
-    "openers": ["Cut 'certainly' as a sentence opener. Just make the point."],
+    "triads": [say("triads", 7)],
+    "contrast6": [say("contrasts", 6)],
+    "rhythm": [say("rhythm", "0.00", 4, 4, "4.0")],
+    "bullet_share_over": [say("bullet_density", "50%")],
+    "extreme": [say("extreme_sentence", 1, 140)],
+    "bold_survivors": [say("keyword_bolds", 6)],
+    "openers": [say("opener", "certainly")],
 }
 
 
@@ -184,10 +188,49 @@ def test_bands_and_score(spark):
 
 
 def test_guards(spark):
-    rows = [(1, "w " * 250_000), (2, "w " * 250_000 + "w"), (3, " \n "), (4, "few words"), (5, PAD)]
+    rows = [(1, "w " * 300_000), (2, "w " * 250_000 + "w"), (3, " \n "), (4, "few words"), (5, PAD), (6, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: (r.status, r.score) for r in scoring.scan(df, default_rules()[:1]).collect()}
-    assert got == {1: ("ok", 100), 2: ("too_large", None), 3: ("no_text", None), 4: ("not_enough_text", None), 5: ("ok", 100)}
+    found = lambda most: {r.doc_id: (r.status, r.retryable, r.score) for r in scoring.scan(df, default_rules()[:1], most).collect()}
+    expected = {
+        1: ("ok", False, 100), 2: ("ok", False, 100), 3: ("no_text", True, None), 4: ("not_enough_text", True, None),
+        5: ("ok", False, 100), 6: ("no_text", True, None),
+    }
+    assert found(None) == expected
+    too_large = ("too_large", False, None)
+    assert found(500_000) == expected | {1: too_large, 2: too_large}
+    assert sorted(r.doc_id for r in scoring.within_limit(df, 500_000).collect()) == [3, 4, 5, 6]
+
+
+def test_a_text_of_600_000_characters_gets_all_rules(spark):
+    text = "\n".join(f"It is speed, not comfort, in row {i} of the long crucial list." for i in range(10_000))
+    assert len(text) > 600_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = scoring.analyze(df).first()
+    assert row.band == "saturated"
+    for rule, word in (("contrast_pair", "speed, not comfort"), ("slop_word", "crucial")):
+        hits = [h for h in row.hits if h.rule == rule]
+        assert len(hits) == 10_000
+        assert all(text[h.start : h.end] == word for h in (hits[0], hits[4321], hits[-1]))
+        assert hits[-1].context.strip(".") in text.replace("\n", " ")
+    assert sum(h.scored for h in row.hits if h.rule == "contrast_pair") == 5
+
+
+def test_names_far_from_a_word(spark):
+    """Whether a name stands next to a word does not depend on how far the name or its spaces reach."""
+    from prosegauge.operators import lexical as L
+    from prosegauge.operators.views import with_views
+
+    long_name = "A" + "b" * 700
+    texts = {
+        "near": "We met Kate Robust here", "far space": "We met Kate" + " " * 700 + "Robust here",
+        "far name": f"We met {long_name} Robust here", "no name": "we met" + " " * 700 + "Robust here",
+        "half a name": f"we met x{long_name} Robust here", "after": "Robust" + " " * 600 + "Kate", "after lower": "Robust" + " " * 600 + "kate",
+        "after long": f"Robust {long_name}", "after broken": f"Robust {long_name}-x",
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    rows = with_views(df).select("doc_id", L.word_spans(Lexicons()).alias("w")).collect()
+    kept = {r.doc_id for r in rows if len(r.w)}
+    assert kept == {"no name", "half a name", "after lower", "after broken"}
 
 
 def test_rules_are_replaceable(spark):

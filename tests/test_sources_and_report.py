@@ -16,6 +16,14 @@ def test_text_files(spark, tmp_path):
     assert got == {"a.MD": ("# hé", "ok"), "b.txt": ("x", "ok"), "c.pdf": (None, "unsupported"), "d.log": ("log", "ok")}
 
 
+def test_files_over_a_limit_are_listed(spark, tmp_path):
+    (tmp_path / "big.txt").write_text("x" * 2000)
+    (tmp_path / "small.Rst").write_text("y")
+    read = lambda **more: {r.path.rsplit("/", 1)[1]: (r.text, r.status) for r in T.load_text_files(spark, str(tmp_path), **more).collect()}
+    assert read(most_bytes=1000) == {"big.txt": (None, "too_large"), "small.Rst": ("y", "ok")}
+    assert read() == {"big.txt": ("x" * 2000, "ok"), "small.Rst": ("y", "ok")}
+
+
 def test_named_texts(spark, tmp_path):
     (tmp_path / "s.json").write_text('[{"name": "a", "text": "t", "note": "n"}, {"name": "b", "text": "u"}]')
     assert sorted(r.name for r in T.load_named_texts(spark, str(tmp_path / "s.json")).collect()) == ["a", "b"]
@@ -26,8 +34,10 @@ def test_scope(spark):
         [(1, "w " * 10, "page"), (2, "few", "page"), (3, None, "page"), (4, "x" * 500_001, "page")],
         "id int, passage string, text string",
     )
-    pick = lambda mode: [(r.scope, r.scope_status) for r in T.choose_scope(df, mode).orderBy("id").collect()]
-    assert pick("auto") == [("selection", "ok"), ("page", "ok"), ("page", "ok"), ("page", "too_large")]
+    pick = lambda mode, **more: [(r.scope, r.scope_status) for r in T.choose_scope(df, mode, **more).orderBy("id").collect()]
+    assert pick("auto") == [("selection", "ok"), ("page", "ok"), ("page", "ok"), ("page", "ok")]
+    assert pick("auto", most=500_000)[3] == ("page", "too_large")
+    assert pick("selection")[3] == ("selection", "ok")
     assert pick("selection")[1:3] == [("selection", "ok"), ("selection", "nothing_selected")]
     assert {s for s, _ in pick("page")} == {"page"}
 
@@ -43,15 +53,26 @@ def test_results_round_trip(spark, tmp_path):
 
 
 def test_report(spark):
-    rows = [
-        (1, 0, "a", "m", "c", -8), (1, 1, "b", "m", "c m", -1), (1, 2, "c", "m", "c", -1), (1, 3, "b", "m", "c", -1),
-    ]
-    hits = spark.createDataFrame(rows, "doc_id long, seq int, rule string, match string, context string, penalty int")
-    got = report.severity(report.signals(hits)).orderBy("rank").collect()
-    assert [(r.rule, r.weight, r.hits, r.severity) for r in got] == [
-        ("a", 8, 1, "critical"), ("b", 2, 2, "high"), ("c", 1, 1, "moderate"),
+    """Signals, severities and top hits, from hits that stand in the row, without a shuffle."""
+    from prosegauge.operators.lexical import HITS
+    from prosegauge.plans.rules import Rule
+
+    rules = [Rule(n, n, hits=None, advice=None) for n in "abc"]
+    hit = lambda context, penalty, scored=True: ("d", "m", context, penalty, 0, 9, scored)
+    rows = [(1, 9, [hit("c", -8)], [hit("c m", -1), hit("c", -1), hit("x", -1, False)], [hit("c", -1)]), (2, 9, [], [], [])]
+    df = spark.createDataFrame(rows, f"doc_id long, text_len int, hits_a {HITS}, hits_b {HITS}, hits_c {HITS}")
+    found = report.severity(df, rules)
+    assert [(r.rule, r.weight, r.hits, r.found, r.rank, r.severity) for r in found.orderBy("rank").collect()] == [
+        ("a", 8, 1, 1, 1, "critical"), ("b", 2, 2, 3, 2, "high"), ("c", 1, 1, 1, 3, "moderate"),
     ]
-    labels = hits.orderBy("seq").select(report.hit_label(F.col("match"), F.col("context")).alias("l")).collect()
+    top = report.top_hits(df, rules, 2)
+    assert [(r.seq, r.rule, r.rank) for r in top.orderBy("seq").collect()] == [(0, "a", 1), (1, "b", 1), (2, "b", 2), (4, "c", 1)]
+    painted = report.paintable(df.withColumn("text_len", F.lit(10)), rules)
+    assert painted.count() == 5 and report.paintable(df, rules).count() == 0
+    assert report.paintable(df.withColumn("text_len", F.lit(10)), rules, 2).count() == 2
+    for plan in (found, top, painted):
+        assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+    labels = top.orderBy("seq").select(report.hit_label(F.col("match"), F.col("context")).alias("l")).collect()
     assert [r.l for r in labels[:2]] == ["c", "“m” c m"]
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prosegauge.functions.text import (
-    context_around, fmt_fixed, fmt_number, fmt_percent, literal_spans, n_words, round_to, spans,
+    chars_at, context_around, fmt_fixed, fmt_number, fmt_percent, literal_spans, n_words, round_to, spans, starts, text_chunks,
 )
 from prosegauge.operators import views as V
 
@@ -90,7 +90,7 @@ def test_offsets_count_code_points(spark):
 def test_snippet(spark):
     text = "x" * 40 + "\nHIT " + "y" * 40
     got = evaluate(
-        spark, [text, "short HIT"], context_around(F.col("text"), F.length("text"), F.lit(41), F.lit(44), 60)
+        spark, [text, "short HIT"], context_around(text_chunks(F.col("text")), F.length("text"), F.lit(41), F.lit(44), 60)
     )
     assert got[0][0] == "..." + (text[12:72]).replace("\n", " ") + "..."
     assert got[1][0].startswith("...") or got[1][0] == "short HIT"
@@ -111,6 +111,45 @@ def test_number_formats(spark):
     assert list(row) == ["0.12", "56%", "30", "0.5", "100", "0", "1234.56"]
 
 
+@pytest.mark.parametrize("at,n", [(0, 1), (0, 256), (250, 12), (255, 1), (256, 1), (256, 256), (200, 700), (995, 50), (5000, 3)])
+def test_characters_by_place(spark, at, n):
+    text = "".join(chr(0x1F600 + i % 50) if i % 7 == 0 else chr(97 + i % 26) if i % 5 else "\n" for i in range(1000))
+    assert evaluate(spark, [text], chars_at(text_chunks(F.col("text")), F.lit(at), F.lit(n))) == [(text[at : at + n],)]
+
+
+def test_starts(spark):
+    for n in (0, 1, 255, 256, 257, 1000):
+        sizes = [i % 11 for i in range(n)]
+        got = spark.range(1).select(starts(F.lit(sizes).cast("array<int>"), F.lit(3))).first()[0]
+        assert got == [3 + sum(sizes[:i]) for i in range(n)]
+
+
+def seconds(spark, column, text):
+    """The least of three runs over one row."""
+    import time
+
+    df = spark.createDataFrame([(text,)], "text string").cache()
+    df.count()
+    out = []
+    for _ in range(3):
+        start = time.perf_counter()
+        df.select(column).write.format("noop").mode("overwrite").save()
+        out.append(time.perf_counter() - start)
+    return min(out)
+
+
+@pytest.mark.parametrize("name", ["code", "tables", "lines", "spans"])
+def test_time_grows_with_the_pieces_of_one_text(spark, name):
+    piece, column = {
+        "code": ("a `b` c\n", V.code_spans(F.col("text"))),
+        "tables": ("| a | b |\n| --- | --- |\nx\n", V.collapse_tables(F.col("text"))),
+        "lines": ("line\n", starts(F.transform(F.split("text", "\n"), F.length))),
+        "spans": ("ab cd ", spans(F.col("text"), "ab")),
+    }[name]
+    few, many = (seconds(spark, column, piece * n) for n in (16_000, 64_000))
+    assert many < 8 * few + 0.5  # four times, with room; sixteen times if it grew with the square
+
+
 @pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 513])
 def test_spans_of_many_matches_keep_their_places(spark, n):
     [(marked, literal)] = evaluate(
