@@ -4,8 +4,10 @@ A document is a sparse vector of whole numbers, one for each term of the items t
 it holds; an item is the vector of its terms' weights, and the score is their inner
 product.  Every task builds ball trees over its own documents: a node knows the
 centroid of its documents and the radius around it, so no document below scores
-more than ``<item, centroid> + |item| * radius``.  Nodes are visited best-first, and
-a search ends when the best open bound is below the last score that it would keep.
+more than ``<item, centroid> + |item| * radius``.  Long vectors that share few terms
+make wide balls, so a node knows the largest entry of each term too, and the lower of
+both bounds holds.  Nodes are visited best-first, and a search ends when the best open
+bound is below the last score that it would keep.
 Bounds are doubles, widened by more than their rounding; scores at the leaves are
 64-bit integers.  So the result is exact, whatever is pruned.
 """
@@ -28,10 +30,6 @@ from prosegauge.llm.textscan import hash_spans, text_blocks, text_buffers
 TOP = 10
 #: Terms of items (a term once per item) that are broadcast at once; more items are searched in further passes.
 ITEM_TERMS = 400_000
-#: Documents of a leaf; terms in the documents of one tree.
-LEAF, TREE_TERMS = 48, 1_500_000
-#: Searches of one tree that go on together.
-ITEMS_AT_ONCE = 512
 #: Relative widening of squared distances and of bounds, far above the rounding of sums of doubles.
 SLACK = 1e-9
 #: Groups of tasks whose best are ranked first.
@@ -73,6 +71,16 @@ def _item_terms(items: DataFrame) -> DataFrame:
     return rows.mapInArrow(make, "item_id long, term long").dropDuplicates()
 
 
+@dataclass(frozen=True)
+class Limits:
+    """Sizes of what a task holds; they change no result."""
+
+    #: Documents of a leaf; terms in the documents of one tree; searches of one tree that go on together.
+    leaf: int = 48
+    tree_terms: int = 1_500_000
+    items_at_once: int = 512
+
+
 @dataclass
 class Items:
     """Some items: their ids, and their terms one item after another as places in `vocabulary`."""
@@ -136,8 +144,8 @@ def _document_counts(vectors: DataFrame, size: int) -> np.ndarray:
 class BallTree:
     """Documents as sparse vectors: entries `first[i]` to `first[i + 1]` of `term` and `value` are document i's, none empty."""
 
-    def __init__(self, first: np.ndarray, term: np.ndarray, value: np.ndarray, size: int) -> None:
-        self.first, self.term, self.value, self.size = first, term, value, size
+    def __init__(self, first: np.ndarray, term: np.ndarray, value: np.ndarray, size: int, leaf: int = Limits.leaf) -> None:
+        self.first, self.term, self.value, self.size, self.leaf = first, term, value, size, leaf
         self.order = np.arange(len(first) - 1)
         real = value.astype(np.float64)
         self.square = np.add.reduceat(real * real, first[:-1]) if len(term) else np.zeros(0)
@@ -166,9 +174,13 @@ class BallTree:
             apart = self.square[docs] - 2 * along(centre) + own
             radius = math.sqrt(max(0.0, apart.max()) + SLACK * (self.square[docs].max() + own))
             row = norm * radius
-            row[some] += np.add.reduceat(weights * centre[terms], cuts[:-1][some]) if len(some) else 0
+            if len(some):
+                most = np.zeros(self.size)
+                np.maximum.at(most, term, value)
+                sums = lambda v: np.add.reduceat(weights * v[terms], cuts[:-1][some])
+                row[some] = np.minimum(row[some] + sums(centre), sums(most))
             rows.append(row * (1 + SLACK) + 1)
-            if b - a > LEAF:
+            if b - a > self.leaf:
                 far = self._dense(docs[np.argmax(apart)])
                 away = self.square[docs] - 2 * along(far)
                 side = along(self._dense(docs[np.argmax(away)]) - far)
@@ -223,7 +235,7 @@ def _key(doc_id: int | None) -> tuple:
     return (0, 0) if doc_id is None else (1, -doc_id)
 
 
-def _found(vectors: DataFrame, items: Items, n_docs: int, n_terms: int, top: int) -> DataFrame:
+def _found(vectors: DataFrame, items: Items, n_docs: int, n_terms: int, top: int, limits: Limits) -> DataFrame:
     """item_id, doc_id, score: the best `top` of each task's documents for each item."""
     shared = vectors.sparkSession.sparkContext.broadcast(items)
 
@@ -244,7 +256,7 @@ def _found(vectors: DataFrame, items: Items, n_docs: int, n_terms: int, top: int
                 term.append(row[2])
                 count.append(row[3])
                 held += len(row[2]) // 4
-                if held >= TREE_TERMS:
+                if held >= limits.tree_terms:
                     yield ids, np.array(n), term, count
                     ids, n, term, count, held = [], [], [], [], 0
         if ids:
@@ -258,10 +270,10 @@ def _found(vectors: DataFrame, items: Items, n_docs: int, n_terms: int, top: int
             held, counts = np.frombuffer(b"".join(term), np.int32), np.frombuffer(b"".join(count), np.int32)
             # Only the terms that occur here become dimensions.
             own, place = np.unique(held, return_inverse=True)
-            tree = BallTree(first, place, impact(counts, n, first), len(own))
+            tree = BallTree(first, place, impact(counts, n, first), len(own), limits.leaf)
             keys = [_key(x) for x in ids]
-            for a in range(0, len(items.ids), ITEMS_AT_ONCE):
-                b = min(len(items.ids), a + ITEMS_AT_ONCE)
+            for a in range(0, len(items.ids), limits.items_at_once):
+                b = min(len(items.ids), a + limits.items_at_once)
                 cuts, wanted, weights = items.part(a, b)
                 at = np.minimum(np.searchsorted(own, wanted), len(own) - 1)
                 hit = own[at] == wanted
@@ -297,7 +309,7 @@ def _parts(pairs: DataFrame) -> Iterator[Items]:
             yield Items([r["item_id"] for r in rows], np.cumsum([0, *map(len, held)]), term, vocabulary)
 
 
-def ranked(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
+def ranked(docs: DataFrame, items: DataFrame, top: int = TOP, limits: Limits = Limits()) -> DataFrame:
     """The `top` best documents of each item: item_id, rank (from 1), doc_id, score.
 
     `items` is (item_id, text).  Scores are those of the module's contract: whole
@@ -314,7 +326,7 @@ def ranked(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
         n_docs, n_terms = vectors.agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
         df = _document_counts(vectors, len(part.vocabulary))
         part.weight = np.array([math.floor(1000 * math.log((2 * n_docs + 2) / (2 * d + 1))) for d in df.tolist()], np.int64)
-        of_part = _found(vectors, part, n_docs, max(1, n_terms), top)
+        of_part = _found(vectors, part, n_docs, max(1, n_terms), top, limits)
         found = of_part if found is None else found.unionByName(of_part)
     if found is None:
         return _none(spark)
