@@ -229,14 +229,20 @@ def plan_records(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
 
 
 def sample_dictionary(pages: DataFrame) -> bytes:
-    """A dictionary from a bounded sample of the pages' own records, chosen by a hash of their payloads."""
-    rows = _rows(pages).filter(F.col("n_bytes").between(1, SAMPLE_BYTES))
-    rows = rows.orderBy("key", F.desc("page_id"), "url").limit(SAMPLE).collect()  # at most SAMPLE * SAMPLE_BYTES
-    once = {bytes(r["key"]): r.asDict() | {"response": True, "shared": True} for r in rows}
-    return build_dictionary([record(r, "") for r in once.values()])
+    """A dictionary from a bounded sample of the pages' own records, chosen by a hash of their payloads.
+
+    A share of the payloads that gives some times `SAMPLE` is taken first and copies
+    are dropped, so that few rows meet, however large the table.
+    """
+    share = min(1.0, 4 * SAMPLE / max(1, pages.count()))
+    chosen = F.pmod(F.xxhash64(F.lit("sample"), "payload"), F.lit(1 << 30)) < int(share * (1 << 30))
+    rows = _rows(pages).filter(F.col("n_bytes").between(1, SAMPLE_BYTES) & chosen)
+    one = rows.groupBy("key", "n_bytes", "sha1").agg(F.first("payload").alias("payload"), F.max(F.struct("page_id", "url")).alias("lead"))
+    few = one.select("key", "lead.page_id", "lead.url", "payload", "n_bytes", "sha1").orderBy("key").limit(SAMPLE).collect()
+    return build_dictionary([record(r.asDict() | {"response": True, "shared": True}, "") for r in few])
 
 
-def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES, date: str = DATE) -> tuple[DataFrame, DataFrame]:
+def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES, date: str = DATE, file_bytes: int = FILE_BYTES) -> tuple[DataFrame, DataFrame]:
     """Write a record per row of (page_id, url, html) under `folder`; the manifest and the index.
 
     Null html is an empty payload; a null url gives a record without an address.
@@ -273,7 +279,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES
                 out.write(frame)
                 found.append({"page_id": page["page_id"], "type": "response" if page["response"] else "revisit", "start": at, "size": len(frame)})
                 number, at = number + 1, at + len(frame)
-                if at >= FILE_BYTES:
+                if at >= file_bytes:
                     yield finish()
                     out, found, files = None, [], files + 1
         if out is not None:
