@@ -8,7 +8,7 @@ from prosegauge.catalog import sql as S
 from prosegauge.catalog.fixtures import documents_of
 from prosegauge.catalog.registry import query
 from prosegauge.catalog.sql import SP, Sql
-from prosegauge.functions.text import spans
+from prosegauge.functions.text import chars_at, spans, text_chunks
 from prosegauge.operators import layout
 from prosegauge.operators import pages as P
 from prosegauge.plans import scoring
@@ -168,12 +168,12 @@ def _sql(method: str | None, final: str):
 
 
 def tokens_of(spark, sf_dir):
-    return P.with_ends(P.html_tokens(P.within_guard(load_pages(spark, sf_dir))))
+    return P.with_ends(P.html_tokens(load_pages(spark, sf_dir)))
 
 
 @query("html_tokens", _sql(None, "SELECT page_id, seq, kind, tag, attrs, text, src_start FROM tokens"))
 def html_tokens(spark, sf_dir):
-    return P.html_tokens(P.within_guard(load_pages(spark, sf_dir)))
+    return P.html_tokens(load_pages(spark, sf_dir))
 
 
 @query(
@@ -258,17 +258,14 @@ def page_markdown(spark, sf_dir):
 def offset_map(spark, sf_dir):
     """Runs per page, and how many do not read the same on both sides."""
     tokens = tokens_of(spark, sf_dir)
-    both = (
-        P.offset_map(tokens)
-        .join(P.to_markdown(tokens), "page_id")
-        .join(tokens.select("page_id", F.col("seq").alias("node"), "text"), ["page_id", "node"])
-    )
-    n = F.col("md_end") - F.col("md_start")
-    same = F.substring(F.col("markdown"), F.col("md_start") + 1, n) == F.substring(
-        F.col("text"), F.col("node_start") + 1, n
-    )
-    return both.groupBy("page_id").agg(
-        F.count("*").alias("runs"), F.sum(F.when(same, 0).otherwise(1)).alias("wrong")
+    # The texts of a page by their token, next to the map that one run of the page gives.
+    texts = tokens.filter("kind = 'text'").groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("seq", "text"))).alias("texts"))
+    both = P.mapped_markdown(tokens).withColumn("chunks", text_chunks(F.col("markdown"))).join(texts, "page_id")
+    there = lambda r: F.substring(F.element_at("texts", r["node"]), r["node_start"] + 1, r["md_end"] - r["md_start"])
+    here = lambda r: chars_at(F.col("chunks"), r["md_start"], r["md_end"] - r["md_start"])
+    wrong = F.filter("runs", lambda r: ~F.coalesce(here(r) == there(r), F.lit(False)))
+    return both.filter(F.size("runs") > 0).select(
+        "page_id", F.size("runs").cast("long").alias("runs"), F.size(wrong).cast("long").alias("wrong")
     )
 
 
@@ -281,10 +278,9 @@ WORD = "[A-Z][a-z]+ing"
 )
 def located_hits(spark, sf_dir):
     """Matches in the Markdown of a page, placed in its text tokens."""
-    tokens = tokens_of(spark, sf_dir)
-    found = P.to_markdown(tokens).select("page_id", F.posexplode(spans(F.col("markdown"), WORD)).alias("seq", "m"))
-    hits = found.select("page_id", "seq", F.col("m.start").alias("start"), F.col("m.end").alias("end"), "m.match")
-    return P.locate_hits(hits, P.offset_map(tokens)).select(
+    mapped = P.mapped_markdown(tokens_of(spark, sf_dir))
+    hits = F.transform(spans(F.col("markdown"), WORD), lambda m, i: m.withField("seq", i))
+    return P.located_hits(mapped, hits).select(
         "page_id", "seq", "match", "from_node", "from_offset", "to_node", "to_offset"
     )
 

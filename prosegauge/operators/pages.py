@@ -3,7 +3,7 @@
 A page is split into tags and texts inside its row.  Pages are hashed by id
 once, before the tokens are exploded, so that every window and every grouping
 below finds the rows of a page together and sorts them without moving them
-again.  A page over the size guard is dropped before it is exploded.
+again.  Pages of any size are read; `page_guard` labels those over a caller's limits.
 
 Elements are matched tag by tag: an opening and its closing tag are neighbours
 among the rows of one tag at one nesting level.  Paragraphs, list items and
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from prosegauge import config
 from prosegauge.functions import patterns as P
-from prosegauge.functions.text import let, spans
+from prosegauge.functions.text import FOLD_CHUNK, let, spans, starts
 
 # What is read and what is left out.
 SKIP_TAGS = (
@@ -120,23 +120,6 @@ def has_attribute(attrs: Column, name: str) -> Column:
     return (attrs != "") & attrs.rlike(f"(?i)(?:\\A|[\\s\"']){name}(?=[\\s=/]|\\z)")
 
 
-def within_guard(pages: DataFrame) -> DataFrame:
-    """Leave out pages that are certainly over the guard, before they explode.
-
-    The elements of the body, outside scripts and comments, are not more than
-    its nodes, and one character takes at most ten characters of source.  What
-    passes is counted exactly later.
-    """
-    body = F.regexp_replace(F.regexp_replace("html", "(?is)\\A.*?<body[^>]*+>", ""), f"(?i){_OPAQUE}", "")
-    elements_ = F.regexp_count(body, F.lit("<[a-zA-Z]"))
-    chars = F.length(F.regexp_replace(body, "<[^>]*+>", ""))
-    return pages.filter(
-        F.when(F.length("html") <= config.MAX_PAGE_NODES, True).otherwise(
-            (elements_ <= config.MAX_PAGE_NODES) & (chars <= 10 * config.MAX_TEXT_CHARS)
-        )
-    )
-
-
 def html_tokens(pages: DataFrame) -> DataFrame:
     """(page_id, seq, kind, tag, attrs, text, src_start) in page order.
 
@@ -145,9 +128,15 @@ def html_tokens(pages: DataFrame) -> DataFrame:
     """
     placed = pages.select("page_id", F.translate("html", _MARKS, "\ufffd" * len(_MARKS)).alias("html"))
     placed = placed.repartition("page_id")
-    raw = placed.select(
-        "page_id", F.posexplode(F.regexp_extract_all("html", F.lit(TOKEN), F.lit(0))).alias("seq", "raw")
+    # Where a token starts is summed up in the page's row: no window has to sort the tokens for it.
+    found = let(
+        F.regexp_extract_all("html", F.lit(TOKEN), F.lit(0)),
+        lambda t: let(
+            starts(F.transform(t, F.length)),
+            lambda begin: F.transform(t, lambda raw, i: F.struct(raw.alias("raw"), begin[i].alias("src_start"))),
+        ),
     )
+    raw = placed.select("page_id", F.posexplode(found).alias("seq", "t")).select("page_id", "seq", "t.*")
     text = F.col("raw")
     tag = F.lower(F.regexp_extract(text, "\\A</?([a-zA-Z][a-zA-Z0-9-]*)", 1))
     kind = (
@@ -158,7 +147,6 @@ def html_tokens(pages: DataFrame) -> DataFrame:
         .when(tag.isin(*VOID_TAGS), "void")
         .otherwise("open")
     )
-    ordered = Window.partitionBy("page_id").orderBy("seq")
     return raw.select(
         "page_id",
         "seq",
@@ -170,11 +158,7 @@ def html_tokens(pages: DataFrame) -> DataFrame:
         .otherwise("")
         .alias("attrs"),
         F.when(kind == "text", decode_entities(text)).otherwise("").alias("text"),
-        F.coalesce(
-            F.sum(F.length(text)).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        )
-        .cast("int")
-        .alias("src_start"),
+        "src_start",
     )
 
 
@@ -348,14 +332,13 @@ def selectors() -> list[Column]:
 def _credits(els: Column) -> Column:
     """Elements with the credit they got from the paragraphs inside them.
 
-    The elements of one page, bounded by the guard, are folded in order with
-    the stack of open ones; a paragraph credits the innermost five around it.
+    The elements of one page are folded in order with the stack of open ones; a
+    paragraph credits the innermost five around it.  Only the stack is carried from one
+    chunk of elements to the next: what a chunk is done with is kept apart, so that
+    time grows with the number of elements and not with its square.
     """
     entry = "struct<seq:int,end_seq:int,tag:string,density:double,score:double,first:bigint>"
-    zero = F.struct(
-        F.expr(f"cast(array() as array<{entry}>)").alias("stack"),
-        F.expr(f"cast(array() as array<{entry}>)").alias("out"),
-    )
+    none = F.expr(f"cast(array() as array<{entry}>)")
 
     def credited(stack, e):
         pays = e["tag"].isin("p", "li", "blockquote") & (e["text_len"] >= MIN_PARAGRAPH_CHARS)
@@ -387,8 +370,26 @@ def _credits(els: Column) -> Column:
             F.concat(acc["out"], gone).alias("out"),
         )
 
-    return F.aggregate(
-        els, zero, step, lambda acc: F.concat(acc["out"], F.filter(acc["stack"], lambda s: s["score"] > 0))
+    def chunk(acc, c):
+        done = F.aggregate(c, F.struct(acc["stack"].alias("stack"), none.alias("out")), step)
+        return let(
+            done,
+            lambda d: F.struct(d["stack"].alias("stack"), F.concat(acc["outs"], F.array(d["out"])).alias("outs")),
+        )
+
+    def chunks(e):
+        last = F.greatest(F.ceil(F.size(e) / FOLD_CHUNK).cast("int") - 1, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(e, k * FOLD_CHUNK + 1, F.lit(FOLD_CHUNK)))
+
+    zero = F.struct(none.alias("stack"), F.expr(f"cast(array() as array<array<{entry}>>)").alias("outs"))
+    return let(
+        els,
+        lambda e: F.aggregate(
+            chunks(e),
+            zero,
+            chunk,
+            lambda acc: F.concat(F.flatten(acc["outs"]), F.filter(acc["stack"], lambda s: s["score"] > 0)),
+        ),
     )
 
 
@@ -406,8 +407,7 @@ def _els(toks: Column) -> Column:
 def with_token_array(tokens: DataFrame) -> DataFrame:
     """(page_id, toks): the tokens of each page as one array, in order.
 
-    The rows of a page are together already, so nothing moves.  A page's array
-    is bounded by the guard.
+    The rows of a page are together already, so nothing moves.
     """
     matched = F.array(*[F.when(test, F.lit(i)) for i, test in enumerate(selectors())])
     extra = tokens.withColumns(
@@ -420,23 +420,7 @@ def with_token_array(tokens: DataFrame) -> DataFrame:
         }
     )
     names = ["seq"] + [c for c in extra.columns if c not in ("page_id", "seq")]
-    per_page = extra.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("toks"))
-    return per_page.filter(_within_limits(F.col("toks")))
-
-
-def _within_limits(toks: Column) -> Column:
-    """The exact guard on a page's token array: nodes and characters of the body."""
-    opened = F.get(F.filter(toks, lambda t: (t["tag"] == "body") & (t["kind"] == "open")), F.lit(0))["seq"]
-
-    def measure(start):
-        inside = F.filter(toks, lambda t: (t["seq"] > start) & (t["kind"] != "close"))
-        return let(
-            inside,
-            lambda i: (F.size(i) <= config.MAX_PAGE_NODES)
-            & (F.aggregate(i, F.lit(0), lambda a, t: a + F.length(t["text"])) <= config.MAX_TEXT_CHARS),
-        )
-
-    return let(F.coalesce(opened, F.lit(-1)), measure)
+    return extra.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("toks"))
 
 
 def score_roots(tokens: DataFrame) -> DataFrame:
@@ -503,8 +487,13 @@ def pick_root(tokens: DataFrame) -> DataFrame:
     return with_root(with_token_array(tokens)).drop("toks")
 
 
-def page_guard(tokens: DataFrame) -> DataFrame:
-    """Nodes and text characters of the body, and whether the page may be read."""
+def page_guard(
+    tokens: DataFrame, most_nodes: int = config.MAX_PAGE_NODES, most_chars: int = config.MAX_TEXT_CHARS
+) -> DataFrame:
+    """Nodes and text characters of the body, and whether they are within a caller's limits.
+
+    A label only: no other function here leaves out a page for its size.
+    """
     so_far = Window.partitionBy("page_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     opened = F.max(F.when((F.col("tag") == "body") & (F.col("kind") == "open"), 1)).over(so_far)
     is_node = F.col("kind").isin("open", "void", "text", "comment", "raw") & (F.col("tag") != "body")
@@ -515,7 +504,7 @@ def page_guard(tokens: DataFrame) -> DataFrame:
     return counted.withColumn(
         "status",
         F.when(
-            (F.col("nodes") > config.MAX_PAGE_NODES) | (F.col("chars") > config.MAX_TEXT_CHARS), "too_large"
+            (F.col("nodes") > most_nodes) | (F.col("chars") > most_chars), "too_large"
         ).otherwise("ok"),
     )
 
@@ -531,27 +520,34 @@ def article_tokens(tokens: DataFrame) -> DataFrame:
         "toks", lambda t: t["seq"].between(F.col("root_seq"), F.col("root_end"))
     )
     t = with_root(with_token_array(tokens)).select("page_id", F.explode(inside).alias("t"))
-    t = t.select("page_id", "t.*").drop("density", "selected")
+    t = t.select("page_id", "t.*").drop("density", "selected", "src_start", "depth", "text_len", "link_len")
     t = t.withColumn("gone", _covered(furniture() | hidden())).filter(~F.col("gone"))
     kind, tag = F.col("kind"), F.col("tag")
+    # What the windows below need of the attributes, so that they need not carry them.
+    style = F.coalesce(attribute(F.col("attrs"), "style"), F.lit(""))
+    t = t.withColumns(
+        {
+            "class": F.when(tag.isin("pre", "code"), attribute(F.col("attrs"), "class")),
+            "keeps": style.rlike(f"(?i)white-space\\s*:\\s*(?:{PRESERVED})\\s*(?:;|\\z)"),
+        }
+    ).drop("attrs", "gone")
     is_open, is_close = kind == "open", kind == "close"
     page = Window.partitionBy("page_id").orderBy("seq")
     so_far = page.rowsBetween(Window.unboundedPreceding, 0)
     opens = lambda *tags: is_open & tag.isin(*tags)
     step = F.when(is_open, 1).when(is_close, -1).otherwise(0)
-    style = F.coalesce(attribute(F.col("attrs"), "style"), F.lit(""))
     t = t.withColumns(
         {
             "in_pre": _covered(opens("pre")),
             "in_table": _covered(opens("table")),
             "in_cell": _covered(opens("td", "th")),
-            "keeps_lines": _covered(is_open & style.rlike(f"(?i)white-space\\s*:\\s*(?:{PRESERVED})\\s*(?:;|\\z)")),
+            "keeps_lines": _covered(is_open & F.col("keeps")),
             "lists": F.sum(F.when(tag.isin("ul", "ol"), step).otherwise(0)).over(so_far),
             "segment": F.sum(F.when(F.col("boundary"), 1).otherwise(0)).over(so_far),
             "row_no": F.sum(F.when(opens("tr"), 1).otherwise(0)).over(so_far),
             "table_seq": F.max(F.when(opens("table"), F.col("seq"))).over(so_far),
             "next_code": F.last(
-                F.when(opens("code"), F.struct("seq", F.coalesce(attribute(F.col("attrs"), "class"), F.lit("")).alias("c"))),
+                F.when(opens("code"), F.struct("seq", F.coalesce("class", F.lit("")).alias("c"))),
                 ignorenulls=True,
             ).over(Window.partitionBy("page_id").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)),
         }
@@ -596,7 +592,7 @@ def article_tokens(tokens: DataFrame) -> DataFrame:
     lang = F.regexp_extract(
         F.coalesce(
             F.nullif(F.when(F.col("next_code.seq") < F.col("end_seq"), F.col("next_code.c")), F.lit("")),
-            attribute(F.col("attrs"), "class"),
+            F.col("class"),
             F.lit(""),
         ),
         "language-([A-Za-z0-9_+#-]+)",
@@ -683,23 +679,23 @@ def _draft(tokens: DataFrame) -> DataFrame:
 
 def _quoted(text: Column) -> Column:
     """Prefix the lines inside quotes, once per level, and drop blank ones."""
+    marks = lambda line, mark: F.length(line) - F.length(F.replace(line, F.lit(mark), F.lit("")))
 
-    def step(acc, line):
-        depth = acc["depth"] + F.length(line) - F.length(F.replace(line, F.lit(QUOTE), F.lit("")))
-        left = F.length(line) - F.length(F.replace(line, F.lit(UNQUOTE), F.lit("")))
+    def prefixed(line, before):
+        depth = before + marks(line, QUOTE)
         plain = F.translate(line, QUOTE + UNQUOTE, "")
-        lines = (
-            F.when(depth == 0, F.array(plain))
-            .when(plain.rlike(P.BLANK), F.expr("cast(array() as array<string>)"))
-            .otherwise(F.array(F.concat(F.repeat(F.lit("> "), depth), plain)))
+        return (
+            F.when(depth == 0, plain)
+            .when(~plain.rlike(P.BLANK), F.concat(F.repeat(F.lit("> "), depth), plain))
         )
-        return F.struct((depth - left).alias("depth"), F.concat(acc["out"], lines).alias("out"))
 
-    zero = F.struct(F.lit(0).alias("depth"), F.expr("cast(array() as array<string>)").alias("out"))
-    joined = F.array_join(
-        F.aggregate(F.split(text, "\n", -1), zero, step, lambda acc: acc["out"]), "\n"
-    )
-    return F.when(F.contains(text, F.lit(QUOTE)), joined).otherwise(text)
+    def build(lines):
+        # How many quotes are open before each line: a running sum of what the lines before open and close.
+        change = F.transform(lines, lambda line: marks(line, QUOTE) - marks(line, UNQUOTE))
+        kept = let(starts(change), lambda depth: F.transform(lines, lambda line, i: prefixed(line, depth[i])))
+        return F.array_join(F.array_compact(kept), "\n")
+
+    return F.when(F.contains(text, F.lit(QUOTE)), let(F.split(text, "\n", -1), build)).otherwise(text)
 
 
 def _settled(draft: Column) -> Column:
@@ -730,118 +726,124 @@ def to_markdown(tokens: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, markdown) from (page_id, html); pages over the guard are left out."""
-    tokens = with_ends(html_tokens(within_guard(pages)))
-    return to_markdown(tokens)
+    """(page_id, markdown) from (page_id, html)."""
+    return to_markdown(with_ends(html_tokens(pages)))
 
 
 # --- offsets ---------------------------------------------------------------------
-def offset_map(tokens: DataFrame) -> DataFrame:
-    """Where each text run of the Markdown comes from.
+def mapped_markdown(tokens: DataFrame) -> DataFrame:
+    """(page_id, markdown, runs): the Markdown of every page and where each text run of it comes from.
 
-    (page_id, run_no, md_start, md_end, node, node_start): the run number
-    `run_no` of the page is the text of token `node` from `node_start` on.
+    `runs` are (md_start, md_end, node, node_start) in order: the run is the text of
+    token `node` from `node_start` on.  Both come from one pass over the page.
     """
-    pieces = F.split("marked", RUN, -1)
-
-    def starts(p):
-        return F.aggregate(
-            p,
-            F.struct(F.lit(0).alias("pos"), F.expr("cast(array() as array<int>)").alias("out")),
-            lambda acc, x: F.struct(
-                (acc["pos"] + F.length(x)).alias("pos"), F.concat(acc["out"], F.array(acc["pos"])).alias("out")
-            ),
-            lambda acc: acc["out"],
-        )
-
-    runs = F.flatten(
+    found = F.flatten(
         F.transform(
             "texts",
             lambda t: F.transform(
                 spans(t["text"], P.NON_SPACE + "+"),
                 lambda r: F.struct(
-                    t["seq"].alias("node"), r["start"].alias("node_start"), F.length(r["match"]).alias("n")
+                    t["seq"].alias("node"), r["start"].alias("node_start"), (r["end"] - r["start"]).alias("n")
                 ),
             ),
         )
     )
-    placed = marked_markdown(article_tokens(tokens)).select(
-        "page_id", let(pieces, starts).alias("starts"), runs.alias("runs")
-    )
-    # The k-th mark stands before the k-th run; the first piece has no mark.
-    rows = placed.select(
-        "page_id",
-        F.posexplode(
-            F.arrays_zip(F.slice("starts", F.lit(2), F.size("starts")).alias("md_start"), F.col("runs").alias("r"))
-        ).alias("run_no", "z"),
-    )
-    return rows.select(
+
+    def placed(begin, runs):
+        # The k-th mark stands before the k-th run; the first piece has no mark.
+        def one(r, k):
+            at = begin[k + 1]
+            return F.struct(
+                at.alias("md_start"), (at + r["n"]).alias("md_end"), r["node"].alias("node"), r["node_start"].alias("node_start")
+            )
+
+        return F.transform(F.slice(runs, 1, F.size(begin) - 1), one)
+
+    begin = starts(F.transform(F.split("marked", RUN, -1), F.length))
+    return marked_markdown(article_tokens(tokens)).select(
         "page_id",
-        "run_no",
-        F.col("z.md_start").alias("md_start"),
-        (F.col("z.md_start") + F.col("z.r.n")).alias("md_end"),
-        F.col("z.r.node").alias("node"),
-        F.col("z.r.node_start").alias("node_start"),
+        F.translate("marked", RUN, "").alias("markdown"),
+        let(begin, lambda b: let(found, lambda r: placed(b, r))).alias("runs"),
     )
 
 
-def locate_hits(hits: DataFrame, offsets: DataFrame) -> DataFrame:
-    """Hits of a page's Markdown placed in its text tokens.
+def offset_map(tokens: DataFrame) -> DataFrame:
+    """One row per text run of the Markdown: (page_id, run_no, md_start, md_end, node, node_start)."""
+    return mapped_markdown(tokens).select("page_id", F.posexplode("runs").alias("run_no", "r")).select("page_id", "run_no", "r.*")
 
-    The first run that ends after a hit's start, and the last that begins
-    before its end, both clipped to the hit.  Runs and the two edges of every
-    hit are merged in one order per page and looked up with windows, instead of
-    a join on ranges that would compare every hit with every run.
+
+def located(hits: Column, runs: Column) -> Column:
+    """Hits of a page's Markdown with the text tokens that they stand in; both arrays are in order.
+
+    `hits` have a start and an end.  Found are the first run that ends after a hit's
+    start, and the last that begins before its end, both clipped to the hit; hits
+    without one are left out.  Runs and hits are merged by one sort each for the
+    starts and the ends: what stands before a hit in that order, less the hits before
+    it, is the number of runs before it.
     """
-    run = F.struct("md_start", "md_end", "node", "node_start")
-    hit = F.struct(*[c for c in hits.columns if c != "page_id"])
-    no_run = F.lit(None).cast("struct<md_start:int,md_end:int,node:int,node_start:int>")
-    no_hit = F.lit(None).cast(hits.select(hit.alias("h")).schema["h"].dataType)
-    row = lambda at, order, r, h: [
-        "page_id", at.alias("at"), F.lit(order).alias("order"), r.alias("run"), h.alias("hit")
-    ]
-    # At one position: the end of a hit, then the run, then the start of a hit.
-    merged = (
-        offsets.select(*row(F.col("md_start"), 2, run, no_hit))
-        .unionByName(hits.select(*row(F.col("start"), 3, no_run, hit)))
-        .unionByName(hits.select(*row(F.greatest(F.col("end"), F.col("start") + 1), 1, no_run, hit)))
-    )
-    forward = Window.partitionBy("page_id").orderBy("at", "order").rowsBetween(Window.unboundedPreceding, 0)
-    reverse = (
-        Window.partitionBy("page_id")
-        .orderBy(F.desc("at"), F.desc("order"))
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    looked = merged.withColumns(
-        {
-            "behind": F.last("run", ignorenulls=True).over(forward),
-            "ahead": F.last("run", ignorenulls=True).over(reverse),
-        }
-    ).filter(F.col("hit").isNotNull())
-    # Runs do not overlap: the run at the start, if it reaches it, else the next.
-    reaches = F.coalesce(F.col("behind.md_end") > F.col("at"), F.lit(False))
-    pairs = looked.groupBy("page_id", F.col("hit.seq").alias("hit_seq")).agg(
-        F.any_value("hit").alias("hit"),
-        F.max(
-            F.when(F.col("order") == 3, F.when(reaches, F.col("behind")).otherwise(F.col("ahead")))
-        ).alias("first"),
-        F.max(F.when(F.col("order") == 1, F.col("behind"))).alias("last"),
-    )
-    found = pairs.select("page_id", "hit.*", "first", "last").filter(
-        F.col("first").isNotNull() & (F.col("first.md_start") < F.col("end"))
-    )
-    return found.select(
-        *hits.columns,
-        F.col("first.node").alias("from_node"),
-        (
-            F.col("first.node_start") + F.greatest(F.lit(0), F.col("start") - F.col("first.md_start"))
-        ).alias("from_offset"),
-        F.col("last.node").alias("to_node"),
-        (
-            F.col("last.node_start")
-            + F.least(
-                F.col("last.md_end") - F.col("last.md_start"),
-                F.greatest(F.lit(1), F.col("end") - F.col("last.md_start")),
+
+    def before(at, edge: int):
+        """How many runs begin before each place; at equal places a run counts if `edge` is 1."""
+
+        def counted(h, r):
+            places = F.concat(
+                F.transform(r, lambda x: F.struct(x["md_start"].alias("at"), F.lit(0).alias("o"), F.lit(-1).alias("k"))),
+                F.transform(h, lambda x, k: F.struct(at(x).alias("at"), F.lit(edge).alias("o"), k.alias("k"))),
             )
-        ).alias("to_offset"),
-    )
+            numbered = F.transform(F.sort_array(places), lambda x, i: F.struct(x["k"].alias("k"), i.alias("i")))
+            mine = F.filter(numbered, lambda x: x["k"] >= 0)
+            # By the number of the hit again: ends need not be in the order of starts.
+            return F.transform(
+                F.sort_array(F.transform(mine, lambda x, j: F.struct(x["k"].alias("k"), (x["i"] - j).alias("n")))), lambda x: x["n"]
+            )
+
+        return counted
+
+    def build(h, r):
+        start, end = (lambda x: x["start"]), (lambda x: F.greatest(x["end"], x["start"] + 1))
+
+        def place(x, i, n_start, n_end):
+            behind = F.get(r, n_start[i] - 1)
+            # Runs do not overlap: the run at the start, if it reaches it, else the next.
+            first = F.when(F.coalesce(behind["md_end"] > x["start"], F.lit(False)), behind).otherwise(F.get(r, n_start[i]))
+            return F.struct(x.alias("hit"), first.alias("first"), F.get(r, n_end[i] - 1).alias("last"))
+
+        def clipped(p):
+            x, first, last = p["hit"], p["first"], p["last"]
+            inside = F.least(last["md_end"] - last["md_start"], F.greatest(F.lit(1), x["end"] - last["md_start"]))
+            return F.struct(
+                x.alias("hit"),
+                first["node"].alias("from_node"),
+                (first["node_start"] + F.greatest(F.lit(0), x["start"] - first["md_start"])).alias("from_offset"),
+                last["node"].alias("to_node"),
+                (last["node_start"] + inside).alias("to_offset"),
+            )
+
+        placed = let(
+            before(start, 1)(h, r),
+            lambda n_start: let(before(end, -1)(h, r), lambda n_end: F.transform(h, lambda x, i: place(x, i, n_start, n_end))),
+        )
+        found = F.filter(
+            placed, lambda p: F.coalesce(p["first"].isNotNull() & (p["first"]["md_start"] < p["hit"]["end"]), F.lit(False))
+        )
+        return F.transform(found, clipped)
+
+    return let(hits, lambda h: let(runs, lambda r: build(h, r)))
+
+
+def located_hits(mapped: DataFrame, hits: Column) -> DataFrame:
+    """One row per hit that stands in text, from rows of `mapped_markdown` and the array of their hits.
+
+    (page_id, the fields of a hit, from_node, from_offset, to_node, to_offset).
+    """
+    rows = mapped.select("page_id", F.explode(located(hits, F.col("runs"))).alias("l"))
+    return rows.select("page_id", "l.hit.*", "l.from_node", "l.from_offset", "l.to_node", "l.to_offset")
+
+
+def locate_hits(hits: DataFrame, mapped: DataFrame) -> DataFrame:
+    """As `located_hits` for hits in a table of their own, with page_id, start and end."""
+    fields = [c for c in hits.columns if c != "page_id"]
+    order = ["start", "end", *(c for c in fields if c not in ("start", "end"))]
+    per_page = hits.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(*order))).alias("hits"))
+    found = located_hits(mapped.join(per_page, "page_id"), F.col("hits"))
+    return found.select(*hits.columns, "from_node", "from_offset", "to_node", "to_offset")

@@ -66,7 +66,7 @@ l3
 @pytest.fixture(scope="module")
 def tokens(spark):
     df = spark.createDataFrame(list(PAGES.items()), "page_id long, html string")
-    return P.with_ends(P.html_tokens(P.within_guard(df))).cache()
+    return P.with_ends(P.html_tokens(df)).cache()
 
 
 def test_markdown(tokens):
@@ -102,20 +102,93 @@ def test_offsets_and_located_hits(spark, tokens):
         (1, 3, start - 2, start + 5),
     ]
     hits = spark.createDataFrame(rows, "page_id long, seq int, start int, end int")
-    got = {r.seq: r for r in P.locate_hits(hits, offsets).collect()}
+    got = {r.seq: r for r in P.locate_hits(hits, P.mapped_markdown(tokens)).collect()}
     assert (got[0].from_offset, got[0].to_offset) == (0, 3) and got[0].from_node == got[0].to_node
     assert got[1].from_offset == 1 and got[1].to_node > got[1].from_node
     assert 2 not in got  # code blocks are not mapped
     assert (got[3].from_offset, got[3].to_offset) == (0, 3)
 
 
-def test_guard(spark):
+def test_located_against_all_pairs(spark):
+    """Runs and hits in any order and overlap, against comparing each hit with each run."""
+    import random
+
+    rng = random.Random(4)
+    for case in range(30):
+        at, runs = 0, []
+        for _ in range(rng.randrange(0, 12)):
+            at += rng.randrange(0, 4)
+            n = rng.randrange(1, 5)
+            runs.append((at, at + n, rng.randrange(9), rng.randrange(20)))
+            at += n
+        hits = sorted((s, s + rng.randrange(0, 6), i) for i, s in enumerate(rng.randrange(0, at + 3) for _ in range(rng.randrange(0, 9))))
+        expected = []
+        for start, end, name in hits:
+            first = next((r for r in runs if r[1] > start), None)
+            last = next((r for r in reversed(runs) if r[0] < max(end, start + 1)), None)
+            if first and first[0] < end:
+                size = min(last[1] - last[0], max(1, end - last[0]))
+                expected.append((name, first[2], first[3] + max(0, start - first[0]), last[2], last[3] + size))
+        df = spark.createDataFrame(
+            [(1, runs, hits)],
+            "page_id int, runs array<struct<md_start:int,md_end:int,node:int,node_start:int>>, hits array<struct<start:int,end:int,name:int>>",
+        )
+        got = [tuple(r) for r in P.located_hits(df, F.col("hits")).select("name", "from_node", "from_offset", "to_node", "to_offset").collect()]
+        assert got == expected, (case, runs, hits)
+
+
+def test_one_run_of_a_page_gives_located_hits(spark):
+    from prosegauge.functions.text import spans
+
+    df = spark.createDataFrame(list(PAGES.items()), "page_id long, html string")
+    mapped = P.mapped_markdown(P.with_ends(P.html_tokens(df)))
+    found = P.located_hits(mapped, spans(F.col("markdown"), "[a-z]+"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ") == 1 and "Join" not in plan
+    assert found.count() > 200
+
+
+def test_guard_is_a_label(spark):
     big = "<body>" + "<i></i>" * 12_001 + "</body>"
     df = spark.createDataFrame([(1, big), (2, "<body>" + "x" * 500_001), (3, "<body>x")], "page_id long, html string")
-    got = {r.page_id: r.status for r in P.page_guard(P.html_tokens(df)).collect()}
+    tokens = P.html_tokens(df)
+    got = {r.page_id: r.status for r in P.page_guard(tokens).collect()}
     assert got == {1: "too_large", 2: "too_large", 3: "ok"}
-    assert [r.page_id for r in P.extract(df).collect()] == [3]
-    assert sorted(r.page_id for r in P.within_guard(df).collect()) == [2, 3]
+    assert {r.status for r in P.page_guard(tokens, 10**6, 10**6).collect()} == {"ok"}
+    assert {r.page_id: len(r.markdown) for r in P.extract(df).collect()} == {1: 24_002, 2: 500_001, 3: 1}
+
+
+def page_of(n):
+    """A page of n elements: paragraphs in boxes in boxes."""
+    body = "".join(f"<div id=a{i}><div><p>A paragraph of more than twenty-five letters, number {i}.</p></div></div>" for i in range(n // 3))
+    return f"<body>{body}</body>"
+
+
+def test_a_page_of_20_000_elements(spark):
+    df = spark.createDataFrame([(1, page_of(20_000))], "page_id long, html string")
+    tokens = P.with_ends(P.html_tokens(df))
+    assert P.elements(tokens).filter("tag <> 'body'").count() == 3 * (20_000 // 3)
+    credits = P.score_roots(tokens)
+    assert credits.count() == 2 * (20_000 // 3)
+    text = P.to_markdown(tokens).first().markdown
+    assert text.count("\n\n") == 20_000 // 3 - 1
+
+
+def test_time_of_credits_grows_with_the_elements(spark):
+    import time
+
+    def seconds(n):
+        df = P.with_token_array(P.with_ends(P.html_tokens(spark.createDataFrame([(1, page_of(n))], "page_id long, html string")))).cache()
+        df.count()
+        times = []
+        for _ in range(3):
+            begin = time.perf_counter()
+            df.select(F.size(P._credits(P._els(F.col("toks"))))).collect()
+            times.append(time.perf_counter() - begin)
+        return min(times)
+
+    few, many = seconds(5_000), seconds(20_000)
+    assert many < 8 * few + 0.5  # four times, with room
 
 
 def test_entities(spark):
