@@ -124,16 +124,16 @@ def may_be_similar(one: np.ndarray, n: int, sketches: np.ndarray, sizes: np.ndar
 
 def _counts(texts: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        total, held, n = np.zeros(CELLS, np.uint32), [np.zeros(0, np.int64)], 0
+        total, held, n = np.zeros(CELLS, np.int64), [np.zeros(0, np.int64)], 0
         for _, sets in _sets(batches):
             held.append((np.concatenate(sets) % _U(CELLS)).astype(np.int64))
             n += len(held[-1])
             if n > CELLS // 2:
-                total += np.bincount(np.concatenate(held), minlength=CELLS).astype(np.uint32)
+                total += np.bincount(np.concatenate(held), minlength=CELLS)
                 held, n = [np.zeros(0, np.int64)], 0
-        return total + np.bincount(np.concatenate(held), minlength=CELLS).astype(np.uint32)
+        return total + np.bincount(np.concatenate(held), minlength=CELLS)
 
-    return summed_arrays(texts.select("text"), count, CELLS, "u4")
+    return summed_arrays(texts.select("text"), count, CELLS, "i8")
 
 
 def _is_hot(tokens: np.ndarray, counts: np.ndarray, limit: float) -> np.ndarray:
@@ -419,9 +419,11 @@ def _labelled(docs: DataFrame) -> DataFrame:
         more = written(_block_links(rest, texts_of(rest), counts), "links-in-blocks")
         labels = components(links.unionByName(more))
     counts.destroy()  # all that needs it is written
-    least = rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"))
+    # Rows without an id name no component that has a row with one.
+    known = F.when(F.col("id") > _NO_ID, F.col("id"))
+    least = rows.filter("n > 0").groupBy("node").agg(F.min(known).alias("least"))
     named = least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    smallest = named.groupBy("label").agg(F.coalesce(F.min("least"), F.lit(_NO_ID)).alias("component_id"))
     ids = named.join(smallest, "label").select("node", "component_id", "label")
     found = rows.filter("n > 0").join(ids, "node").select("id", "th", "n", "component_id", "label")
     return found.unionByName(rows.filter("n = 0").select("id", "th", "n", F.col("id").alias("component_id"), F.lit(None).cast("long").alias("label")))
@@ -431,9 +433,9 @@ def joined(docs: DataFrame) -> DataFrame:
     """Every row of `docs` with doc_id, n_shingles, component_id and text_hash.
 
     Null, empty and blank texts have no shingles, link with nothing and are a
-    component of their own, named by their own doc_id; a null doc_id counts as the
-    smallest of all and is given back as null.  Rows that repeat an id are rows of
-    their own.  Other columns are ignored.
+    component of their own, named by their own doc_id.  A component is named by the
+    smallest doc_id of its rows; only one whose rows all lack an id has no name.  Rows
+    that repeat an id are rows of their own.  Other columns are ignored.
     """
     real = lambda c: F.when(F.col(c) > _NO_ID, F.col(c))
     return _labelled(docs).select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component_id").alias("component_id"), F.col("th").alias("text_hash"))

@@ -34,3 +34,10 @@ def test_leaks_of_rows_without_an_id(spark):
     found = decontaminate.leaking(docs, bench)
     assert found.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
     assert [(r["doc_id"], r["item_id"]) for r in found.collect()] == [(1, 1)]
+
+
+def test_rows_without_an_id_name_no_component(spark):
+    rows = [(1, text("a")), (2, text("a") + " end"), (None, text("a") + " tail"), (3, text("b")), (None, text("b")), (None, text("c")), (None, text("c") + " end"), (None, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["component_id"]) for r in jaccard.joined(docs).collect())
+    assert got == Counter([(1, 1), (2, 1), (None, 1), (3, 3), (None, 3), (None, None), (None, None), (None, None), (9, 9)])
