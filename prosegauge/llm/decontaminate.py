@@ -1,17 +1,21 @@
 """Benchmark passages inside documents, by windows of the items' sizes.
 
-Everything here is column expressions.  An item is a multiset of shingles; a
-window of a document has as many words as the item.  Only windows that hold a
-shingle of an item can be similar to one, so a broadcast join on shingle hashes
-says where windows are needed, and the shared shingle says where a window begins:
-where the item's first word would stand.
-
-A similar window lacks at most a quarter of an item's weight, a shingle's weight
-being how often it occurs.  So it holds one of any shingles that together weigh more:
-the item's rarest ones are its prefix, and a window meets the items of whose prefix it
-holds a shingle.  Such pairs are compared exactly by the weighted Jaccard similarity,
-unless the shingles that one side lacks are too many already when counted once each.
-Nothing is estimated, so no similar pair is lost.
+Everything here is column expressions.  An item is a multiset of shingles, and so is
+every run of as many words of a document, a window; all windows are judged, wherever
+they start and in whatever order they hold the item's parts.
+
+A similar window lacks at most a quarter of an item's weight, a shingle's weight being
+how often it occurs.  So it holds one of any shingles that together weigh more: the
+item's rarest ones are its prefix.  A broadcast join finds where documents hold a
+shingle of a prefix, and a stretch of three windows' length around it has all windows
+that hold it.
+
+In such a stretch the best window is found in one sweep.  A shingle of the stretch
+adds one to what a window shares with the item for a run of starts: from the first
+window that reaches it, or that no longer holds more of the same shingle before it
+than the item has, to the one that begins with it.  Where most of these runs overlap,
+the weighted Jaccard similarity is largest.  Nothing is estimated, so no similar pair
+is lost.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prosegauge.functions.text import let
+from prosegauge.functions.text import let, starts
 from prosegauge.llm.words import words
 
 SHINGLE, SIMILARITY = 5, 0.75
@@ -60,10 +64,56 @@ def _prefixes(items: DataFrame, similarity: float) -> DataFrame:
     return ranked.filter(F.col("before") <= (1 - similarity) * F.col("n") + SLACK).select("item", "m", "g")
 
 
-def _shared_weight(left: str, right: str) -> Column:
-    """The sum of the smaller weights over all shingles of two arrays."""
-    count = lambda of: f"size(filter({of}, y -> y = x))"
-    return F.expr(f"aggregate(array_intersect({left}, {right}), 0L, (t, x) -> t + least({count(left)}, {count(right)}))")
+def _best(stretch: Column, item: Column, long: Column, need: Column) -> Column:
+    """(shared, start) of the window of `long` shingles of `stretch` that shares most with `item`; null below `need`.
+
+    `item` has (g, weight) sorted by g.  Of equal windows it is the first.
+    """
+
+    def matched(r, it):
+        """The places of the item's shingles as (g, at, weight), sorted by both."""
+        entry = lambda g, kind, at: F.struct(g.alias("g"), F.lit(kind).alias("kind"), at.cast("int").alias("at"))
+        every = F.sort_array(
+            F.concat(F.transform(it, lambda x: entry(x["g"], 0, F.lit(0))), F.transform(r, lambda g, i: entry(g, 1, i)))
+        )
+
+        def paired(e):
+            # How many shingles of the item come before: the last of them is the only one that can be equal.
+            before = starts(F.transform(e, lambda x: F.when(x["kind"] == 0, 1).otherwise(0)))
+            named = let(
+                before,
+                lambda n: F.transform(
+                    e, lambda x, i: F.struct(x["g"].alias("g"), x["kind"].alias("kind"), x["at"].alias("at"), F.get(it, n[i] - 1).alias("of"))
+                ),
+            )
+            same = F.filter(named, lambda x: F.coalesce((x["kind"] == 1) & (x["of"]["g"] == x["g"]), F.lit(False)))
+            return F.transform(same, lambda x: F.struct(x["g"].alias("g"), x["at"].alias("at"), x["of"]["weight"].alias("weight")))
+
+        return let(every, paired)
+
+    def swept(m, r):
+        last = F.greatest(F.lit(0), F.size(r) - long)
+
+        def run(x, i):
+            # With so many of the same shingle from there on, a window would have more than the item.
+            earlier = F.get(m, i - x["weight"])
+            after = F.when(F.coalesce(earlier["g"] == x["g"], F.lit(False)), earlier["at"] + 1).otherwise(0)
+            return F.struct(F.greatest(after, x["at"] - long + 1, F.lit(0)).alias("a"), F.least(x["at"], last).alias("b"))
+
+        runs = F.filter(F.transform(m, run), lambda v: v["a"] <= v["b"])
+        step = lambda at, d: F.struct(at.cast("int").alias("at"), F.lit(d).alias("d"))
+        # At one start, what ends comes before what begins.
+        steps = let(
+            runs, lambda v: F.sort_array(F.concat(F.transform(v, lambda x: step(x["b"] + 1, -1)), F.transform(v, lambda x: step(x["a"], 1))))
+        )
+        count = lambda e, n: F.transform(e, lambda x, i: F.struct((n[i] + x["d"]).alias("shared"), (-x["at"]).alias("less")))
+        best = let(steps, lambda e: let(starts(F.transform(e, lambda x: x["d"])), lambda n: F.array_max(count(e, n))))
+        return F.struct(best["shared"].alias("shared"), (-best["less"]).alias("start"))
+
+    return let(
+        stretch,
+        lambda r: let(item, lambda it: let(matched(r, it), lambda m: F.when(F.size(m) >= need, swept(m, r)))),
+    )
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -93,41 +143,32 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
 
 
 def _leaks_of_width(texts: DataFrame, items: DataFrame, width: int, parts: int, similarity: float) -> DataFrame:
-    grams = items.select("m", F.posexplode("ig").alias("o", "g")).dropDuplicates()
+    prefixes = _prefixes(items, similarity)
+    weighed = items.select("item", F.explode("ig").alias("g")).groupBy("item", "g").agg(F.count(F.lit(1)).cast("int").alias("weight"))
+    weighed = weighed.groupBy("item").agg(F.sort_array(F.collect_list(F.struct("g", "weight"))).alias("shingles"))
+    whole = items.select("item", "item_id").join(weighed, "item")
     places = texts.select("doc_id", "text_hash", _shingles(words(F.lower("text")), width).alias("dg"))
     # The outer form: for the inner one a filter on the array is inferred and pushed down, and shingles are made twice.
     places = places.select("doc_id", "text_hash", "dg", F.posexplode_outer("dg").alias("at", "g"))
-    windows = None
-    for k in range(parts):
-        chosen = grams.filter(F.pmod(F.hash("g"), F.lit(parts)) == k)
-        # The count of shingles is checked: a part has about BROADCAST_SHINGLES of them.
-        hit = places.join(F.broadcast(chosen), "g")
-        long = F.least(F.col("m") - width + 1, F.size("dg"))
-        start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("o"), F.size("dg") - long))
-        one = hit.select("doc_id", "text_hash", "m", start.alias("start"), F.slice("dg", start + 1, long).alias("wg"))
-        windows = one if windows is None else windows.unionByName(one)
-    keys = ("doc_id", "text_hash", "m", "start")
-    windows = windows.dropDuplicates(list(keys))
-    prefixes = _prefixes(items, similarity)
-    whole = prefixes.groupBy("item").agg(F.collect_list("g").alias("prefix")).join(items.select("item", "item_id", "ig"), "item")
-    close = None
+    keys, found = ("doc_id", "text_hash", "item", "block"), None
     for k in range(parts):
-        # Items are dealt to the parts by their names, so a part has about BROADCAST_SHINGLES shingles again.
+        # Items are dealt to the parts by their names; the count of shingles is checked: a part has about BROADCAST_SHINGLES.
         of_part = F.pmod(F.hash("item"), F.lit(parts)) == k
-        met = windows.select(*keys, "wg", F.explode(F.array_distinct("wg")).alias("g"))
-        met = met.join(F.broadcast(prefixes.filter(of_part)), ["m", "g"]).join(F.broadcast(whole.filter(of_part)), "item")
-        # A pair that shares several shingles of the prefix is kept at the least of them.
-        met = met.filter(F.array_min(F.array_intersect("prefix", "wg")) == F.col("g"))
-        close = met if close is None else close.unionByName(met)
-    total = F.size("wg") + F.size("ig")
-    may = lambda a, b: F.size(F.array_except(a, b)) <= F.size(a) - similarity / (1 + similarity) * total + SLACK
-    close = close.filter(may("ig", "wg")).filter(may("wg", "ig"))
-    shared = _shared_weight("wg", "ig")
-    close = close.withColumn("shared", shared).withColumn("total", total - F.col("shared"))
-    close = close.withColumn("similarity", F.col("shared") / F.col("total")).filter(F.col("similarity") >= similarity)
+        hit = places.join(F.broadcast(prefixes.filter(of_part)), "g").withColumn("long", F.col("m") - width + 1)
+        block = F.floor(F.col("at") / F.col("long")).cast("int")
+        hit = hit.withColumns({"block": block, "from": F.greatest(F.lit(0), (block - 1) * F.col("long"))})
+        # All windows that hold a shingle of a block lie in it and the blocks before and after.
+        stretch = F.slice("dg", F.col("from") + 1, 3 * F.col("long")).alias("stretch")
+        one = hit.select(*keys, "long", "from", stretch).dropDuplicates(list(keys)).join(F.broadcast(whole.filter(of_part)), "item")
+        total = F.least("long", F.size("stretch")) + F.col("long")
+        need = F.ceil(similarity / (1 + similarity) * total - SLACK)
+        one = one.withColumn("total", total).withColumn("best", _best(F.col("stretch"), F.col("shingles"), F.col("long"), need))
+        one = one.filter(F.col("best").isNotNull()).withColumn("similarity", F.col("best.shared") / (F.col("total") - F.col("best.shared")))
+        one = one.filter(F.col("similarity") >= similarity)
+        one = one.select("doc_id", "item_id", "text_hash", (F.col("from") + F.col("best.start")).cast("int").alias("start"), "similarity")
+        found = one if found is None else found.unionByName(one)
     best = Window.partitionBy("doc_id", "text_hash", "item_id").orderBy(F.desc("similarity"), "start")
-    close = close.select("doc_id", "item_id", "text_hash", "start", "similarity").withColumn("r", F.row_number().over(best))
-    return close.filter("r = 1").drop("r")
+    return found.withColumn("r", F.row_number().over(best)).filter("r = 1").drop("r")
 
 
 def leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -141,38 +182,36 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return docs.join(found, (_id(docs["doc_id"]) == found["leak_id"]) & (F.xxhash64(docs["text"]) == found["leak_hash"]), "left_anti")
 
 
-#: The same windows and similarity, without fingerprints.
+#: Every window of every document that shares a shingle with an item, counted anew.
 SQL = r"""
 WITH items AS (
     SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
 ), sized AS (
-    SELECT item_id, len(w) AS m, least(len(w), 5) AS width, w FROM items WHERE len(w) > 0
+    SELECT row_number() OVER (ORDER BY item_id, w) AS iid, item_id, least(len(w), 5) AS width, len(w) - least(len(w), 5) + 1 AS long, w FROM items WHERE len(w) > 0
 ), item_grams AS (
-    SELECT item_id, m, width, o, array_to_string(w[o + 1 : o + width], ' ') AS g
-    FROM (SELECT *, unnest(range(0, m - width + 1)) AS o FROM sized)
+    SELECT iid, width, array_to_string(w[o + 1 : o + width], ' ') AS g
+    FROM (SELECT *, unnest(range(0, long)) AS o FROM sized)
+), item_counts AS (
+    SELECT iid, width, g, count(*) AS c FROM item_grams GROUP BY ALL
 ), texts AS MATERIALIZED (
     SELECT *, row_number() OVER (ORDER BY doc_id) AS rid FROM (
         SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)
-), places AS (
-    SELECT rid, width, len(w) - width + 1 AS n, unnest(range(0, len(w) - width + 1)) AS pos, w
-    FROM texts, (SELECT DISTINCT width FROM sized) WHERE len(w) >= width
 ), doc_grams AS MATERIALIZED (
-    SELECT rid, width, n, pos, array_to_string(w[pos + 1 : pos + width], ' ') AS g FROM places
+    SELECT rid, width, n, pos, array_to_string(w[pos + 1 : pos + width], ' ') AS g FROM (
+        SELECT rid, width, len(w) - width + 1 AS n, unnest(range(0, len(w) - width + 1)) AS pos, w
+        FROM texts, (SELECT DISTINCT width FROM sized) WHERE len(w) >= width)
+), pairs AS MATERIALIZED (
+    SELECT DISTINCT d.rid, d.width, d.n, i.iid, s.long FROM doc_grams d JOIN item_counts i USING (width, g) JOIN sized s USING (iid)
 ), windows AS (
-    SELECT DISTINCT d.rid, d.width, i.m, least(i.m - i.width + 1, d.n) AS long,
-        greatest(0, least(d.pos - i.o, d.n - least(i.m - i.width + 1, d.n))) AS start
-    FROM doc_grams d JOIN (SELECT DISTINCT m, width, o, g FROM item_grams) i USING (width, g)
+    SELECT *, unnest(range(0, greatest(0, n - long) + 1)) AS start FROM pairs
 ), window_counts AS (
-    SELECT v.rid, v.width, v.m, v.start, v.long, d.g, count(*) AS c
-    FROM (SELECT *, unnest(range(start, start + long)) AS pos FROM windows) v JOIN doc_grams d USING (rid, width, pos)
-    GROUP BY ALL
-), item_counts AS (
-    SELECT item_id, m, width, g, count(*) AS c FROM item_grams GROUP BY ALL
+    SELECT v.rid, v.iid, v.long, v.start, least(v.n, v.long) AS size, d.g, count(*) AS c, any_value(i.c) AS of_item
+    FROM doc_grams d JOIN windows v ON v.rid = d.rid AND v.width = d.width AND d.pos >= v.start AND d.pos < v.start + v.long
+    JOIN item_counts i ON i.iid = v.iid AND i.g = d.g GROUP BY ALL
 ), shared AS (
-    SELECT t.doc_id, v.rid, v.start, v.long, i.item_id, i.m, i.width, sum(least(v.c, i.c)) AS s
-    FROM window_counts v JOIN item_counts i USING (m, width, g) JOIN texts t USING (rid) GROUP BY ALL
+    SELECT rid, iid, start, size + long AS total, CAST(sum(least(c, of_item)) AS DOUBLE) AS s FROM window_counts GROUP BY ALL
 )
-SELECT doc_id, item_id, max(CAST(s AS DOUBLE) / CAST(long + m - width + 1 - s AS DOUBLE)) AS similarity
-FROM shared WHERE CAST(s AS DOUBLE) / CAST(long + m - width + 1 - s AS DOUBLE) >= 0.75
+SELECT doc_id, item_id, max(s / (total - s)) AS similarity
+FROM shared JOIN texts USING (rid) JOIN sized USING (iid) WHERE s / (total - s) >= 0.75
 GROUP BY doc_id, item_id
 """
