@@ -63,7 +63,7 @@ def word_vectors(texts: DataFrame) -> np.ndarray:
     """The table of word vectors of the column `text`, one unit row per hash bucket."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        total = np.zeros(ROWS * WIDTH, np.float32)
+        total = np.zeros(ROWS * WIDTH, np.int64)
         for batch in batches:
             for block in text_blocks(batch, "text"):
                 hashes, first = tokens(*text_buffers(block.column("text")))
@@ -77,10 +77,11 @@ def word_vectors(texts: DataFrame) -> np.ndarray:
                     for of, by in ((left, right), (right, left)):
                         cells.append((bucket[of, None] + places[by]).reshape(-1))
                         weights.append(signs[by].reshape(-1))
-                total += np.bincount(np.concatenate(cells), np.concatenate(weights), ROWS * WIDTH).astype(np.float32)
+                # Steps of one, so whole numbers: the sum does not depend on the order of tasks.
+                total += np.bincount(np.concatenate(cells), np.concatenate(weights), ROWS * WIDTH).astype(np.int64)
         return total
 
-    table = summed_arrays(texts, count, ROWS * WIDTH, "f4").reshape(ROWS, WIDTH).astype(np.float64)
+    table = summed_arrays(texts, count, ROWS * WIDTH, "i8").reshape(ROWS, WIDTH).astype(np.float64)
     table /= np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)
     table -= table.mean(axis=0)
     return table.astype(np.float32)
@@ -186,6 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, most: i
     sample = label_sample(labels, label, allowed, most)
     shared = docs.sparkSession.sparkContext.broadcast(table)
     rows = _features(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), shared).orderBy("doc_id", "x").collect()
+    shared.destroy()
     x = np.stack([np.frombuffer(r["x"], np.float32) for r in rows]) if rows else np.zeros((0, FEATURES), np.float32)
     return QualityModel(table, fit_network(x, np.array([r["y"] for r in rows], np.float64)))
 
