@@ -133,7 +133,8 @@ def _counts(texts: DataFrame) -> np.ndarray:
                 held, n = [np.zeros(0, np.int64)], 0
         return total + np.bincount(np.concatenate(held), minlength=CELLS)
 
-    return summed_arrays(texts.select("text"), count, CELLS, "i8")
+    # Summed in 64 bits; for the order 32 bits are enough, where very frequent shingles are equal.
+    return np.minimum(summed_arrays(texts.select("text"), count, CELLS, "i8"), 2**32 - 1).astype(np.uint32)
 
 
 def _is_hot(tokens: np.ndarray, counts: np.ndarray, limit: float) -> np.ndarray:
