@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from prosegauge.catalog import sql as S
@@ -297,6 +298,124 @@ def _located_sql() -> str:
     )
 
 
+# --- pages that exercise every rule ------------------------------------------------
+#: The test pages hold headings, paragraphs and bold text only.  Every page gets one of these at the
+#: end of its article, by its id: HTML, and the Markdown that it has to become.  Texts are short, so that
+#: they earn no credit and leave the choice of the root alone.
+PAGE_SNIPPETS = (
+    ("<h2>Sec &amp; two</h2><h3>Three</h3><h4>four</h4><h5>five</h5><h6>six</h6>", "## Sec & two\n\n### Three\n\n#### four\n\n##### five\n\n###### six"),
+    ("<p>a <b>two</b> <strong>x</strong> <i>y</i> <em>z</em> <code>c</code></p>", "a **two** **x** _y_ _z_ `c`"),
+    ("<p>open <b>mark <i>two</p><p>next</p>", "open **mark _two_**\n\nnext"),
+    ("<ul><li>a</li><li>b<li>c</ul>", "- a\n- b\n- c"),
+    ("<ol><li>x</li><li>y</li></ol><ol><li>z</li></ol>", "1. x\n2. y\n\n1. z"),
+    ("<ul> loose <li>a <ol><li>x</li><li>y</li></ol></li> out </ul>", "- a\n\n1. x\n2. y"),
+    ("<p>top<br>end</p><hr><p>low</p>", "top\nend\n\n---\n\nlow"),
+    ("<blockquote><p>q1</p><p>q2</p><blockquote>in</blockquote></blockquote>", "> q1\n> q2\n> > in"),
+    ('<pre><code class="language-py">def f():\n    return 1\n\n</code></pre><p>after</p>', "```py\ndef f():\n    return 1\n```\n\nafter"),
+    ("<pre>  two  spaces\n\ttab</pre>", "```\n  two  spaces\n\ttab\n```"),
+    ("<table><caption>no</caption><tr><th>A</th><th>B</th></tr><tr><td>1</td><td></td></tr></table>", "| A | B |\n| --- | --- |\n| 1 |  |"),
+    ('<div style="white-space: pre-wrap">l1\nl2\n \nl3</div>', "l1\nl2\n\nl3"),
+    ('<div style="color: red">l1\nl2\n \nl3</div>', "l1 l2 l3"),
+    ("<div hidden>no</div><p>seen</p>", "seen"),
+    ('<p>kept</p><div style="color:red; display: none">no <b>no</b></div><p>too</p>', "kept\n\ntoo"),
+    ('<p aria-hidden="true">no</p><p aria-hidden="false">aria</p><span style="visibility:hidden">no</span>', "aria"),
+    ('<div class="big sidebar">no</div><p class="sidebars">class</p>', "class"),
+    ('<div role="search">no</div><p role="note">role</p>', "role"),
+    ('<div id="toc">no</div><p id="tocs">id</p>', "id"),
+    ("<div data-nosnippet>no</div><p data-snippet>data</p>", "data"),
+    ('<aside>no</aside><form>no<input value="x"></form><button>no</button><p>tags</p><dialog>no</dialog>', "tags"),
+    ("<noscript>no</noscript><p>raw</p><textarea>no</textarea><script>no</script>", "raw"),
+    ("<p>&eacute; &#233; &#x41; &nope; &hellip;</p>", "é é A &nope; …"),
+)
+#: Containers that stand in for the article, by page: opening and closing tag.
+CONTAINERS = (
+    ('<div itemprop="articleBody">', "div"), ('<div class="x mw-parser-output">', "div"), ("<article>", "article"),
+    ('<div role="main">', "div"), ("<main>", "main"), ('<div class="post-content">', "div"),
+    ('<section class="entry-content y">', "section"), ('<div class="article-body">', "div"), ("<div id='content'>", "div"),
+)
+
+
+def _by_page(values) -> Column:
+    """One of the values for each page, by its id."""
+    return F.element_at(F.array(*map(F.lit, values)), (F.col("page_id") % len(values) + 1).cast("int"))
+
+
+def _by_page_sql(values) -> str:
+    return f"CASE page_id % {len(values)} {' '.join(f'WHEN {i} THEN {S.q(v)}' for i, v in enumerate(values))} END"
+
+
+def seeded_pages(spark, sf_dir):
+    """Every page, whole, with a snippet before the end of its article."""
+    ending = F.concat(_by_page([html for html, _ in PAGE_SNIPPETS]), F.lit("</article>"))
+    return load_pages(spark, sf_dir).withColumn("html", F.replace("html", F.lit("</article>"), ending))
+
+
+def _seeded_markdown_sql() -> str:
+    sql = PageSql()
+    sql.markdown()
+    said = _by_page_sql([markdown for _, markdown in PAGE_SNIPPETS])
+    return sql.text(f"SELECT page_id, markdown || chr(10) || chr(10) || {said} AS markdown FROM markdown")
+
+
+@query("seeded_page_markdown", _seeded_markdown_sql)
+def seeded_page_markdown(spark, sf_dir):
+    """Markdown of the seeded pages; the SQL knows what each snippet has to become."""
+    return P.extract(seeded_pages(spark, sf_dir))
+
+
+@query(
+    "seeded_offset_map",
+    _sql("markdown", f"SELECT page_id, CAST(0 AS BIGINT) AS wrong, {_by_page_sql([html for html, _ in PAGE_SNIPPETS])} AS snippet FROM markdown"),
+)
+def seeded_offset_map(spark, sf_dir):
+    """How many runs of the seeded pages do not read the same in the Markdown and in their token."""
+    pages = seeded_pages(spark, sf_dir)
+    tokens = P.with_ends(P.html_tokens(pages))
+    texts = tokens.filter("kind = 'text'").groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("seq", "text"))).alias("texts"))
+    both = P.mapped_markdown(tokens).join(texts, "page_id")
+    there = lambda r: F.substring(F.element_at("texts", r["node"]), r["node_start"] + 1, r["md_end"] - r["md_start"])
+    here = lambda r: F.substring("markdown", r["md_start"] + 1, r["md_end"] - r["md_start"])
+    wrong = F.filter("runs", lambda r: ~F.coalesce(here(r) == there(r), F.lit(False)))
+    return both.select("page_id", F.size(wrong).cast("long").alias("wrong"), _by_page([html for html, _ in PAGE_SNIPPETS]).alias("snippet"))
+
+
+def contained_pages(spark, sf_dir):
+    """Every page with another container in place of its article."""
+    opening, tag = _by_page([o for o, _ in CONTAINERS]), _by_page([t for _, t in CONTAINERS])
+    html = F.replace(F.replace("html", F.lit("<article>"), opening), F.lit("</article>"), F.concat(F.lit("</"), tag, F.lit(">")))
+    return load_pages(spark, sf_dir).withColumn("html", html)
+
+
+@query(
+    "contained_page_roots",
+    _sql(
+        "roots",
+        f"""SELECT page_id, root_seq, root_end, CASE root_tag WHEN 'article' THEN {_by_page_sql([t for _, t in CONTAINERS])} ELSE root_tag END AS root_tag, how
+        FROM roots""",
+    ),
+)
+def contained_page_roots(spark, sf_dir):
+    """The root is found by whatever marks the container of the article."""
+    return P.pick_root(P.with_ends(P.html_tokens(contained_pages(spark, sf_dir))))
+
+
+OWN_LIMITS = (60, 3000)
+
+
+@query(
+    "page_guard_own_limits",
+    _sql(
+        None,
+        f"""SELECT page_id, nodes, chars, CASE WHEN nodes > {OWN_LIMITS[0]} OR chars > {OWN_LIMITS[1]} THEN 'too_large' ELSE 'ok' END AS status FROM (
+          SELECT page_id, CAST(count(*) FILTER (kind <> 'close' AND tag <> 'body') AS BIGINT) AS nodes, CAST(sum(length(text)) AS BIGINT) AS chars
+          FROM tokens t WHERE seq >= (SELECT min(seq) FROM tokens b WHERE b.page_id = t.page_id AND b.tag = 'body' AND b.kind = 'open') GROUP BY page_id)""",
+    ),
+)
+def page_guard_own_limits(spark, sf_dir):
+    """Labels by limits that some of the pages are over."""
+    return P.page_guard(P.html_tokens(load_pages(spark, sf_dir)), *OWN_LIMITS)
+
+
 def _page_scores_sql() -> str:
     pages = PageSql()
     pages.markdown()
