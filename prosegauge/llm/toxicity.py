@@ -25,7 +25,7 @@ BEGINNINGS = (4, 5, 6)
 #: At most so many labelled rows are fitted on, half of them of each label; a word or beginning
 #: needs so many of their texts to get a weight.
 MOST_LABELLED, LEAST_TEXTS = 5_000, 6
-STEPS, RATE, DECAY, START = 150, 0.15, 2e-6, -5.0
+STEPS, RATE, DECAY, START = 150, 0.15, 2e-5, -5.0
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
