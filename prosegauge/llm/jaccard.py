@@ -124,17 +124,18 @@ def may_be_similar(one: np.ndarray, n: int, sketches: np.ndarray, sizes: np.ndar
 
 def _counts(texts: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        total, held, n = np.zeros(CELLS, np.int64), [np.zeros(0, np.int64)], 0
+        # A task's texts hold far fewer than 2 ** 32 shingles; sums over tasks stop there.
+        total, held, n = np.zeros(CELLS, np.uint32), [np.zeros(0, np.int64)], 0
         for _, sets in _sets(batches):
             held.append((np.concatenate(sets) % _U(CELLS)).astype(np.int64))
             n += len(held[-1])
-            if n > CELLS // 2:
-                total += np.bincount(np.concatenate(held), minlength=CELLS)
+            if n > CELLS // 4:
+                total += np.bincount(np.concatenate(held), minlength=CELLS).astype(np.uint32)
                 held, n = [np.zeros(0, np.int64)], 0
-        return total + np.bincount(np.concatenate(held), minlength=CELLS)
+        total += np.bincount(np.concatenate(held), minlength=CELLS).astype(np.uint32)
+        return total
 
-    # Summed in 64 bits; for the order 32 bits are enough, where very frequent shingles are equal.
-    return np.minimum(summed_arrays(texts.select("text"), count, CELLS, "i8"), 2**32 - 1).astype(np.uint32)
+    return summed_arrays(texts.select("text"), count, CELLS, "u4")
 
 
 def _is_hot(tokens: np.ndarray, counts: np.ndarray, limit: float) -> np.ndarray:

@@ -39,17 +39,21 @@ def summed_arrays(df: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], np.
     """The sum over all tasks of the array of `size` numbers that `count` makes of each task's batches.
 
     Tasks send one compressed array each; they are added in a tree, two at a
-    time, so no task and not the driver holds many of them.
+    time, so no task and not the driver holds many of them.  Unsigned numbers stop at
+    their largest value.
     """
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_pydict({"array": [zlib.compress(count(batches).astype(kind).tobytes(), 1)]})
+        yield pa.RecordBatch.from_pydict({"array": [zlib.compress(count(batches).astype(kind, copy=False), 1)]})
 
     def added(left: bytes | None, right: bytes | None) -> bytes | None:
         if left is None or right is None:
             return right if left is None else left
-        total = np.frombuffer(zlib.decompress(left), kind) + np.frombuffer(zlib.decompress(right), kind)
-        return zlib.compress(total.tobytes(), 1)
+        one = np.frombuffer(zlib.decompress(left), kind)
+        total = one + np.frombuffer(zlib.decompress(right), kind)
+        if total.dtype.kind == "u":
+            total[total < one] = np.iinfo(total.dtype).max
+        return zlib.compress(total, 1)
 
     rows = df.mapInArrow(one, "array binary").rdd.map(lambda row: bytes(row["array"]))
     total = rows.treeAggregate(None, added, added, depth=2) if rows.getNumPartitions() else None

@@ -43,3 +43,12 @@ def test_a_block_of_sketches_is_judged_row_by_row():
     together = may_be_similar(sketch(sets[0]), 100, rows, sizes)
     alone = [may_be_similar(sketch(sets[0]), 100, r[None, :], np.array([n]))[0] for r, n in zip(rows, sizes, strict=True)]
     assert together.tolist() == alone and together[0] and not together[-1]
+
+
+def test_sums_over_tasks_stop_at_the_largest_number(spark):
+    from prosegauge.llm.shared import summed_arrays
+
+    rows = spark.range(0, 5, 1, 5)
+    found = summed_arrays(rows, lambda batches: np.array([sum(b.num_rows for b in batches), 2**31 + 5, 2**32 - 1], np.uint32), 3, "u4")
+    assert found.tolist() == [5, 2**32 - 1, 2**32 - 1]
+    assert summed_arrays(rows.limit(0), lambda batches: np.zeros(2, np.int64), 2, "i8").tolist() == [0, 0]
