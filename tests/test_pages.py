@@ -196,6 +196,14 @@ def test_entities(spark):
     assert df.select(P.decode_entities(F.col("t"))).first()[0] == "a <b> éé😀 &amp; & &nope; &#0;"
 
 
+def test_all_named_entities(spark):
+    from html.entities import html5
+
+    names = [n for n in html5 if n.endswith(";")]
+    df = spark.createDataFrame([("|".join(f"&{n}" for n in names),)], "t string")
+    assert df.select(P.decode_entities(F.col("t"))).first()[0].split("|") == "|".join(html5[n] for n in names).split("|")
+
+
 def test_layout(spark):
     rows = [
         (1, 1, 0, "a", 100.0, 10.0, False), (1, 1, 1, "b", 100.0, 10.0, True), (1, 1, 2, "c", 88.0, 10.0, False),
