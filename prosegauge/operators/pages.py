@@ -185,7 +185,8 @@ def with_ends(tokens: DataFrame) -> DataFrame:
     An element's lengths are differences of running sums between its first and
     its last row.  The last row is the closing tag, which is the next row of
     the same tag and level, or the next block boundary, or the end of the page;
-    in each case a window finds the sum there, so nothing is joined.
+    in each case a window finds the sum there, so nothing is joined.  Windows that
+    need one order of the rows stand together, so that a page is sorted six times.
     """
     page = Window.partitionBy("page_id").orderBy("seq")
     so_far = page.rowsBetween(Window.unboundedPreceding, 0)
@@ -194,67 +195,70 @@ def with_ends(tokens: DataFrame) -> DataFrame:
     reverse = Window.partitionBy("page_id").orderBy(F.desc("seq"))
     to_come = reverse.rowsBetween(Window.unboundedPreceding, 0)
     later = reverse.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("page_id")
     per_tag = Window.partitionBy("page_id", "tag").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    paired = Window.partitionBy("page_id", "tag", "level", "is_pair").orderBy("seq")
     text, kind = F.col("text"), F.col("kind")
-    is_open = kind == "open"
-    step = F.when(is_open, 1).when(kind == "close", -1).otherwise(0)
+    is_open, is_close, soft = kind == "open", kind == "close", F.col("tag").isin(*SOFT_TAGS)
     size = F.length(text)
     blank = text.rlike(P.BLANK)
     lead_ws = size - F.length(F.regexp_replace(text, f"\\A{P.SPACE}+", ""))
     trail_ws = size - F.length(F.regexp_replace(text, f"{P.SPACE}+\\z", ""))
-    out = tokens.withColumns(
+
+    def at_end(of_close: str, at_boundary: Column) -> Column:
+        """A running value at the element's closing tag, or where the next boundary is; else null."""
+        return F.when(F.col("closed"), F.col(of_close)).when(soft, at_boundary)
+
+    # 1: levels of each tag
+    depth = F.sum(F.when(is_open, 1).when(is_close, -1).otherwise(0)).over(per_tag)
+    out = tokens.withColumn("depth", depth).withColumns(
         {
-            "depth": F.sum(step).over(per_tag),
-            "t_end": F.sum(size).over(so_far),
+            "level": F.when(is_close, F.col("depth") + 1).otherwise(F.col("depth")),
+            "is_pair": is_open | is_close,
             "boundary": _boundary(),
         }
     )
+    # 2: in page order, how much text there is up to a row, and where the last that is not blank ends
+    out = out.withColumn("t_end", F.sum(size).over(so_far))
+    out = out.withColumn("t_after", F.coalesce(F.max(F.when(~blank, F.col("t_end") - trail_ws)).over(so_far), F.lit(0)))
+    # 3: in reverse, where the next text begins, the next boundary, and the end of the page
+    ends = F.struct(F.col("seq").alias("seq"), F.col("t_after").alias("t"))
     out = out.withColumns(
         {
-            "level": F.when(kind == "close", F.col("depth") + 1).otherwise(F.col("depth")),
-            # Where the last character that is not blank ends, and the next begins.
-            "t_after": F.coalesce(F.max(F.when(~blank, F.col("t_end") - trail_ws)).over(so_far), F.lit(0)),
             "t_next": F.min(F.when(~blank, F.col("t_end") - size + lead_ws)).over(to_come),
-            "page_last": F.max("seq").over(whole),
-            "next_boundary": F.last(F.when(F.col("boundary"), F.col("seq")), ignorenulls=True).over(later),
+            "next": F.last(F.when(F.col("boundary"), ends), ignorenulls=True).over(later),
+            "last": F.first(ends).over(to_come),
         }
     )
-    paired = Window.partitionBy("page_id", "tag", "level", kind.isin("open", "close")).orderBy("seq")
-    closed = is_open & F.coalesce(F.lead("kind").over(paired) == "close", F.lit(False))
-    soft = F.col("tag").isin(*SOFT_TAGS)
-
-    def at_end(running: str) -> Column:
-        """A non-decreasing running value at the element's last row."""
-        return (
-            F.when(F.col("closed"), F.lead(running).over(paired))
-            .when(soft, F.last(F.when(F.col("boundary"), F.col(running)), ignorenulls=True).over(later))
-        )
-
+    # 4: openings next to their closing tags
+    after = F.lead(F.struct("kind", "seq", "t_after")).over(paired)
+    out = out.withColumns({"after": after, "opened": F.lag("kind").over(paired)})
     out = out.withColumns(
         {
-            "closed": closed,
+            "closed": is_open & F.coalesce(F.col("after.kind") == "close", F.lit(False)),
             # Whether a closing tag belongs to an opening one.
-            "matched": (kind == "close") & F.coalesce(F.lag("kind").over(paired) == "open", F.lit(False)),
+            "matched": is_close & F.coalesce(F.col("opened") == "open", F.lit(False)),
         }
     )
-    last_text = F.coalesce(at_end("t_after"), F.max("t_after").over(whole))
+    last_text = F.coalesce(at_end("after.t_after", F.col("next.t")), F.col("last.t"))
     out = out.withColumns(
         {
-            "end_seq": F.when(F.col("closed"), F.lead("seq").over(paired))
-            .when(is_open & soft, F.coalesce(F.col("next_boundary") - 1, F.col("page_last")))
-            .when(is_open, F.col("page_last")),
+            "end_seq": F.when(F.col("closed"), F.col("after.seq"))
+            .when(is_open & soft, F.coalesce(F.col("next.seq") - 1, F.col("last.seq")))
+            .when(is_open, F.col("last.seq")),
             "text_len": F.when(
                 is_open, F.greatest(F.lit(0), F.coalesce(last_text - F.col("t_next"), F.lit(0)))
             ).cast("int"),
         }
-    )
+    ).drop("after", "opened", "next", "last", "t_end", "t_after", "t_next")
+    # 5: in reverse, the text in links from a row on, here and at the next boundary
     linked = F.when(is_open & (F.col("tag") == "a"), F.col("text_len")).otherwise(0)
-    out = out.withColumn("links", F.sum(linked).over(so_far))
-    last_links = F.coalesce(at_end("links"), F.max("links").over(whole))
-    return out.withColumn(
-        "link_len", F.when(is_open, last_links - F.col("links")).cast("int")
-    ).drop("level", "t_end", "t_after", "t_next", "page_last", "next_boundary", "links")
+    out = out.withColumns({"linked": linked, "links": F.sum(linked).over(to_come)})
+    out = out.withColumn("next_links", F.last(F.when(F.col("boundary"), F.col("links")), ignorenulls=True).over(later))
+    # 6: and at the closing tag
+    out = out.withColumn("closing_links", F.lead("links").over(paired))
+    beyond = F.coalesce(at_end("closing_links", F.col("next_links")), F.lit(0))
+    out = out.withColumn("link_len", F.when(is_open, F.col("links") - F.col("linked") - beyond).cast("int"))
+    return out.drop("level", "is_pair", "linked", "links", "next_links", "closing_links")
 
 
 def elements(tokens: DataFrame) -> DataFrame:
@@ -524,6 +528,7 @@ def article_tokens(tokens: DataFrame) -> DataFrame:
     t = t.select("page_id", "t.*").drop("density", "selected", "src_start", "depth", "text_len", "link_len")
     t = t.withColumn("gone", _covered(furniture() | hidden())).filter(~F.col("gone"))
     kind, tag = F.col("kind"), F.col("tag")
+    is_open, is_close = kind == "open", kind == "close"
     # What the windows below need of the attributes, so that they need not carry them.
     style = F.coalesce(attribute(F.col("attrs"), "style"), F.lit(""))
     t = t.withColumns(
@@ -532,60 +537,66 @@ def article_tokens(tokens: DataFrame) -> DataFrame:
             "keeps": style.rlike(f"(?i)white-space\\s*:\\s*(?:{PRESERVED})\\s*(?:;|\\z)"),
         }
     ).drop("attrs", "gone")
-    is_open, is_close = kind == "open", kind == "close"
     page = Window.partitionBy("page_id").orderBy("seq")
     so_far = page.rowsBetween(Window.unboundedPreceding, 0)
+    later = Window.partitionBy("page_id").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
     opens = lambda *tags: is_open & tag.isin(*tags)
     step = F.when(is_open, 1).when(is_close, -1).otherwise(0)
+    count = lambda test: F.when(test, 1).otherwise(0)
+    latest = lambda test, value, over: F.last(F.when(test, value), ignorenulls=True).over(over)
+    cell, row, table = opens("td", "th"), opens("tr"), opens("table")
+    mark = (
+        F.when(tag.isin("b", "strong"), "**").when(tag.isin("i", "em"), "_").when(tag == "code", "`")
+    )
+    # In page order; numbers inside rows and lists are differences of running counts, so they need no order of their own.
     t = t.withColumns(
         {
             "in_pre": _covered(opens("pre")),
-            "in_table": _covered(opens("table")),
-            "in_cell": _covered(opens("td", "th")),
+            "in_table": _covered(table),
+            "in_cell": _covered(cell),
             "keeps_lines": _covered(is_open & F.col("keeps")),
             "lists": F.sum(F.when(tag.isin("ul", "ol"), step).otherwise(0)).over(so_far),
-            "segment": F.sum(F.when(F.col("boundary"), 1).otherwise(0)).over(so_far),
-            "row_no": F.sum(F.when(opens("tr"), 1).otherwise(0)).over(so_far),
-            "table_seq": F.max(F.when(opens("table"), F.col("seq"))).over(so_far),
-            "next_code": F.last(
-                F.when(opens("code"), F.struct("seq", F.coalesce("class", F.lit("")).alias("c"))),
-                ignorenulls=True,
-            ).over(Window.partitionBy("page_id").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)),
+            "segment": F.sum(count(F.col("boundary"))).over(so_far),
+            "row_no": F.sum(count(row)).over(so_far),
+            "cells_so_far": F.sum(count(cell)).over(so_far),
         }
     )
-    at_level = Window.partitionBy("page_id", "lists").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn(
-        "list_of",
-        F.last(F.when(opens("ul", "ol"), F.struct("seq", "tag")), ignorenulls=True).over(at_level),
-    )
-    in_list = Window.partitionBy("page_id", "lists", "list_of.seq").orderBy("seq").rowsBetween(
-        Window.unboundedPreceding, 0
+    t = t.withColumns(
+        {
+            "segment_ends": F.coalesce(F.lead("segment").over(page) != F.col("segment"), F.lit(True)),
+            "cell_no": F.col("cells_so_far") - F.coalesce(latest(row, F.col("cells_so_far"), so_far), F.lit(0)),
+            "first_row": latest(table, F.col("row_no"), so_far) + 1,
+        }
     )
-    in_row = Window.partitionBy("page_id", "row_no").orderBy("seq")
-    in_segment = Window.partitionBy("page_id", "segment")
-    mark = (
-        F.when(tag.isin("b", "strong"), "**").when(tag.isin("i", "em"), "_").when(tag == "code", "`")
+    # In reverse: the next code element, and the cells up to the next row.
+    next_row = latest(row, F.col("cells_so_far"), later)
+    t = t.withColumns(
+        {
+            "next_code": latest(opens("code"), F.struct("seq", F.coalesce("class", F.lit("")).alias("c")), later),
+            "row_cells": F.coalesce(next_row, F.max("cells_so_far").over(Window.partitionBy("page_id"))),
+        }
+    ).withColumn("cells", F.col("row_cells") - F.col("cells_so_far") + F.col("cell_no"))
+    # In each level of lists.
+    at_level = Window.partitionBy("page_id", "lists").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumn("items", F.sum(count(opens("li"))).over(at_level))
+    t = t.withColumns(
+        {
+            "list_of": latest(opens("ul", "ol"), F.struct("seq", "tag", "items"), at_level),
+            "item": latest(tag == "li", F.struct("seq", "kind"), at_level),
+        }
     )
-    cell = opens("td", "th")
+    in_this_list = F.col("item.seq") > F.col("list_of.seq")
     t = t.withColumns(
         {
-            "item_no": F.sum(F.when(opens("li"), 1).otherwise(0)).over(in_list),
-            "item_state": F.last(F.when(tag == "li", kind), ignorenulls=True).over(in_list),
-            "cell_no": F.sum(F.when(cell, 1).otherwise(0)).over(
-                in_row.rowsBetween(Window.unboundedPreceding, 0)
-            ),
-            "cells": F.sum(F.when(cell, 1).otherwise(0)).over(Window.partitionBy("page_id", "row_no")),
-            "first_row": F.min(F.when(opens("tr"), F.col("row_no"))).over(
-                Window.partitionBy("page_id", "table_seq")
-            ),
+            "item_no": F.col("items") - F.coalesce("list_of.items", F.lit(0)),
+            "item_state": F.when(F.col("list_of").isNull() | in_this_list, F.col("item.kind")),
             # Inline marks left open, closed at the end of their segment.
             "left_open": F.array_join(
                 F.reverse(F.collect_list(F.when(is_open & ~F.col("closed") & ~F.col("in_pre"), mark)).over(
-                    in_segment.orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+                    Window.partitionBy("page_id", "segment").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
                 )),
                 "",
             ),
-            "segment_ends": F.coalesce(F.lead("segment").over(page) != F.col("segment"), F.lit(True)),
         }
     )
     hard = lambda s: s.replace(" ", HARD_SPACE)
