@@ -20,6 +20,9 @@ A sketch counts a set's shingles by low bits of their hashes, in a byte for ever
 to four of them.  Two sketches differ by no more than the sets do, and similar sets
 differ by at most a seventh of their sizes; so no similar pair is lost.
 
+Tables of nodes, pairs and texts grow with the input, so they are joined by merging and
+never broadcast.
+
 So every similar pair is either verified or joined by verified links, and the
 components are those of the full join.
 """
@@ -199,7 +202,7 @@ def _centred(cold: DataFrame, nodes: DataFrame) -> DataFrame:
     # A hot token's centre is found by partial minima, so its nodes never meet in one task.
     often = nodes.select("node", F.explode("hot").alias("token"))
     centres = often.groupBy("token").agg(F.min("node").alias("centre"))
-    warm = often.join(centres, "token").select("node", "centre").filter("node <> centre")
+    warm = often.join(centres.hint("merge"), "token").select("node", "centre").filter("node <> centre")
     return cold.unionByName(warm).dropDuplicates()
 
 
@@ -207,7 +210,7 @@ def _with_texts(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """`rows` with the text of their `node`; rows of one node are gathered, so its text is moved once."""
     names = [c for c in rows.columns if c != "node"]
     lists = rows.groupBy("node").agg(F.collect_list(F.struct(*names)).alias("asked"))
-    found = texts.join(lists, "node").select("node", "text", F.explode("asked").alias("a"))
+    found = texts.join(lists.hint("merge"), "node").select("node", "text", F.explode("asked").alias("a"))
     return found.select("node", "a.*", "text")
 
 
@@ -218,8 +221,8 @@ def _fits(a: str, b: str) -> Column:
 
 def _promising(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """(node, centre, may) for pairs (node, n, centre, centre_n): whether sizes and sketches allow the similarity."""
-    close = pairs.filter(_fits("n", "centre_n")).join(sketches.select("node", "sketch"), "node")
-    close = close.join(sketches.select(F.col("node").alias("centre"), F.col("sketch").alias("centre_sketch")), "centre")
+    close = pairs.filter(_fits("n", "centre_n")).join(sketches.select("node", "sketch").hint("merge"), "node")
+    close = close.join(sketches.select(F.col("node").alias("centre"), F.col("sketch").alias("centre_sketch")).hint("merge"), "centre")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("n", "sketch", "centre_n", "centre_sketch")
@@ -275,10 +278,10 @@ def _remaining(verified: DataFrame, sketches: DataFrame, labels: DataFrame) -> D
     block of held members is met by all that ask; a row comes out for those whose
     sketch allows a similarity, and no pairs do.
     """
-    label = lambda of, name: labels.select(F.col("node").alias(of), F.col("label").alias(name))
+    label = lambda of, name: labels.select(F.col("node").alias(of), F.col("label").alias(name)).hint("merge")
     named = verified.join(label("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = named.join(label("centre", "own"), "centre", "left").withColumn("own", F.coalesce("own", "centre"))
-    named = named.withColumn("apart", ~F.col("ok") & (F.col("label") != F.col("own"))).join(sketches, "node")
+    named = named.withColumn("apart", ~F.col("ok") & (F.col("label") != F.col("own"))).join(sketches.hint("merge"), "node")
     named = named.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / float(np.log(4 / 3))).cast("int"))
     named = named.select("node", "n", "centre", "label", "apart", "class")
     near = F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class")
@@ -286,11 +289,11 @@ def _remaining(verified: DataFrame, sketches: DataFrame, labels: DataFrame) -> D
     held = named.filter("apart")
     meet = held.groupBy("centre", "class").agg(F.count(F.lit(1)).alias("held_n"))
     others = asking.groupBy("centre", "class").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    meet = meet.join(others, ["centre", "class"]).select("centre", "class", F.ceil(F.col("held_n") / BLOCK).cast("int").alias("blocks"))
-    held = held.join(meet, ["centre", "class"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("asks", F.lit(False))
-    asking = asking.join(meet, ["centre", "class"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
+    meet = meet.join(others.hint("merge"), ["centre", "class"]).select("centre", "class", F.ceil(F.col("held_n") / BLOCK).cast("int").alias("blocks"))
+    held = held.join(meet.hint("merge"), ["centre", "class"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("asks", F.lit(False))
+    asking = asking.join(meet.hint("merge"), ["centre", "class"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
     names = ["node", "n", *_GROUP, "label", "asks"]
-    rows = held.select(*names).unionByName(asking.select(*names)).join(sketches.select("node", "sketch"), "node")
+    rows = held.select(*names).unionByName(asking.select(*names)).join(sketches.select("node", "sketch").hint("merge"), "node")
     rows = rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "asks")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,18 +401,18 @@ def _labelled(docs: DataFrame) -> DataFrame:
     rows = written(_nodes(texts, counts, limit), "set-nodes")
     some = rows.filter("n > 0")
     places = some.groupBy("node").agg(F.min(F.struct("id", "th")).alias("place"), F.first("n").alias("n"))
-    sizes = places.select("node", "n")
+    sizes = places.select("node", "n").hint("merge")
     pairs = _centred(_prefixes(texts, counts, limit), rows).join(sizes, "node")
     pairs = written(pairs.join(sizes.select(F.col("node").alias("centre"), F.col("n").alias("centre_n")), "centre"), "centres")
     # One sketch for each node that shares a token with another.
     met = pairs.select("node").union(pairs.select("centre")).dropDuplicates()
-    met = places.join(met, "node").select("node", "place.*", "n")
-    sketches = written(some.select("id", "th", "sketch").join(met, ["id", "th"]).dropDuplicates(["node"]).select("node", "n", "sketch"), "sketches")
+    met = places.join(met.hint("merge"), "node").select("node", "place.*", "n")
+    sketches = written(some.select("id", "th", "sketch").join(met.hint("merge"), ["id", "th"]).dropDuplicates(["node"]).select("node", "n", "sketch"), "sketches")
 
     def texts_of(asked: DataFrame) -> DataFrame:
         """(node, text) for the nodes asked for, written once; repeated rows are harmless to what reads it."""
-        found = met.join(asked.select("node").dropDuplicates(), "node")
-        return written(texts.join(found, ["id", "th"]).select("node", "text"), "compared-texts")
+        found = met.join(asked.select("node").dropDuplicates().hint("merge"), "node")
+        return written(texts.join(found.hint("merge"), ["id", "th"]).select("node", "text"), "compared-texts")
 
     promising = written(_promising(pairs, sketches), "promising")
     close = promising.filter("may")
@@ -424,10 +427,10 @@ def _labelled(docs: DataFrame) -> DataFrame:
     # Rows without an id name no component that has a row with one.
     known = F.when(F.col("id") > _NO_ID, F.col("id"))
     least = rows.filter("n > 0").groupBy("node").agg(F.min(known).alias("least"))
-    named = least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = least.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.coalesce(F.min("least"), F.lit(_NO_ID)).alias("component_id"))
-    ids = named.join(smallest, "label").select("node", "component_id", "label")
-    found = rows.filter("n > 0").join(ids, "node").select("id", "th", "n", "component_id", "label")
+    ids = named.join(smallest.hint("merge"), "label").select("node", "component_id", "label")
+    found = rows.filter("n > 0").join(ids.hint("merge"), "node").select("id", "th", "n", "component_id", "label")
     return found.unionByName(rows.filter("n = 0").select("id", "th", "n", F.col("id").alias("component_id"), F.lit(None).cast("long").alias("label")))
 
 
@@ -455,7 +458,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     least = written(least, "kept-of-components")
     blank = F.btrim(F.coalesce("text", F.lit("")), F.lit(SPACES)) == ""
     some = docs.filter(~blank).select(*_key(), F.struct(*docs.columns).alias("row"))
-    alone = some.join(least.filter("copies = 1"), ["id", "th"], "left_semi").select("row.*")
+    alone = some.join(least.filter("copies = 1").hint("merge"), ["id", "th"], "left_semi").select("row.*")
     # Partial minima come first, so copies of one row never meet in one task.
-    repeated = some.join(least.filter("copies > 1"), ["id", "th"], "left_semi").groupBy("id", "th").agg(F.min("row").alias("row"))
+    repeated = some.join(least.filter("copies > 1").hint("merge"), ["id", "th"], "left_semi").groupBy("id", "th").agg(F.min("row").alias("row"))
     return alone.unionByName(repeated.select("row.*")).unionByName(docs.filter(blank))
