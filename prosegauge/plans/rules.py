@@ -92,15 +92,22 @@ def _ratio(count: Column, words: Column, basis: float) -> Column:
 
 
 def default_rules(
-    t: config.Thresholds = config.DEFAULT, lexicons: lex.Lexicons = lex.DEFAULT
+    t: config.Thresholds = config.DEFAULT, lexicons: lex.Lexicons = lex.DEFAULT, complete: bool = True
 ) -> list[Rule]:
-    """The 24 rules in order, as a list the caller may change."""
-    return list(_rules(t, lexicons))
+    """The 24 rules in order, as a list the caller may change.
+
+    Rules that are not `complete` make no hits beyond those that weigh: enough for
+    counts and scores, and less work.
+    """
+    return list(_rules(t, lexicons, complete))
 
 
 @lru_cache(maxsize=16)
-def _rules(t: config.Thresholds, lexicons: lex.Lexicons) -> tuple[Rule, ...]:
+def _rules(t: config.Thresholds, lexicons: lex.Lexicons, complete: bool) -> tuple[Rule, ...]:
     c = F.col
+
+    def found(name: str, cap: int) -> Column:
+        return c(name) if complete else F.slice(name, 1, cap)
     phrase_lists = lexicons.phrases
 
     def phrases(detector: str, penalty: int) -> Column:
@@ -170,7 +177,7 @@ def _rules(t: config.Thresholds, lexicons: lex.Lexicons) -> tuple[Rule, ...]:
             ),
         )
         triads = L.span_hits(
-            c("triads"), "triad", t.structural__triad_penalty, match=lambda s: F.lit("triadic"),
+            found("triads", t.structural__triad_cap), "triad", t.structural__triad_penalty, match=lambda s: F.lit("triadic"),
             cap=t.structural__triad_cap,
         )
         return F.concat(headers, bullets, triads)
@@ -303,7 +310,7 @@ def _rules(t: config.Thresholds, lexicons: lex.Lexicons) -> tuple[Rule, ...]:
     # 10 contrast_pair
     def contrast_hits() -> Column:
         return F.transform(
-            c("contrasts"),
+            found("contrasts", t.contrast_pair__cap),
             lambda s, i: L.hit(
                 s["kind"], s["match"], L.snippet(s["start"], s["end"]), t.contrast_pair__penalty,
                 s["start"],
@@ -341,8 +348,8 @@ def _rules(t: config.Thresholds, lexicons: lex.Lexicons) -> tuple[Rule, ...]:
         "intrasentence_keyword_bold",
         facts=lambda: {"bolds": R.keyword_bolds(t.intrasentence_keyword_bold__max_words)},
         hits=lambda: L.span_hits(
-            c("bolds"), "keyword_bold", t.intrasentence_keyword_bold__penalty,
-            cap=t.intrasentence_keyword_bold__cap,
+            found("bolds", t.intrasentence_keyword_bold__cap), "keyword_bold",
+            t.intrasentence_keyword_bold__penalty, cap=t.intrasentence_keyword_bold__cap,
         ),
         count=lambda: F.size("bolds"),
         advice=lambda h: F.concat(
@@ -360,7 +367,8 @@ def _rules(t: config.Thresholds, lexicons: lex.Lexicons) -> tuple[Rule, ...]:
         "setup_resolution",
         facts=lambda: {"setups": R.setups()},
         hits=lambda: L.span_hits(
-            c("setups"), "setup", t.setup_resolution__penalty, cap=t.setup_resolution__cap
+            found("setups", t.setup_resolution__cap), "setup", t.setup_resolution__penalty,
+            cap=t.setup_resolution__cap,
         ),
         count=lambda: F.size("setups"),
         advice=lambda h: _matches(h, "setup"),
@@ -412,20 +420,21 @@ def _rules(t: config.Thresholds, lexicons: lex.Lexicons) -> tuple[Rule, ...]:
                 "pithy", x["s"], x["s"], t.pithy_fragment__penalty, start, start + F.length(x["s"]), False
             )
 
-        return F.concat(
-            F.transform(F.slice("pithy", 1, cap), scored),
-            F.transform(F.slice("pithy", cap + 1, F.greatest(F.size("pithy"), F.lit(1))), further),
-        )
+        first = F.transform(F.slice("pithy", 1, cap), scored)
+        if not complete:
+            return first
+        rest = F.slice("pithy", cap + 1, F.greatest(F.size("pithy"), F.lit(1)))
+        return F.concat(first, F.transform(rest, further))
+
+    def pithy_facts() -> Facts:
+        sentences = R.pithy_sentences(t.pithy_fragment__max_words)
+        ends = F.when(F.size(sentences) > t.pithy_fragment__cap, R.sentence_ends())
+        return {"pithy": sentences, "sentence_ends": ends} if complete else {"pithy": sentences}
 
     pithy = Rule(
         "pithy_fragment",
         "pithy_fragment",
-        facts=lambda: {
-            "pithy": R.pithy_sentences(t.pithy_fragment__max_words),
-            "sentence_ends": F.when(
-                F.size(R.pithy_sentences(t.pithy_fragment__max_words)) > t.pithy_fragment__cap, R.sentence_ends()
-            ),
-        },
+        facts=pithy_facts,
         hits=pithy_hits,
         count=lambda: F.size("pithy"),
         advice=lambda h: _matches(h, "pithy"),
@@ -515,7 +524,7 @@ def _rules(t: config.Thresholds, lexicons: lex.Lexicons) -> tuple[Rule, ...]:
     # 19 phrase_reuse
     def reuse_hits() -> Column:
         return F.transform(
-            c("reuse"),
+            found("reuse", t.phrase_reuse__cap),
             lambda g, i: let(
                 R.first_occurrence(c("lower"), g["gram"]),
                 lambda start: L.hit(

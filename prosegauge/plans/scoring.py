@@ -99,6 +99,7 @@ SCORE_COLUMNS = (
 
 
 def scores(df: DataFrame, rules: list[Rule] | None = None, *keep: str) -> DataFrame:
+    rules = default_rules(complete=False) if rules is None else rules
     return scored(df, rules).select("doc_id", *keep, *SCORE_COLUMNS)
 
 
@@ -147,7 +148,7 @@ def counts_map(rules: list[Rule]) -> Column:
 
 def rule_counts(df: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """One row per document and count key, zeros included."""
-    rules = default_rules() if rules is None else rules
+    rules = default_rules(complete=False) if rules is None else rules
     return scored(df, rules).select(
         "doc_id", F.explode(counts_map(rules)).alias("count_key", "n")
     )
@@ -216,6 +217,7 @@ def scan(df: DataFrame, rules: list[Rule] | None = None, most: int | None = None
         "text", F.when(F.col("status") == "ok", F.col("text")).otherwise("")
     )
     ok = F.col("status") == "ok"
+    rules = default_rules(complete=False) if rules is None else rules
     return scored(guarded, rules).select(
         "doc_id", "status", retryable(F.col("status")).alias("retryable"),
         *[F.when(ok, F.col(c)).alias(c) for c in SCORE_COLUMNS],
