@@ -214,3 +214,19 @@ def test_layout(spark):
         rows, "doc_id long, page int, seq int, str string, y double, height double, has_eol boolean"
     )
     assert layout_to_text(df).first().text == "ab\nc\nd\n\ne\n\nf"
+
+
+def test_larger_tables_of_pages_are_dealt_to_more_tasks(spark, sf_dir, monkeypatch):
+    """What one task sorts must not grow with the table."""
+    from prosegauge.catalog import page_queries
+    from prosegauge.sources import tables
+
+    df = spark.createDataFrame([(i, f"<p>Page {i}.</p>") for i in range(40)], "page_id long, html string")
+    dealt = P.html_tokens(df, 7)
+    assert dealt.rdd.getNumPartitions() == 7
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, P.html_tokens(df).collect()))
+    small = tables.parts_by_size(spark, sf_dir, "pages")
+    assert small == 2 * spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(tables, "PAGE_BYTES", 1000)
+    size = tables.table_bytes(spark, sf_dir, "pages")
+    assert page_queries.tokens_of(spark, sf_dir).rdd.getNumPartitions() == -(-size // 1000) > small
