@@ -272,3 +272,17 @@ def test_repeats_against_brute_force(spark):
     rows = df.select("doc_id", M.repeated_ngrams(4, 8, 3).alias("r")).collect()
     for row in rows:
         assert [tuple(g) for g in row.r] == brute_repeats(docs[row.doc_id]), row.doc_id
+
+
+def test_repeats_are_numbered_once_in_arrow_batches(spark, monkeypatch):
+    """One run over the tokens of a batch; nulls, empty texts and documents numbered in several parts come out whole."""
+    monkeypatch.setattr(M, "REUSE_TOKENS", 500)
+    rng = random.Random(11)
+    docs = [None, "", "  ", "a b c d " * 3, "a b c d " * 2, "A, b. (c) d! " * 4]
+    docs += [" ".join(rng.choice("abcd") for _ in range(rng.randrange(60))) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").coalesce(1)
+    got = df.select("doc_id", M.repeated_ngrams(4, 8, 3).alias("r"))
+    assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    for row in got.collect():
+        tokens = [w.strip(",.()!").lower() for w in (docs[row.doc_id] or "").split()]
+        assert [tuple(g) for g in row.r] == brute_repeats(tokens), row.doc_id
