@@ -24,6 +24,16 @@ def test_files_over_a_limit_are_listed(spark, tmp_path):
     assert read() == {"big.txt": ("x" * 2000, "ok"), "small.Rst": ("y", "ok")}
 
 
+def test_many_small_files_share_tasks(spark, tmp_path):
+    """As many tasks as asked for read the files, which may stand in folders."""
+    for i in range(200):
+        (tmp_path / str(i % 40)).mkdir(exist_ok=True)
+        (tmp_path / str(i % 40) / f"{i}.{('txt', 'pdf')[i % 2]}").write_text(f"text {i}")
+    plain, shared = T.load_text_files(spark, str(tmp_path)), T.load_text_files(spark, str(tmp_path), parts=2)
+    assert shared.rdd.getNumPartitions() <= 4 < plain.rdd.getNumPartitions()
+    assert sorted(shared.collect(), key=str) == sorted(plain.collect(), key=str) and shared.count() == 200
+
+
 def test_named_texts(spark, tmp_path):
     (tmp_path / "s.json").write_text('[{"name": "a", "text": "t", "note": "n"}, {"name": "b", "text": "u"}]')
     assert sorted(r.name for r in T.load_named_texts(spark, str(tmp_path / "s.json")).collect()) == ["a", "b"]
