@@ -233,6 +233,33 @@ def test_names_far_from_a_word(spark):
     assert kept == {"no name", "half a name", "after lower", "after broken"}
 
 
+def test_phrases_are_looked_for_in_arrow_batches(spark):
+    """One search finds which phrases a text holds, in their order; nothing else is looked for in it."""
+    from prosegauge.operators import lexical as L
+
+    phrases = ("of the", "é là", "the", "zz")
+    texts = ["out of the of thé là", "é là the the", "", None, "OF THE", "😀of the"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = df.select(L.contained(F.col("text"), phrases).alias("c"), L.phrase_spans(F.col("text"), phrases).alias("s"))
+    rows = found.collect()
+    assert [r.c for r in rows] == [["of the", "é là", "the"], ["é là", "the"], [], [], [], ["of the", "the"]]
+    brute = lambda t, p: [(t.find(p, 0), t.find(p, 0) + len(p))] if p in t else []
+    assert [(x.start, x.end) for x in rows[0].s] == [y for p in phrases for y in brute(texts[0], p)]
+    assert [(x.start, x.end, x.match) for x in rows[1].s] == [(0, 4, "é là"), (5, 8, "the"), (9, 12, "the")]
+    assert [len(r.s) for r in rows] == [3, 3, 0, 0, 0, 2]
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+@pytest.mark.parametrize("text", ["plain words\n\nand  more \n\t\n words", "", " \n\n ", "a `b c` d\n\n```\ne f\n```\ng", "a\ufeffb\x85c\n\u2003\nd"])
+def test_words_of_a_document_are_those_of_its_masked_text(spark, text):
+    from prosegauge.functions.text import n_words
+    from prosegauge.operators.views import with_views
+
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = with_views(df).select("word_count", n_words(F.col("masked")).alias("n"), F.regexp_count("masked", F.lit("[\\P{IsWhite_Space}\\u0085&&[^\\ufeff]]+")).alias("plain")).first()
+    assert row.word_count == row.n == row.plain
+
+
 def test_rules_are_replaceable(spark):
     df = spark.createDataFrame([(1, f"zebra crossing here, crucial. {PAD}")], "doc_id long, text string")
     own = Lexicons(weasel_phrases=("zebra crossing",))

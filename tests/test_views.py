@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from prosegauge.functions import patterns as P
 from prosegauge.functions.text import (
     chars_at, context_around, fmt_fixed, fmt_number, fmt_percent, literal_spans, n_words, round_to, spans, starts, text_chunks,
 )
@@ -80,6 +81,21 @@ def test_tokens(spark):
     assert got[1] == ["it's", "the", "dash", "naïve_x", "q", "42"]
 
 
+def test_tokens_of_odd_texts(spark):
+    """Tokens are what stripping their edges and lowering leaves, whatever their letters do."""
+    texts = [
+        "", " \n", "--", "a", "--A--", "«É» ÉCOLE… ΟΔΟΣ. ΟΔΟΣ.Α 'Σ Σ'", "DİL.İ Aİ İ", "ΣΑΣ\ufeffΑ \ufeffΒΣ\ufeff",
+        "x\x85y \x85z\x85", "a\u0301 \u0301b", "Ⅷ, ⓐ ²x² _a_ 😀b😀", "a\u2028b\u00a0c\td",
+    ]
+    stripped = F.lower(F.regexp_replace("text", P.TOKEN_EDGES, ""))
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "text string")
+    rows = df.select(
+        "text", V.ngram_tokens(F.col("text")).alias("got"), F.array_remove(F.split(stripped, f"{P.SPACE}+", -1), "").alias("want")
+    ).collect()
+    assert [r.got for r in rows] == [r.want for r in rows]
+    assert rows[4].got == ["a"] and rows[-1].got is None
+
+
 def test_offsets_count_code_points(spark):
     text = "é😀 ab 😀ab\nab"
     got = evaluate(spark, [text], spans(F.col("text"), "ab"), literal_spans(F.col("text"), F.lit("ab")))[0]
