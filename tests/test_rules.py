@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from prosegauge import config, wording
 from prosegauge.lexicons import Lexicons
-from prosegauge.operators import measures as M
+from prosegauge.operators import lexical as L, measures as M
 from prosegauge.plans import scoring
 from prosegauge.plans.rules import default_rules
 
@@ -313,3 +313,39 @@ def test_repeats_are_numbered_once_in_arrow_batches(spark, monkeypatch):
     for row in got.collect():
         tokens = [w.strip(",.()!").lower() for w in (docs[row.doc_id] or "").split()]
         assert [tuple(g) for g in row.r] == brute_repeats(tokens), row.doc_id
+
+
+def test_words_are_looked_for_as_bytes(spark):
+    words = ["delve", "edge", "cutting-edge", "vast"]
+    texts = {
+        "\u00e9 Delve, VAST edges edge": ([(2, 7, "Delve"), (9, 13, "VAST"), (20, 24, "edge")], True),
+        "a Cutting-Edge \u0130 edge": ([(2, 14, "Cutting-Edge"), (17, 21, "edge")], True),
+        "xdelve delve_ 1vast": ([], False),
+        "\u00e9delve": ([(1, 6, "delve")], False),
+        "": ([], False),
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for text, x in df.select("text", L.whole_words(F.col("text"), words)).collect():
+        assert ([tuple(s) for s in x.spans], x.token) == texts[text]
+
+
+def test_a_word_between_letters_beyond_ascii_is_no_token(spark):
+    """The document must hold a word as a token somewhere; then other places count too."""
+    filler = "plain words stand here in a long enough row of them all day long and on and on"
+    df = spark.createDataFrame([(1, f"\u00e9delve. {filler}"), (2, f"\u00e9delve. {filler} delve.")], "doc_id long, text string")
+    got = {r.doc_id: r.n_slop_words for r in scoring.scored(df).collect()}
+    assert got == {1: 0, 2: 2}
+
+
+def test_ascii_tokens_are_those_of_the_pattern(spark, monkeypatch):
+    """A letter beyond ASCII sends a text through the pattern, with the same grams."""
+    monkeypatch.setattr(M, "REUSE_TOKENS", 4)
+    odd = "(Read the small print) -- now\x1cand,\t[read]  the 'small' print; a_b--C READ\x0bthe\x0csmall\rprint!\n"
+    texts = [odd, "", " . ", None, "one two three four", "four one two three four one two three " * 3, odd * 3]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t + " \u00e9") for i, t in enumerate(texts) if t is not None]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r[0]: r[1] for r in df.select("doc_id", M.repeated_ngrams(2, 8, 2)).collect()}
+    assert got[3] == [] and got[6] and got[5]
+    for i, text in enumerate(texts):
+        if text is not None:
+            assert got[i] == got[100 + i]

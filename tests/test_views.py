@@ -173,3 +173,27 @@ def test_spans_of_many_matches_keep_their_places(spark, n):
     )
     assert [(s.start, s.end, s.match) for s in marked] == [(8 * k, 8 * k + 2, "ab") for k in range(n)]
     assert [(s.start, s.end) for s in literal] == [(8 * k + 3, 8 * k + 5) for k in range(n)]
+
+
+def test_words_of_pieces_are_counted_in_arrow_batches(spark, monkeypatch):
+    monkeypatch.setattr(V, "WORD_PIECES", 3)
+    spaces = "\t\n\x0b\x0c\r \xa0\u1680\u2000\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+    others = "\x1c\x1f\x85\u180e\u200b\u2060\u00e9\U0001d518-"
+    texts = ["", " ", "a", " a  b|c |d", "|".join(f"a{c}b {c}" for c in spaces + others), "\u00e9|\xa0|\u3000x\u3000|", None, "z|" * 9]
+    pieces = F.split("text", "\\|", -1)
+    for one, each in evaluate(spark, texts, F.transform(pieces, n_words), V.words_each(pieces)):
+        assert one == each
+
+
+def test_documents_are_dealt_out_by_the_size_of_their_table(spark, sf_dir, monkeypatch):
+    """Whatever the number of files and row groups, tasks are of one size."""
+    from prosegauge.catalog import fixtures
+    from prosegauge.sources import tables
+
+    cores, small = spark.sparkContext.defaultParallelism, fixtures.documents_of(spark, sf_dir)
+    assert small.rdd.getNumPartitions() == 2 * cores
+    monkeypatch.setattr(fixtures, "DOCUMENT_BYTES", 2000)
+    many = fixtures.documents_of(spark, sf_dir)
+    size = tables.table_bytes(spark, sf_dir, "documents")
+    assert many.rdd.getNumPartitions() == cores * -(-size // (2000 * cores)) > 2 * cores
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, small.collect()))
