@@ -1,9 +1,12 @@
 """Readers, writers, scopes and the parts of the report."""
 
+import duckdb
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from prosegauge.catalog.fixtures import with_snippets
-from prosegauge.config import rule_config
+from prosegauge.catalog.text_queries import in_folders
+from prosegauge.config import MAX_FILE_BYTES, rule_config
 from prosegauge.plans import report, scoring
 from prosegauge.plans.rules import default_rules
 from prosegauge.sources import tables as T
@@ -34,6 +37,56 @@ def test_many_small_files_share_tasks(spark, tmp_path):
     assert sorted(shared.collect(), key=str) == sorted(plain.collect(), key=str) and shared.count() == 200
 
 
+def test_tasks_list_the_files(spark, tmp_path):
+    """No listing on the driver, at any depth; hidden files stay out, empty ones are files too."""
+    for name, data in {
+        "a.txt": "a", "empty.md": "", "no": "n", "1/b c%20.Rst": "b", "1/_x=1/2/3/d.txt": "d", "1/e.pdf": "e", "1/big.org": "x" * 99,
+        ".h.txt": "h", "_u.txt": "u", "_h/f.txt": "f", "1/.h/g.txt": "g", "1/i.txt._COPYING_": "i",
+    }.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(data)
+    found = T.load_text_files(spark, str(tmp_path), most_bytes=50, parts=3)
+    assert "FileScan" not in found._jdf.queryExecution().executedPlan().toString() and found.rdd.getNumPartitions() == 3
+    at = f"file:{tmp_path}/"
+    assert sorted(map(tuple, found.collect())) == sorted([
+        (at + "a.txt", "a", "ok"), (at + "empty.md", "", "ok"), (at + "no", None, "unsupported"), (at + "1/b c%20.Rst", "b", "ok"),
+        (at + "1/_x=1/2/3/d.txt", "d", "ok"), (at + "1/e.pdf", None, "unsupported"), (at + "1/big.org", None, "too_large"),
+    ])
+    # Patterns and single files go through Spark's reader.
+    names = lambda path: sorted(r.path.removeprefix(at) for r in T.load_text_files(spark, str(tmp_path / path)).collect())
+    assert names("*/*.Rst") == ["1/b c%20.Rst"] and names("a.txt") == ["a.txt"]
+
+
+def test_long_listings_and_reads_come_in_batches(spark, tmp_path, monkeypatch):
+    """No file is lost or doubled where a listing or the contents of a task fill more than one batch."""
+    monkeypatch.setattr(T, "LISTED_ROWS", 7)
+    monkeypatch.setattr(T, "READ_BYTES", 20)
+    for i in range(100):
+        (tmp_path / f"{i}.{('txt', 'txt', 'pdf')[i % 3]}").write_text("x" * (i % 9))
+    got = T.load_text_files(spark, str(tmp_path), parts=2).collect()
+    assert sorted((int(r.path.rsplit("/", 1)[1].split(".")[0]), r.text) for r in got) == [(i, None if i % 3 == 2 else "x" * (i % 9)) for i in range(100)]
+
+
+def test_a_folder_of_files_is_one_tasks(spark):
+    """Each folder is made by one task, and a file's name decides on its folder."""
+    rows = spark.range(400).select(F.concat(F.col("id") % 200, F.lit(".txt")).alias("file"), F.lit("t").alias("text")).repartition(7)
+    dealt = in_folders(rows, 30).select("file", F.spark_partition_id().alias("task")).collect()
+    folders = {r.file.split("/")[0] for r in dealt}
+    assert len({(r.file.split("/")[0], r.task) for r in dealt}) == len(folders) > 20
+    assert len(dealt) == 400 and len({r.file for r in dealt}) == 200
+
+
+def test_text_files_of_own_rows(spark, tmp_path):
+    """Every document comes back from its file as the check SQL has it, empty and large ones too."""
+    texts = ["", "plain", "zwei\nZeilen é 😀", "x" * (MAX_FILE_BYTES // 500), "y" * (MAX_FILE_BYTES // 500 + 1)]
+    docs = spark.createDataFrame([(i, texts[i % 5], "en", "s") for i in range(60)], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = entry.queries()["load_text_files"](spark, str(tmp_path)).select("file", "status", "n_chars", "text_md5").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(f"SELECT file, status, n_chars, text_md5 FROM ({entry.oracle_sql()['load_text_files']})").fetchall())
+
+
 def test_named_texts(spark, tmp_path):
     (tmp_path / "s.json").write_text('[{"name": "a", "text": "t", "note": "n"}, {"name": "b", "text": "u"}]')
     assert sorted(r.name for r in T.load_named_texts(spark, str(tmp_path / "s.json")).collect()) == ["a", "b"]
